@@ -14,13 +14,13 @@ rows * log(rows) work with native windows.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.operators.order import ALL_BEFORE, UP_TO_HERE, add_prefix_sum
-from paneltide.scale import is_wide, small_side, task_row_limit
+from paneltide.operators.order import ALL_BEFORE, UP_TO_HERE, add_prefix_sum, add_ranks
+from paneltide.scale import cut_lineage, largest_group, small_side, task_row_limit
 
 DIGIT_BITS = 3
 RADIX = 1 << DIGIT_BITS
@@ -48,8 +48,6 @@ def _codes_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def _codes_wide(rows: DataFrame, group: Sequence[str], bound: int) -> DataFrame:
     # The start rank and the code of y come from one ordering pass each, whatever the group size.
-    from paneltide.operators.order import add_ranks
-
     held = add_prefix_sum(rows, group, [F.col("_y").desc(), F.col("_tie")], F.col("_m"), "_start", bound)
     held = held.withColumn("_wt", _copies_weight("_start", "_m"))
     held = add_ranks(held, group, "_x", low="_dx", descending=False, bound=bound)
@@ -69,44 +67,60 @@ def _net_by_digit(before, up_to, total):
 
 
 def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str, tie: str, *,
-                 copies: str | None = None, name: str = "tau", bound: int | None = None) -> DataFrame:
+                 copies: str | None = None, name: str = "tau", bound: int | None = None,
+                 also: Mapping[str, tuple[Callable[[Column], Column], Column]] | None = None) -> DataFrame:
     """Per group: rank correlation of ``score`` with ``outcome``, pairs weighted by outcome rank.
 
     ``tie`` orders equal outcomes when ranks are assigned (best outcome first). ``copies`` is the
     multiplicity of a row in a bootstrap replicate; copies of one row are ties in both variables.
     Rows with a NULL score or outcome must be dropped by the caller. NULL when either side is constant.
+
+    ``also`` adds plain aggregates of the same rows (name -> aggregate function, row expression), so
+    that other statistics of the group need no second pass. The functions must ignore NULL.
     """
+    also = also or {}
     m = F.lit(1).cast("bigint") if copies is None else F.col(copies).cast("bigint")
-    rows = df.select(*group, F.col(score).alias("_x"), F.col(outcome).alias("_y"),
-                     F.col(tie).alias("_tie"), m.alias("_m"))
-    wide = is_wide(rows, group, bound)
-    coded = _codes_wide(rows, group, bound or task_row_limit(df.sparkSession) + 1) if wide else _codes_narrow(
-        rows, group)
-
-    bits = F.length(F.bin(F.greatest(F.col("_rows") - 1, F.lit(1)).cast("bigint")))
-    levels = F.ceil(bits / F.lit(float(DIGIT_BITS))).cast("int")
-    exploded = (coded.select(*group, "_dx", "_dy", "_m", "_wt",
-                             F.explode(F.sequence(F.lit(0), levels - 1)).alias("_level"))
-                .withColumns({
-                    "_block": F.expr(f"shiftright(_dx, {DIGIT_BITS} * (_level + 1))"),
-                    "_digit": F.expr(f"shiftright(_dx, {DIGIT_BITS} * _level) & {RADIX - 1}")}))
-    counts = _balance_wide(exploded, group) if wide else _balance_narrow(exploded, group)
-    numerator = counts.groupBy(*group).agg(F.sum("_term").alias("_num"))
-    if wide:
-        tied = [coded.groupBy(*group, c).agg(F.sum("_m").alias("_mt"), F.sum("_wt").alias("_wt"))
-                .groupBy(*group).agg(F.sum((F.col("_mt") - 1) * F.col("_wt")).alias(f"_t{c[2:]}"))
-                for c in ("_dx", "_dy")]
-        base = coded.groupBy(*group).agg(F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww")).join(
-            tied[0], list(group)).join(tied[1], list(group))
+    extra = [f"_also_{n}" for n in also]
+    rows = df.select(*group, F.col(score).alias("_x"), F.col(outcome).alias("_y"), F.col(tie).alias("_tie"),
+                     m.alias("_m"), *[c.alias(f"_also_{n}") for n, (_, c) in also.items()])
+    size = largest_group(rows, group) if bound is None else bound
+    if size > task_row_limit(df.sparkSession):
+        got = _aggregate_wide(_codes_wide(rows, group, size), group, also)
     else:
-        base = coded.groupBy(*group).agg(
-            F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww"),
-            F.sum((F.col("_mx") - 1) * F.col("_wt")).alias("_tx"),
-            F.sum((F.col("_my") - 1) * F.col("_wt")).alias("_ty"))
+        # Every row has a digit level 0, which therefore stands for the row itself in the
+        # denominator and in the extra aggregates: one exchange per step, no join.
+        levels = _balance_narrow(_digits(_codes_narrow(rows, group), [*group, *extra, "_mx", "_my"]), group)
+        own = lambda c: F.when(F.col("_level") == 0, F.col(c))
+        got = levels.groupBy(*group).agg(
+            F.sum("_term").alias("_num"), F.sum(own("_m")).alias("_mm"), F.sum(own("_wt")).alias("_ww"),
+            F.sum((F.col("_mx") - 1) * own("_wt")).alias("_tx"), F.sum((F.col("_my") - 1) * own("_wt")).alias("_ty"),
+            *[f(own(f"_also_{n}")).alias(n) for n, (f, _) in also.items()])
     total = (F.col("_mm") - 1) * F.col("_ww")
     spread = F.greatest(total - F.col("_tx"), F.lit(0.0)) * F.greatest(total - F.col("_ty"), F.lit(0.0))
-    return base.join(numerator, list(group), "left").select(
-        *group, F.when(spread > 1e-18, F.coalesce(F.col("_num"), F.lit(0.0)) / F.sqrt(spread)).alias(name))
+    return got.select(*group, *also, F.when(
+        spread > 1e-18, F.coalesce(F.col("_num"), F.lit(0.0)) / F.sqrt(spread)).alias(name))
+
+
+def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:
+    bits = F.length(F.bin(F.greatest(F.col("_rows") - 1, F.lit(1)).cast("bigint")))
+    levels = F.ceil(bits / F.lit(float(DIGIT_BITS))).cast("int")
+    return (coded.select(*keep, "_dx", "_dy", "_m", "_wt", F.explode(F.sequence(F.lit(0), levels - 1)).alias("_level"))
+            .withColumns({
+                "_block": F.expr(f"shiftright(_dx, {DIGIT_BITS} * (_level + 1))"),
+                "_digit": F.expr(f"shiftright(_dx, {DIGIT_BITS} * _level) & {RADIX - 1}")}))
+
+
+def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
+    """Split form: the numerator and each tie sum are their own aggregations, joined per group."""
+    coded = cut_lineage(coded)
+    numerator = _balance_wide(_digits(coded, list(group)), group).groupBy(*group).agg(F.sum("_term").alias("_num"))
+    base = coded.groupBy(*group).agg(
+        F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww"),
+        *[f(F.col(f"_also_{n}")).alias(n) for n, (f, _) in also.items()])
+    for code, out in (("_dx", "_tx"), ("_dy", "_ty")):
+        ties = coded.groupBy(*group, code).agg(F.sum("_m").alias("_mt"), F.sum("_wt").alias("_wtt"))
+        base = base.join(ties.groupBy(*group).agg(F.sum((F.col("_mt") - 1) * F.col("_wtt")).alias(out)), list(group))
+    return base.join(numerator, list(group), "left")
 
 
 def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -118,7 +132,9 @@ def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
         cols[f"_b{d}"] = F.coalesce(F.sum(here).over(along.rangeBetween(*ALL_BEFORE)), F.lit(0))
         cols[f"_u{d}"] = F.sum(here).over(along.rangeBetween(*UP_TO_HERE))
         cols[f"_t{d}"] = F.sum(here).over(block)
-    return rows.withColumns(cols).select(*group, (F.col("_wt") * _net_by_digit("_b", "_u", "_t")).alias("_term"))
+    helpers = {*cols, "_dx", "_dy", "_block", "_digit"}
+    counted = rows.withColumns(cols).withColumn("_term", F.col("_wt") * _net_by_digit("_b", "_u", "_t"))
+    return counted.select(*[c for c in counted.columns if c not in helpers])
 
 
 def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
