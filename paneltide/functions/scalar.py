@@ -19,11 +19,6 @@ def ratio(num: str | Column, den: str | Column, positive: bool = False) -> Colum
     return F.try_divide(col(num).cast("double"), d)
 
 
-def rounded(c: str | Column, digits: int = 6) -> Column:
-    """Rounded double without a negative zero."""
-    return F.round(col(c).cast("double"), digits) + F.lit(0.0)
-
-
 def annuity_payment(value: str | Column, rate_pct: str | Column, months: int = 360) -> Column:
     """Monthly payment on a level-payment loan over the full value; zero rate pays linearly."""
     r = col(rate_pct) / F.lit(1200.0)
