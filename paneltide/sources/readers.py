@@ -1,7 +1,6 @@
 """Readers for landed files. Every read has an explicit schema; keys stay text until chosen otherwise.
 
-File-level facts (area, year, series name) come from ``_metadata.file_name`` of one multi-file
-read, so a thousand small files are one scan.
+File-level facts (area, year, series name) come from the file path of one multi-file read, so a thousand small files are one scan.
 """
 from __future__ import annotations
 
@@ -13,7 +12,7 @@ from pyspark.sql import types as T
 
 from paneltide.functions.scalar import area_code, text_to_double
 
-FILE = "_metadata.file_name"
+FILE = "_metadata.file_path"
 
 
 def text_schema(columns: Sequence[str]) -> T.StructType:
@@ -57,7 +56,7 @@ def read_json_matrix(spark: SparkSession, path: str, columns: Sequence[str], num
     Columns are found by header name, in any order. A response document is small by nature (one
     table of one period); many documents are many rows of the scan.
     """
-    docs = spark.read.text(path, wholetext=True).select(
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.from_json("value", "array<array<string>>").alias("m"), F.col(FILE).alias("file_name"))
     body = docs.select("file_name", F.element_at("m", 1).alias("head"),
                        F.explode(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(1)))).alias("r")).filter(
@@ -71,7 +70,8 @@ def read_json_records(spark: SparkSession, path: str, area: str = "GeoFips", nam
                       period: str = "TimePeriod", value: str = "DataValue") -> DataFrame:
     """JSON records with thousands separators; whole-state rows (area code ending 000) are dropped."""
     fields = ", ".join(f"`{c}`: string" for c in (area, name, period, value))
-    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{fields}>>").alias("m"))
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+        F.from_json("value", f"array<struct<{fields}>>").alias("m"))
     return (docs.select(F.inline("m")).filter(F.substring(area, 3, 3) != "000")
             .select(F.col(area).alias("area"), F.col(name).alias("area_name"), F.col(period).alias("period"),
                     text_to_double(value).alias("value")))
@@ -85,16 +85,17 @@ def read_padded_tsv(spark: SparkSession, path: str, columns: Mapping[str, str])
 
 
 def read_area_year_files(spark: SparkSession, path: str, schema: T.StructType,
-                         pattern: str = r"^(.+)_(\d{4})\.csv$") -> DataFrame:
+                         pattern: str = r"([^/=]+)_(\d{4})\.csv") -> DataFrame:
     """One file per area and year, read as one scan; area and year come from the file name."""
-    raw = spark.read.schema(schema).option("header", True).csv(path)
+    raw = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
     return raw.select("*", F.regexp_extract(F.col(FILE), pattern, 1).alias("area"),
                       F.regexp_extract(F.col(FILE), pattern, 2).cast("int").alias("period"))
 
 
-def read_series_files(spark: SparkSession, path: str, pattern: str = r"^(.+)\.csv$") -> DataFrame:
+def read_series_files(spark: SparkSession, path: str, pattern: str = r"([^/=]+)\.csv") -> DataFrame:
     """One date-indexed series per file; '.' marks a missing observation."""
-    raw = spark.read.schema(text_schema(["date", "value"])).option("header", True).csv(path)
+    raw = (spark.read.schema(text_schema(["date", "value"])).option("header", True)
+           .option("recursiveFileLookup", True).csv(path))
     return raw.select(F.regexp_extract(F.col(FILE), pattern, 1).alias("series_id"),
                       F.to_date("date").alias("date"), text_to_double("value").alias("value")).filter(
         F.col("date").isNotNull() & F.col("value").isNotNull())
