@@ -227,9 +227,11 @@ def tau_sql(src: str, name: str, g: list[str], copies: str | None = None, at_lea
     eq = " AND ".join(f"a.{c}=b.{c}" for c in g)
     m = copies or "1"
     start = f"(sum({m}) OVER (PARTITION BY {gl} ORDER BY realized DESC, entity)-{m})"
-    wt = "1.0::DOUBLE/(s+1)" if copies is None else "list_sum(list_transform(range(1, m+1), k -> 1.0::DOUBLE/(s+k)))"
+    placed = f"(SELECT {gl}, entity, score, realized, ({m})::BIGINT AS m, ({start})::BIGINT AS s FROM {src})"
+    weighed = f"SELECT *, 1.0::DOUBLE/(s+1) AS w FROM {placed}" if copies is None else (
+        f"SELECT {gl}, entity, score, realized, m, s, sum(1.0::DOUBLE/(s+k)) AS w FROM {placed} JOIN range(1,200) kk(k) ON k<=m GROUP BY ALL")
     return f"""
-{name}_w AS (SELECT *, {wt} AS w FROM (SELECT {gl}, entity, score, realized, ({m})::BIGINT AS m, ({start})::BIGINT AS s FROM {src})),
+{name}_w AS ({weighed}),
 {name}_n AS (SELECT {gl}, sum(m)::BIGINT AS n FROM {name}_w GROUP BY {gl}),
 {name}_p AS (SELECT {', '.join('a.' + c for c in g)}, (a.w*b.m+b.w*a.m) AS pw, sign(a.score-b.score) AS sx, sign(a.realized-b.realized) AS sy
   FROM {name}_w a JOIN {name}_w b ON {eq} AND a.entity<b.entity),

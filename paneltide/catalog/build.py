@@ -42,7 +42,8 @@ def scan_delimited_latin1(t):
     return readers.read_delimited(t.spark, path, schema, "ISO-8859-1")
 
 
-QUARTERS = "quarters AS (SELECT l_suppkey AS entity, year(l_shipdate) AS period, quarter(l_shipdate) AS quarter, CASE WHEN (l_suppkey+quarter(l_shipdate)+year(l_shipdate))%5<>0 THEN round(sum(l_quantity),2) END AS hpi FROM lineitem GROUP BY ALL)"
+QUARTERS = """quarters AS (SELECT entity, period, quarter, CASE WHEN (entity+quarter+period)%5<>0 THEN round(v,2) END AS hpi FROM
+  (SELECT l_suppkey AS entity, year(l_shipdate) AS period, quarter(l_shipdate) AS quarter, sum(l_quantity) AS v FROM lineitem GROUP BY 1,2,3))"""
 
 
 def _quarters(t):
@@ -150,16 +151,16 @@ MONTHS = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
 
 
 def _wide(t):
-    m = t.monthly.select(S("entity").cast("string").alias("region_id"), F.date_format("date", "yyyy-MM-dd").alias("month"), F.round("rent", 4).alias("v")).filter(S("entity") % 5 != 0)
+    m = t.monthly.select(S("entity").cast("string").alias("region_id"), F.date_format("date", "yyyy-MM-dd").alias("month"), rounded("rent", 4).alias("v")).filter(S("entity") % 5 != 0)
     return readers.read_wide_monthly(t.spark, land_csv(t, reshape.pivot_first(m, ["region_id"], "month", "v", MONTHS), "wide"))
 
 
-@query("unpivot_wide_monthly", with_parts("SELECT entity::VARCHAR AS region_id, date, round(rent,4) AS value FROM monthly WHERE entity%5<>0", "monthly"))
+@query("unpivot_wide_monthly", with_parts(f"SELECT entity::VARCHAR AS region_id, date, {r('rent', 'value', 4)} FROM monthly WHERE entity%5<>0", "monthly"))
 def unpivot_wide_monthly(t):
     return reshape.unpivot_dates(_wide(t), ["region_id"])
 
 
-@query("annual_mean_min_obs", with_parts(f"SELECT entity::VARCHAR AS region_id, year(date) AS period, {r('avg(round(rent,4))', 'value')}, count(*) AS n_obs FROM monthly WHERE entity%5<>0 GROUP BY ALL HAVING count(*)>=11 AND year(date)>=1996", "monthly"))
+@query("annual_mean_min_obs", with_parts(f"SELECT * FROM (SELECT region_id, period, {r('avg(rent)', 'value')}, count(*) AS n_obs FROM (SELECT entity::VARCHAR AS region_id, year(date) AS period, {r('rent', 'rent', 4)} FROM monthly WHERE entity%5<>0) GROUP BY 1,2) WHERE n_obs>=11 AND period>=1996", "monthly"))
 def annual_mean_min_obs(t):
     long = reshape.unpivot_dates(_wide(t), ["region_id"])
     return rounded_all(rollup.period_mean(long, ["region_id"], "date", "value", 11, 1996), ["value"])
