@@ -15,6 +15,7 @@ from paneltide.functions.scalar import col, ratio
 from paneltide.operators.rollup import concentration
 from paneltide.plans.model import RENT_MODEL as MODEL
 from paneltide.plans.scoring import indicators, normalised, scored
+from paneltide.scale import staged
 
 REGIMES = {"early": (1995, 1997), "middle": (1998, 1999), "late": (2000, 2099)}
 HORIZONS = (1, 2, 3)
@@ -26,12 +27,15 @@ SQL: dict[str, str] = {}
 _ROWS: dict[str, int] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(t)`` under a name, with the SQL that must give the same rows."""
+def query(name: str, sql: str | None = None, stage: bool = False):
+    """Register ``fn(t)`` under a name, with the SQL that must give the same rows.
+
+    ``stage``: the panel and the scores are used several times, so write them first.
+    """
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder).stage() if stage else Tables(spark, folder))
         if sql is not None:
             SQL[name] = sql
         return fn
@@ -101,6 +105,12 @@ class Tables:
     def norm(self) -> DataFrame:
         return normalised(self.ind, MODEL, self.bound)
 
+    def stage(self) -> Tables:
+        """For queries that use the panel and the scores many times: each is computed once."""
+        self.panel = staged(self.panel, "panel")
+        self.norm = staged(self.norm, "norm")
+        return self
+
     @cached_property
     def scored(self) -> DataFrame:
         return scored(self.norm, MODEL, self.bound)

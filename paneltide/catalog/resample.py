@@ -62,7 +62,7 @@ def bootstrap_draws(t):
     return rs_.draws(t.supplier.select(col("s_suppkey").alias("entity")), "entity", B, bound=t.bound)
 
 
-@query("bootstrap_tau", with_parts(f"SELECT strategy, {r('p.tau', 'tau')}, {r('quantile_cont(reps.tau,0.025)', 'lo')}, {r('quantile_cont(reps.tau,0.975)', 'hi')} FROM point p JOIN reps USING (strategy) GROUP BY strategy, p.tau", "usable", extra=BASE))
+@query("bootstrap_tau", with_parts(f"SELECT strategy, {r('p.tau', 'tau')}, {r('quantile_cont(reps.tau,0.025)', 'lo')}, {r('quantile_cont(reps.tau,0.975)', 'hi')} FROM point p JOIN reps USING (strategy) GROUP BY strategy, p.tau", "usable", extra=BASE), stage=True)
 def bootstrap_tau(t):
     f = frame(t, two(t))
     reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
@@ -73,7 +73,7 @@ GAPC = ["tau", "gap", "gap_lo", "gap_hi"]
 
 
 @query("paired_gap", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable",
-                                extra=BASE + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")))
+                                extra=BASE + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")), stage=True)
 def paired_gap(t):
     f = frame(t, two(t))
     reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
@@ -84,7 +84,7 @@ CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM s
 
 
 @query("cluster_bootstrap", with_parts(f"SELECT strategy, {r('p.tau', 'tau')}, {r('quantile_cont(reps.tau,0.025)', 'lo')}, {r('quantile_cont(reps.tau,0.975)', 'hi')} FROM point p JOIN reps USING (strategy) GROUP BY strategy, p.tau",
-                                       "usable", extra=OUT3 + ",\n" + frame_sql(TWO) + ",\n" + CLUSTER + ",\n" + boot_sql()))
+                                       "usable", extra=OUT3 + ",\n" + frame_sql(TWO) + ",\n" + CLUSTER + ",\n" + boot_sql()), stage=True)
 def cluster_bootstrap(t):
     f = frame(t, two(t))
     members = t.nation_of_supplier().withColumnRenamed("state", "cluster")
@@ -104,12 +104,12 @@ def scheme_gaps(t):
     return rs_.paired_gaps(rs_.pooled_taus(f, t.bound), reps)
 
 
-@query("scheme_comparison", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable", extra=SBASE))
+@query("scheme_comparison", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable", extra=SBASE), stage=True)
 def scheme_comparison(t):
     return rounded_all(scheme_gaps(t), GAPC)
 
 
-@query("simplest_scheme", with_parts("SELECT strategy, CASE strategy WHEN 'two' THEN 2 ELSE 8 END::INT AS n_indicators FROM gaps WHERE NOT gap_lo>0 ORDER BY 2, gap, strategy LIMIT 1", "usable", extra=SBASE))
+@query("simplest_scheme", with_parts("SELECT strategy, CASE strategy WHEN 'two' THEN 2 ELSE 8 END::INT AS n_indicators FROM gaps WHERE NOT gap_lo>0 ORDER BY 2, gap, strategy LIMIT 1", "usable", extra=SBASE), stage=True)
 def simplest_scheme(t):
     return rs_.simplest_acceptable(scheme_gaps(t), {n: len(w) for n, w in SCHEMES.items()})
 
@@ -152,7 +152,7 @@ def tier_counts(t):
     return rs_.tier_counts(intervals(t))
 
 
-@query("random_top_k", with_parts(f"SELECT horizon, period, seed, {r('avg(realized)', 'mean_realized')} FROM (SELECT *, row_number() OVER (PARTITION BY horizon, period, seed ORDER BY {BITS.format(m=chr(39) + 'pick:' + chr(39) + '||seed||' + chr(39) + ':' + chr(39) + '||entity||' + chr(39) + ':' + chr(39) + '||period', p=1)}, entity) AS k FROM outcome, range(5) g(seed)) WHERE k<=10 GROUP BY ALL", "outcome"))
+@query("random_top_k", with_parts(f"SELECT horizon, period, seed, {r('avg(realized)', 'mean_realized')} FROM (SELECT *, row_number() OVER (PARTITION BY horizon, period, seed ORDER BY {BITS.format(m=chr(39) + 'pick:' + chr(39) + '||seed||' + chr(39) + ':' + chr(39) + '||entity||' + chr(39) + ':' + chr(39) + '||period', p=1)}, entity) AS k FROM outcome, range(5) g(seed)) WHERE k<=10 GROUP BY ALL", "outcome"), stage=True)
 def random_top_k(t):
     return rounded_all(rs_.random_top_k(outcome(t), 5, 10), ["mean_realized"])
 
@@ -178,12 +178,12 @@ def gate(t):
     return gates.candidate_gate(t.norm, cand, list(CANDS), MODEL, outcome(t, [3]), periods(t), (0.05, 0.1), B, t.bound)
 
 
-@query("candidate_gate", with_parts(f"SELECT candidate, weight, flipped, adopt, {rs(*GATEC)} FROM gate", "usable", extra=GATE))
+@query("candidate_gate", with_parts(f"SELECT candidate, weight, flipped, adopt, {rs(*GATEC)} FROM gate", "usable", extra=GATE), stage=True)
 def candidate_gate(t):
     return rounded_all(gate(t), GATEC)
 
 
-@query("conjunctive_verdict", with_parts("SELECT coalesce((SELECT 'add:'||min(candidate) FROM (SELECT candidate FROM gate GROUP BY candidate HAVING bool_and(adopt))), 'reject all') AS verdict", "usable", extra=GATE))
+@query("conjunctive_verdict", with_parts("SELECT coalesce((SELECT 'add:'||min(candidate) FROM (SELECT candidate FROM gate GROUP BY candidate HAVING bool_and(adopt))), 'reject all') AS verdict", "usable", extra=GATE), stage=True)
 def conjunctive_verdict(t):
     replacement = t.spark.createDataFrame([("variant", False)], "name string, pass boolean")
     return gates.conjunctive_verdict(gate(t), sorted(CANDS), replacement)
@@ -219,7 +219,7 @@ def both_norms(t):
 
 
 @query("variant_prong_a", with_parts(f"SELECT strategy, {r('tau', 'tau_variant')}, {r('tau+gap', 'tau_current')}, {r('-gap', 'gap')}, {r('-gap_hi', 'gap_lo')}, {r('-gap_lo', 'gap_hi')}, gap_lo<=0 AS pass FROM gaps WHERE strategy='variant'", "usable",
-       extra=OUT3 + ",\n" + VAR_SQL + ",\n" + frame_sql(VARIANT, "both2") + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='current')")))
+       extra=OUT3 + ",\n" + VAR_SQL + ",\n" + frame_sql(VARIANT, "both2") + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='current')")), stage=True)
 def variant_prong_a(t):
     weights = {f"v_{k}": w for k, w in MODEL.weights.items()}
     f = frame(t, {"current": composite(MODEL.weights), "variant": composite(weights)}, both_norms(t))
@@ -228,7 +228,7 @@ def variant_prong_a(t):
     return rounded_all(v, ["tau_variant", "tau_current", "gap", "gap_lo", "gap_hi"])
 
 
-@query("edition_stability", with_parts(f"SELECT count(*) AS n, {r('corr(a,b)', 'rho')}, corr(a,b)>=0.80 AS pass FROM (SELECT {_avg_rank('x.score', '1')} AS a, {_avg_rank('y.score', '1')} AS b FROM (SELECT * FROM scored WHERE period=1999) x JOIN (SELECT * FROM scored WHERE period=2000) y USING (entity))", "scored"))
+@query("edition_stability", with_parts(f"SELECT count(*) AS n, {r('corr(a,b)', 'rho')}, corr(a,b)>=0.80 AS pass FROM (SELECT {_avg_rank('x.score', '1')} AS a, {_avg_rank('y.score', '1')} AS b FROM (SELECT * FROM scored WHERE period=1999) x JOIN (SELECT * FROM scored WHERE period=2000) y USING (entity))", "scored"), stage=True)
 def edition_stability(t):
     return rounded_all(gates.edition_stability(t.scored.filter("period = 1999"), t.scored.filter("period = 2000"), bound=t.bound), ["rho"])
 
@@ -249,7 +249,7 @@ def agreed(t):
     return gates.agreement(a, t.norm.select("entity", "period", cols["proxy"].alias("score")), bound=t.bound)
 
 
-@query("agreement_per_period", with_parts(f"SELECT period, n, {r('rho')}, overlap FROM ag", "norm", extra=AGREE))
+@query("agreement_per_period", with_parts(f"SELECT period, n, {r('rho')}, overlap FROM ag", "norm", extra=AGREE), stage=True)
 def agreement_per_period(t):
     return rounded_all(agreed(t), ["rho"])
 
@@ -258,7 +258,7 @@ PSUM = strategies_sql(PROXY) + ",\n" + WF + ",\n" + metrics_sql("wf", G) + ",\n"
 
 
 @query("retention_gate", with_parts(f"SELECT {r('f', 'tau_final')}, {r('p', 'tau_proxy')}, {r('mo', 'mean_overlap')}, {r('p/nullif(f,0)', 'retention')}, p/nullif(f,0)>=0.85 AND mo>=7 AS pass FROM (SELECT max(CASE WHEN strategy='final' THEN mean_tau END) AS f, max(CASE WHEN strategy='proxy' THEN mean_tau END) AS p FROM summ WHERE horizon=3 AND regime='POOLED'), (SELECT avg(overlap) AS mo FROM ag WHERE period IN (SELECT period FROM usable))",
-                                    "usable", "outcome", extra=AGREE + ",\n" + PSUM))
+                                    "usable", "outcome", extra=AGREE + ",\n" + PSUM), stage=True)
 def retention_gate(t):
     summ = wf.summarise(evaluated(t, rk.strategies(t.norm, _proxy_cols())))
     g = gates.retention_gate(summ, agreed(t).join(periods(t), "period", "left_semi"), "final", "proxy", 3)
@@ -266,7 +266,7 @@ def retention_gate(t):
 
 
 @query("side_by_side_summary", with_parts(f"SELECT a.horizon, a.regime, {r('a.mean_tau', 'mean_tau_a')}, {r('a.mean_precision', 'mean_precision_a')}, {r('b.mean_tau', 'mean_tau_b')}, {r('b.mean_precision', 'mean_precision_b')} FROM summ a JOIN summ b ON a.horizon=b.horizon AND a.regime=b.regime WHERE a.strategy='final' AND b.strategy='proxy'",
-                                          "usable", "outcome", extra=PSUM))
+                                          "usable", "outcome", extra=PSUM), stage=True)
 def side_by_side_summary(t):
     summ = wf.summarise(evaluated(t, rk.strategies(t.norm, _proxy_cols())))
     return rounded_all(gates.side_by_side(summ, "final", "proxy"), ["mean_tau_a", "mean_precision_a", "mean_tau_b", "mean_precision_b"])
@@ -277,7 +277,7 @@ LOSS = {f"final:{k}": comp_sql({n: w for n, w in MODEL.weights.items() if n in k
     "migration": ["trailing_rent_growth", "cost_to_own_vs_rent", "net_migration"], "all": MODEL.names}.items()}
 
 
-@query("loss_decomposition", with_parts(f"SELECT strategy, {r('avg(weighted_tau)', 'tau')} FROM metrics WHERE horizon=3 GROUP BY strategy", "usable", "outcome", extra=strategies_sql(LOSS) + ",\n" + WF + ",\n" + metrics_sql("wf", G)))
+@query("loss_decomposition", with_parts(f"SELECT strategy, {r('avg(weighted_tau)', 'tau')} FROM metrics WHERE horizon=3 GROUP BY strategy", "usable", "outcome", extra=strategies_sql(LOSS) + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
 def loss_decomposition(t):
     keep = {"none": ["trailing_rent_growth", "cost_to_own_vs_rent"], "jobs": ["trailing_rent_growth", "cost_to_own_vs_rent", "job_growth"],
             "migration": ["trailing_rent_growth", "cost_to_own_vs_rent", "net_migration"], "all": MODEL.names}
@@ -288,7 +288,7 @@ def loss_decomposition(t):
 
 @query("category_index_gap", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable",
        extra=OUT3 + ",\n" + CAT_SQL + ",\n" + frame_sql({"full": "", "category_index": ""}, ranked=strategies_sql(FULL, name="r0") + ",\nranked AS (SELECT * FROM r0 UNION ALL SELECT 'category_index', entity, period, score FROM cat)")
-       + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")))
+       + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")), stage=True)
 def category_index_gap(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL)).unionByName(category(t))
     f = wf.outcome_frame(ranking, outcome(t, [3]), 2, periods(t), t.bound)

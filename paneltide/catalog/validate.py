@@ -47,7 +47,7 @@ def wf_extra(scores, more="", g=None, clip=True, k=10, source="norm"):
     return strategies_sql(scores, source) + ",\n" + WF + ",\n" + metrics_sql("wf", g or G, k, clip) + more
 
 
-@query("usable_periods", with_parts("SELECT period FROM usable", "usable"))
+@query("usable_periods", with_parts("SELECT period FROM usable", "usable"), stage=True)
 def usable_periods(t):
     return periods(t)
 
@@ -57,20 +57,20 @@ def forward_outcome(t):
     return rounded_all(outcome(t), ["realized"])
 
 
-@query("walk_forward", with_parts(metrics_select("strategy, horizon, period, " + regime_sql() + " AS regime"), "usable", "outcome", extra=wf_extra(FULL)))
+@query("walk_forward", with_parts(metrics_select("strategy, horizon, period, " + regime_sql() + " AS regime"), "usable", "outcome", extra=wf_extra(FULL)), stage=True)
 def walk_forward(t):
     return shown(evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL))), drop=())
 
 
 @query("walk_forward_summary", with_parts(f"SELECT strategy, horizon, regime, n_windows, {rs('mean_tau', 'mean_precision')} FROM summ", "usable", "outcome",
-                                          extra=wf_extra(FULL | EQUAL, ",\n" + summary_sql())))
+                                          extra=wf_extra(FULL | EQUAL, ",\n" + summary_sql())), stage=True)
 def walk_forward_summary(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL) | rk.equal_weight(MODEL))
     return rounded_all(wf.summarise(evaluated(t, ranking)), ["mean_tau", "mean_precision"])
 
 
 @query("walk_forward_other_target", with_parts(metrics_select(), "usable", "panel", extra="outcome AS (SELECT h.horizon, a.entity, a.period, b.home_value/a.home_value-1 AS realized FROM panel a "
-       "CROSS JOIN (VALUES (1),(2),(3)) h(horizon) JOIN panel b ON b.entity=a.entity AND b.period=a.period+h.horizon WHERE a.home_value>0),\n" + wf_extra(FULL)))
+       "CROSS JOIN (VALUES (1),(2),(3)) h(horizon) JOIN panel b ON b.entity=a.entity AND b.period=a.period+h.horizon WHERE a.home_value>0),\n" + wf_extra(FULL)), stage=True)
 def walk_forward_other_target(t):
     return shown(evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)), value="home_value"))
 
@@ -99,24 +99,24 @@ def _head(t):
     return wf.headline(wf.summarise(m), 3, 1, "early")
 
 
-@query("baseline_windows", with_parts(metrics_select(), "usable", "outcome", extra=BASE))
+@query("baseline_windows", with_parts(metrics_select(), "usable", "outcome", extra=BASE), stage=True)
 def baseline_windows(t):
     return shown(wf.window_metrics(_baselines(t, HORIZONS), bound=t.bound), drop=())
 
 
-@query("baseline_headline", with_parts(f"SELECT strategy, {rs(*HC)} FROM head", "usable", "outcome", extra=BASE + ",\n" + summary_sql() + HEAD))
+@query("baseline_headline", with_parts(f"SELECT strategy, {rs(*HC)} FROM head", "usable", "outcome", extra=BASE + ",\n" + summary_sql() + HEAD), stage=True)
 def baseline_headline(t):
     return rounded_all(_head(t), HC)
 
 
 @query("baseline_uplift", with_parts(f"SELECT h.strategy, {r('h.tau_long', 'tau_long')}, {r('f.tau_long-h.tau_long', 'uplift_tau_long')} FROM head h, (SELECT * FROM head WHERE strategy='full') f",
-                                     "usable", "outcome", extra=BASE + ",\n" + summary_sql() + HEAD))
+                                     "usable", "outcome", extra=BASE + ",\n" + summary_sql() + HEAD), stage=True)
 def baseline_uplift(t):
     return rounded_all(wf.uplift(_head(t), "full", ["tau_long"]), ["tau_long", "uplift_tau_long"])
 
 
 @query("best_single_indicator", with_parts(f"SELECT horizon, arg_max(strategy, tau) AS strategy, {r('max(tau)', 'tau')} FROM (SELECT strategy, horizon, avg(weighted_tau) AS tau FROM metrics WHERE strategy LIKE 'only:%' GROUP BY ALL) GROUP BY horizon",
-                                           "usable", "outcome", extra=BASE))
+                                           "usable", "outcome", extra=BASE), stage=True)
 def best_single_indicator(t):
     m = evaluated(t, rk.strategies(t.norm, rk.single_indicators(MODEL)))
     mean = m.groupBy("strategy", "horizon").agg(F.avg("weighted_tau").alias("tau"))
@@ -130,7 +130,7 @@ wf AS (SELECT seed, horizon, period, entity, score, realized FROM ranked JOIN ou
 {metrics_sql('wf', ['seed', 'horizon', 'period'])}"""
 
 
-@query("baseline_random", with_parts(f"SELECT horizon, {r('avg(weighted_tau)', 'tau')}, {r('avg(precision_at_k)', 'precision')} FROM metrics GROUP BY horizon", "usable", "outcome", extra=RAND))
+@query("baseline_random", with_parts(f"SELECT horizon, {r('avg(weighted_tau)', 'tau')}, {r('avg(precision_at_k)', 'precision')} FROM metrics GROUP BY horizon", "usable", "outcome", extra=RAND), stage=True)
 def baseline_random(t):
     ranking = rk.random_scores(t.panel, SEEDS)
     m = wf.window_metrics(wf.window_rows(ranking, outcome(t), periods(t)), ["seed", "horizon", "period"], bound=t.bound)
@@ -138,7 +138,7 @@ def baseline_random(t):
 
 
 @query("ablation_deltas", with_parts(f"""SELECT a.strategy, a.horizon, {r('a.tau', 'tau')}, {r('a.tau-f.tau', 'delta')} FROM mean a JOIN (SELECT * FROM mean WHERE strategy='full') f USING (horizon) WHERE a.strategy<>'full'""",
-                                     "usable", "outcome", extra=wf_extra(FULL | DROPS, ",\nmean AS (SELECT strategy, horizon, avg(weighted_tau) AS tau FROM metrics GROUP BY ALL)")))
+                                     "usable", "outcome", extra=wf_extra(FULL | DROPS, ",\nmean AS (SELECT strategy, horizon, avg(weighted_tau) AS tau FROM metrics GROUP BY ALL)")), stage=True)
 def ablation_deltas(t):
     m = evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL) | rk.ablations(MODEL)))
     mean = m.groupBy("strategy", "horizon").agg(F.avg("weighted_tau").alias("tau"))
@@ -150,7 +150,7 @@ def ablation_deltas(t):
 TILT = {"demand_heavy": {"net_migration": .4, "job_growth": .3, "permits_to_stock": .3}, "two_factor": {"net_migration": .5, "permits_to_stock": .5}}
 
 
-@query("weight_schemes", with_parts(metrics_select(), "usable", "outcome", extra=wf_extra({n: comp_sql(w) for n, w in TILT.items()})))
+@query("weight_schemes", with_parts(metrics_select(), "usable", "outcome", extra=wf_extra({n: comp_sql(w) for n, w in TILT.items()})), stage=True)
 def weight_schemes(t):
     return shown(evaluated(t, rk.strategies(t.norm, rk.weight_schemes(TILT))))
 
@@ -182,7 +182,7 @@ def category_index(t):
 
 
 @query("category_index_verdict", with_parts(f"SELECT strategy, {rs(*HC)} FROM head", "usable", "outcome", extra=CAT_SQL + ",\n" + strategies_sql(FULL, name="r0")
-       + ",\nranked AS (SELECT * FROM r0 UNION ALL SELECT 'category_index', entity, period, score FROM cat),\n" + WF + ",\n" + metrics_sql("wf", G) + ",\n" + summary_sql() + HEAD))
+       + ",\nranked AS (SELECT * FROM r0 UNION ALL SELECT 'category_index', entity, period, score FROM cat),\n" + WF + ",\n" + metrics_sql("wf", G) + ",\n" + summary_sql() + HEAD), stage=True)
 def category_index_verdict(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL)).unionByName(category(t))
     return rounded_all(wf.headline(wf.summarise(evaluated(t, ranking)), 3, 1, "early"), HC)
@@ -193,7 +193,7 @@ VAL_SQL = f"""val AS (SELECT entity, period, {z_sql('home_value/nullif(rent*12,0
 {WF}, {metrics_sql('wf', G)}"""
 
 
-@query("valuation_rankings", with_parts(metrics_select(), "usable", "outcome", extra=VAL_SQL))
+@query("valuation_rankings", with_parts(metrics_select(), "usable", "outcome", extra=VAL_SQL), stage=True)
 def valuation_rankings(t):
     v = t.panel.select("entity", "period", *[c.alias(n) for n, c in valuation_measures().items()])
     ranking = rk.standardised(v, {"low_valuation": ("price_to_rent", -1), "high_yield": ("gross_yield", 1)}, t.bound)
@@ -204,14 +204,14 @@ def valuation_rankings(t):
 lim AS (SELECT strategy, horizon, period, quantile_cont(realized,0.01) AS lo, quantile_cont(realized,0.99) AS hi FROM wf GROUP BY ALL HAVING count(*)>=10),
 c AS (SELECT w.* EXCLUDE (realized), least(greatest(realized,lo),hi) AS realized FROM wf w JOIN lim USING (strategy, horizon, period)),
 q AS (SELECT *, quantile_cont(realized,0.75) OVER (PARTITION BY strategy, horizon, period) AS cut, row_number() OVER (PARTITION BY strategy, horizon, period ORDER BY score DESC, entity) AS place, count(*) OVER (PARTITION BY strategy, horizon, period) AS n FROM c),
-per AS (SELECT strategy, horizon, k, period::VARCHAR AS period, avg((realized>=cut)::INT) AS precision FROM q, (VALUES (10),(20)) kk(k) WHERE place<=k AND n>=k GROUP BY ALL)"""))
+per AS (SELECT strategy, horizon, k, period::VARCHAR AS period, avg((realized>=cut)::INT) AS precision FROM q, (VALUES (10),(20)) kk(k) WHERE place<=k AND n>=k GROUP BY ALL)"""), stage=True)
 def precision_several_k(t):
     rows = wf.window_rows(rk.strategies(t.norm, rk.full_model(MODEL)), outcome(t), periods(t))
     return rounded_all(wf.precision_by_k(rows, [10, 20], bound=t.bound), ["precision"])
 
 
 @query("effect_size", with_parts(f"SELECT strategy, horizon, count(*) AS n_windows, {r('avg(edge_pp)', 'mean_pp')}, {r('min(edge_pp)', 'min_pp')}, {r('max(edge_pp)', 'max_pp')}, {r('avg(weighted_tau)', 'mean_tau')} FROM metrics GROUP BY strategy, horizon",
-                                 "usable", "outcome", extra=wf_extra(FULL | EQUAL | {"momentum": "trailing_rent_growth"})))
+                                 "usable", "outcome", extra=wf_extra(FULL | EQUAL | {"momentum": "trailing_rent_growth"})), stage=True)
 def effect_size(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL) | rk.equal_weight(MODEL) | {"momentum": F.col("trailing_rent_growth")})
     m = evaluated(t, ranking).groupBy("strategy", "horizon").agg(
@@ -221,7 +221,7 @@ def effect_size(t):
 
 
 @query("horizon_decay", with_parts(f"SELECT horizon, count(*) AS n_windows, {r('avg(weighted_tau)', 'mean_tau')}, {r('min(weighted_tau)', 'min_tau')}, {r('max(weighted_tau)', 'max_tau')}, {r('avg(edge_pp)', 'mean_pp')}, {r('avg(precision_at_k)', 'mean_precision')} FROM metrics GROUP BY horizon",
-       "usable", "panel", extra="outcome AS (SELECT h.horizon, a.entity, a.period, b.rent/a.rent-1 AS realized FROM panel a CROSS JOIN range(1,7) h(horizon) JOIN panel b ON b.entity=a.entity AND b.period=a.period+h.horizon WHERE a.rent>0),\n" + wf_extra(FULL)))
+       "usable", "panel", extra="outcome AS (SELECT h.horizon, a.entity, a.period, b.rent/a.rent-1 AS realized FROM panel a CROSS JOIN range(1,7) h(horizon) JOIN panel b ON b.entity=a.entity AND b.period=a.period+h.horizon WHERE a.rent>0),\n" + wf_extra(FULL)), stage=True)
 def horizon_decay(t):
     m = evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)), range(1, 7)).withColumn("horizon", F.col("horizon").cast("bigint"))
     g = m.groupBy("horizon").agg(F.count(F.lit(1)).alias("n_windows"), F.avg("weighted_tau").alias("mean_tau"), F.min("weighted_tau").alias("min_tau"),
@@ -276,7 +276,7 @@ def blended_target(t):
 
 
 @query("sub_universe", with_parts(metrics_select(), "usable", "outcome", extra="""big AS (SELECT entity FROM (SELECT entity, arg_max(population, period) AS s FROM panel GROUP BY entity) ORDER BY s DESC, entity LIMIT 50),
-""" + strategies_sql(FULL) + ",\n" + WF.replace("FROM usable)", "FROM usable) AND entity IN (SELECT entity FROM big)") + ",\n" + metrics_sql("wf", G)))
+""" + strategies_sql(FULL) + ",\n" + WF.replace("FROM usable)", "FROM usable) AND entity IN (SELECT entity FROM big)") + ",\n" + metrics_sql("wf", G)), stage=True)
 def sub_universe(t):
     big = wf.largest_entities(t.panel, "population", 50)
     return shown(evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)).join(big, "entity", "left_semi")))
@@ -285,7 +285,7 @@ def sub_universe(t):
 @query("regime_flag", with_parts(f"""SELECT l.period, {r('g', 'median_growth')}, g>0.01 AS flag_fires, l.period BETWEEN 1998 AND 1999 AS hindsight_shock, g>0.01 AND NOT l.period BETWEEN 1998 AND 1999 AS false_alarm,
   NOT g>0.01 AND l.period BETWEEN 1998 AND 1999 AS missed, {r('m1.weighted_tau', 'tau_1')}, {r('m3.weighted_tau', 'tau_3')}
   FROM (SELECT period, median(g) AS g FROM (SELECT period, rent/nullif(lag(rent) OVER (PARTITION BY entity ORDER BY period),0)-1 AS g FROM panel) GROUP BY period HAVING median(g) IS NOT NULL) l
-  LEFT JOIN (SELECT * FROM metrics WHERE horizon=1) m1 USING (period) LEFT JOIN (SELECT * FROM metrics WHERE horizon=3) m3 USING (period)""", "usable", "outcome", extra=wf_extra(FULL)))
+  LEFT JOIN (SELECT * FROM metrics WHERE horizon=1) m1 USING (period) LEFT JOIN (SELECT * FROM metrics WHERE horizon=3) m3 USING (period)""", "usable", "outcome", extra=wf_extra(FULL)), stage=True)
 def regime_flag(t):
     m = evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)))
     f = wf.regime_flags(t.panel, "rent", m, [1, 3], F.col("period").between(1998, 1999), 0.01, t.bound)
@@ -293,7 +293,7 @@ def regime_flag(t):
 
 
 @query("leave_one_window_out", with_parts(f"""SELECT horizon, any_value(n) AS n_windows, {r('min(weighted_tau)', 'min_value')}, {r('max(weighted_tau)', 'max_value')}, {r('min(j)', 'jackknife_min')}, {r('max(j)', 'jackknife_max')}
-  FROM (SELECT *, (s-weighted_tau)/nullif(n-1,0) AS j FROM (SELECT *, count(*) OVER (PARTITION BY horizon) AS n, sum(weighted_tau) OVER (PARTITION BY horizon) AS s FROM metrics)) GROUP BY horizon""", "usable", "outcome", extra=wf_extra(FULL)))
+  FROM (SELECT *, (s-weighted_tau)/nullif(n-1,0) AS j FROM (SELECT *, count(*) OVER (PARTITION BY horizon) AS n, sum(weighted_tau) OVER (PARTITION BY horizon) AS s FROM metrics)) GROUP BY horizon""", "usable", "outcome", extra=wf_extra(FULL)), stage=True)
 def leave_one_window_out(t):
     m = evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)))
     return rounded_all(stats.leave_one_out(m, ["horizon"], "weighted_tau"), ["min_value", "max_value", "jackknife_min", "jackknife_max"])

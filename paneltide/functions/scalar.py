@@ -87,6 +87,8 @@ def interval_name(c: str | Column, intervals: Mapping[str, tuple[int, int]], def
 
 
 def present_count(cols: Sequence[str | Column]) -> Column:
+    if all(isinstance(c, str) for c in cols):
+        return F.expr(" + ".join(f"int(`{c}` IS NOT NULL)" for c in cols))
     total = F.lit(0)
     for c in cols:
         total = total + col(c).isNotNull().cast("int")

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.operators.order import ALL_BEFORE, UP_TO_HERE, add_prefix_sum, add_ranks
-from paneltide.scale import cut_lineage, largest_group, small_side, task_row_limit
+from paneltide.scale import largest_group, small_side, staged, task_row_limit
 
 DIGIT_BITS = 3
 RADIX = 1 << DIGIT_BITS
@@ -57,13 +57,13 @@ def _codes_wide(rows: DataFrame, group: Sequence[str], bound: int) -> DataFrame:
             .join(sizes, list(group)))
 
 
-def _net_by_digit(before, up_to, total):
-    """Signed balance of one row against the other digits of its block."""
-    balance = F.lit(0.0)
-    for d in range(RADIX):
-        net = F.col(f"{before}{d}") + F.col(f"{up_to}{d}") - F.col(f"{total}{d}")
-        balance = balance + F.when(F.col("_digit") > d, net).when(F.col("_digit") < d, -net).otherwise(0.0)
-    return balance
+def _net_by_digit(before: str, up_to: str, total: str) -> str:
+    """Signed balance of one row against the other digits of its block, as SQL text."""
+    return " + ".join(f"signum(_digit - {d}) * ({before}{d} + {up_to}{d} - {total}{d})" for d in range(RADIX))
+
+
+def _of_digit(d: int) -> str:
+    return f"CASE WHEN _digit = {d} THEN _m ELSE 0 END"
 
 
 def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str, tie: str, *,
@@ -90,11 +90,11 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
         # Every row has a digit level 0, which therefore stands for the row itself in the
         # denominator and in the extra aggregates: one exchange per step, no join.
         levels = _balance_narrow(_digits(_codes_narrow(rows, group), [*group, *extra, "_mx", "_my"]), group)
-        own = lambda c: F.when(F.col("_level") == 0, F.col(c))
+        own = "CASE WHEN _level = 0 THEN {} END".format
         got = levels.groupBy(*group).agg(
-            F.sum("_term").alias("_num"), F.sum(own("_m")).alias("_mm"), F.sum(own("_wt")).alias("_ww"),
-            F.sum((F.col("_mx") - 1) * own("_wt")).alias("_tx"), F.sum((F.col("_my") - 1) * own("_wt")).alias("_ty"),
-            *[f(own(f"_also_{n}")).alias(n) for n, (f, _) in also.items()])
+            F.sum("_term").alias("_num"), *[F.expr(f"sum({own(e)}) AS {n}") for n, e in (
+                ("_mm", "_m"), ("_ww", "_wt"), ("_tx", "(_mx - 1) * _wt"), ("_ty", "(_my - 1) * _wt"))],
+            *[f(F.expr(own(f"_also_{n}"))).alias(n) for n, (f, _) in also.items()])
     total = (F.col("_mm") - 1) * F.col("_ww")
     spread = F.greatest(total - F.col("_tx"), F.lit(0.0)) * F.greatest(total - F.col("_ty"), F.lit(0.0))
     return got.select(*group, *also, F.when(
@@ -112,7 +112,7 @@ def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
     """Split form: the numerator and each tie sum are their own aggregations, joined per group."""
-    coded = cut_lineage(coded)
+    coded = staged(coded)
     numerator = _balance_wide(_digits(coded, list(group)), group).groupBy(*group).agg(F.sum("_term").alias("_num"))
     base = coded.groupBy(*group).agg(
         F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww"),
@@ -124,16 +124,15 @@ def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
 
 
 def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    block = Window.partitionBy(*group, "_level", "_block")
-    along = block.orderBy("_dy")
+    block = ", ".join(f"`{g}`" for g in (*group, "_level", "_block"))
+    along = f"PARTITION BY {block} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND"
     cols = {}
     for d in range(RADIX):
-        here = F.when(F.col("_digit") == d, F.col("_m")).otherwise(F.lit(0))
-        cols[f"_b{d}"] = F.coalesce(F.sum(here).over(along.rangeBetween(*ALL_BEFORE)), F.lit(0))
-        cols[f"_u{d}"] = F.sum(here).over(along.rangeBetween(*UP_TO_HERE))
-        cols[f"_t{d}"] = F.sum(here).over(block)
+        cols[f"_b{d}"] = F.expr(f"coalesce(sum({_of_digit(d)}) OVER ({along} 1 PRECEDING), 0)")
+        cols[f"_u{d}"] = F.expr(f"sum({_of_digit(d)}) OVER ({along} CURRENT ROW)")
+        cols[f"_t{d}"] = F.expr(f"sum({_of_digit(d)}) OVER (PARTITION BY {block})")
     helpers = {*cols, "_dx", "_dy", "_block", "_digit"}
-    counted = rows.withColumns(cols).withColumn("_term", F.col("_wt") * _net_by_digit("_b", "_u", "_t"))
+    counted = rows.withColumns(cols).withColumn("_term", F.expr(f"_wt * ({_net_by_digit('_b', '_u', '_t')})"))
     return counted.select(*[c for c in counted.columns if c not in helpers])
 
 
@@ -148,18 +147,17 @@ def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     size = F.pow(F.lit(float(RADIX)), F.col("_level") + 1)
     cells = (rows.withColumn("_stretch", F.when(size > step, F.floor(F.col("_dy") / step)).otherwise(0).cast("int"))
              .groupBy(*key, "_dy", "_digit").agg(F.sum("_m").alias("_m"), F.sum("_wt").alias("_wt")))
-    here = {d: F.when(F.col("_digit") == d, F.col("_m")).otherwise(F.lit(0)) for d in range(RADIX)}
-    per_stretch = cells.groupBy(*key).agg(*[F.sum(here[d]).alias(f"_c{d}") for d in range(RADIX)])
+    digits = range(RADIX)
+    per_stretch = cells.groupBy(*key).agg(*[F.expr(f"sum({_of_digit(d)}) AS _c{d}") for d in digits])
     block = Window.partitionBy(*group, "_level", "_block")
     ahead = block.orderBy("_stretch").rowsBetween(*ALL_BEFORE)
     carried = per_stretch.select(
-        *key, *[F.coalesce(F.sum(f"_c{d}").over(ahead), F.lit(0)).alias(f"_o{d}") for d in range(RADIX)],
-        *[F.sum(f"_c{d}").over(block).alias(f"_t{d}") for d in range(RADIX)])
+        *key, *[F.coalesce(F.sum(f"_c{d}").over(ahead), F.lit(0)).alias(f"_o{d}") for d in digits],
+        *[F.sum(f"_c{d}").over(block).alias(f"_t{d}") for d in digits])
     along = Window.partitionBy(*key).orderBy("_dy")
     inner = cells.withColumns({
-        **{f"_b{d}": F.coalesce(F.sum(here[d]).over(along.rangeBetween(*ALL_BEFORE)), F.lit(0)) for d in range(RADIX)},
-        **{f"_u{d}": F.sum(here[d]).over(along.rangeBetween(*UP_TO_HERE)) for d in range(RADIX)}})
+        **{f"_b{d}": F.coalesce(F.sum(F.expr(_of_digit(d))).over(along.rangeBetween(*ALL_BEFORE)), F.lit(0)) for d in digits},
+        **{f"_u{d}": F.sum(F.expr(_of_digit(d))).over(along.rangeBetween(*UP_TO_HERE)) for d in digits}})
     full = inner.join(carried, key).withColumns({
-        **{f"_b{d}": F.col(f"_b{d}") + F.col(f"_o{d}") for d in range(RADIX)},
-        **{f"_u{d}": F.col(f"_u{d}") + F.col(f"_o{d}") for d in range(RADIX)}})
-    return full.select(*group, (F.col("_wt") * _net_by_digit("_b", "_u", "_t")).alias("_term"))
+        f"_{side}{d}": F.expr(f"_{side}{d} + _o{d}") for side in "bu" for d in digits})
+    return full.select(*group, F.expr(f"_wt * ({_net_by_digit('_b', '_u', '_t')})").alias("_term"))

@@ -1,7 +1,7 @@
 """Order statistics inside groups: positions, ranks, exact quantiles, top-k.
 
 Every operator has two plans with equal results (see ``scale``). The split plan range-partitions
-the rows on (group, order, row hash), fixes that placement with a reliable checkpoint, ranks
+the rows on (group, order, row hash), fixes that placement in a written table, ranks
 inside each (partition, group) slice and adds the rows of the earlier slices of the same group.
 Ties that straddle slices are repaired from the first and last tie run of each slice, at most two
 runs per slice, so no task ever holds a whole group.
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.scale import cut_lineage, is_wide, small_side
+from paneltide.scale import is_wide, small_side, staged
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -29,7 +29,7 @@ def _split_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salted = df.withColumn("_salt", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn(
         "_w", F.lit(1.0) if weight is None else weight.cast("double"))
-    placed = cut_lineage(
+    placed = staged(
         salted.repartitionByRange(parts, *[F.col(g) for g in group], *order, F.col("_salt"))
         .withColumn("_part", F.spark_partition_id()))
     slices = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_sum"))

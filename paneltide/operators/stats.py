@@ -25,22 +25,22 @@ def zscores(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], *,
     Population form (default): a group without spread gives 0 for every row, missing input included.
     Sample form: a group without spread gives NULL. ``signs`` flips chosen outputs with -1.
     """
-    spread = F.stddev_samp if sample else F.stddev_pop
+    spread = "stddev_samp" if sample else "stddev_pop"
     stats = {}
     for out, src in columns.items():
-        stats[f"_avg_{out}"], stats[f"_std_{out}"] = F.avg(src), spread(src)
+        stats[f"_avg_{out}"], stats[f"_std_{out}"] = f"avg(`{src}`)", f"{spread}(`{src}`)"
     if is_wide(df, group, bound):
-        table = small_side(df.groupBy(*group).agg(*[c.alias(n) for n, c in stats.items()]))
+        table = small_side(df.groupBy(*group).agg(*[F.expr(e).alias(n) for n, e in stats.items()]))
         held = df.join(table, list(group), "left")
     else:
-        w = Window.partitionBy(*group)
-        held = df.withColumns({n: c.over(w) for n, c in stats.items()})
+        part = ", ".join(f"`{g}`" for g in group)
+        held = df.withColumns({n: F.expr(f"{e} OVER (PARTITION BY {part})") for n, e in stats.items()})
     out_cols = {}
     for out, src in columns.items():
-        std = F.col(f"_std_{out}")
-        z = (F.col(src) - F.col(f"_avg_{out}")) / F.when(std != 0, std)
-        z = z if sample else F.when(std == 0, F.lit(0.0)).otherwise(z)
-        out_cols[out] = -z if (signs or {}).get(out, 1) < 0 else z
+        avg, std = f"`_avg_{out}`", f"`_std_{out}`"
+        z = f"(`{src}` - {avg}) / nullif({std}, 0.0D)"
+        z = z if sample else f"CASE WHEN {std} = 0 THEN 0.0D ELSE {z} END"
+        out_cols[out] = F.expr(f"-({z})" if (signs or {}).get(out, 1) < 0 else z)
     return held.withColumns(out_cols).drop(*stats)
 
 

@@ -44,10 +44,7 @@ def normalised(ind: DataFrame, model: Model, bound: int | None = None) -> DataFr
 
 def composite(weights: Mapping[str, float]) -> Column:
     """Weighted sum with missing scores at zero, the neutral value."""
-    total = F.lit(0.0)
-    for name, w in weights.items():
-        total = total + F.lit(float(w)) * F.coalesce(F.col(name), F.lit(0.0))
-    return total
+    return F.expr(" + ".join(f"{float(w)!r}D * coalesce(`{name}`, 0.0D)" for name, w in weights.items()) or "0.0D")
 
 
 def scored(norm: DataFrame, model: Model, bound: int | None = None) -> DataFrame:

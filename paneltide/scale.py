@@ -50,12 +50,16 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a table in the shared folder and read it back.
+
+    For inputs used more than once: the work is done once, a lost executor costs no recomputation
+    of the stages before, later reads prune columns, and the optimizer knows the real size, so its
+    own size check decides whether a join broadcasts the table.
+    """
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -63,5 +67,5 @@ def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
     Beyond ``limit`` rows the same table comes back without a hint and joins by shuffle.
     """
-    kept = cut_lineage(df)
+    kept = staged(df, "summary")
     return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
