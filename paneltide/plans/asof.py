@@ -125,8 +125,8 @@ def history_with_early(panel: DataFrame, model: Model, early: DataFrame, periods
         early.filter(F.col("period").isin(list(periods))).select(*ind.columns))
 
 
-def series_coverage(series: DataFrame, expected: DataFrame, final: DataFrame, name: str) -> DataFrame:
-    """Per expected entity: was the series found, when was it last observed; growth beside the final one."""
+def series_coverage(series: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """Per expected entity: was the series found, when was it last observed."""
     seen = series.groupBy("entity").agg(F.max("period").alias("last_obs"), F.count(name).alias("n_obs"))
     return expected.select("entity").join(seen, "entity", "left").select(
         "entity", F.col("last_obs").isNotNull().alias("found"), "last_obs", F.coalesce("n_obs", F.lit(0)).alias("n_obs"))
