@@ -65,8 +65,8 @@ def bootstrap_draws(t):
 @query("bootstrap_tau", with_parts(f"SELECT strategy, {r('p.tau', 'tau')}, {r('quantile_cont(reps.tau,0.025)', 'lo')}, {r('quantile_cont(reps.tau,0.975)', 'hi')} FROM point p JOIN reps USING (strategy) GROUP BY strategy, p.tau", "usable", extra=BASE), stage=True)
 def bootstrap_tau(t):
     f = frame(t, two(t))
-    reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
-    return rounded_all(rs_.tau_intervals(rs_.pooled_taus(f, t.bound), reps), ["tau", "lo", "hi"])
+    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    return rounded_all(rs_.tau_intervals(point, reps), ["tau", "lo", "hi"])
 
 
 GAPC = ["tau", "gap", "gap_lo", "gap_hi"]
@@ -76,8 +76,8 @@ GAPC = ["tau", "gap", "gap_lo", "gap_hi"]
                                 extra=BASE + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")), stage=True)
 def paired_gap(t):
     f = frame(t, two(t))
-    reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
-    return rounded_all(rs_.paired_gaps(rs_.pooled_taus(f, t.bound), reps, "full"), GAPC)
+    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    return rounded_all(rs_.paired_gaps(point, reps, "full"), GAPC)
 
 
 CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM supplier),\n" + drawn_sql("members", unit="cluster", name="cd") + ",\ndrawn AS (SELECT replicate, entity, copies FROM cd JOIN members USING (cluster))"
@@ -88,8 +88,8 @@ CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM s
 def cluster_bootstrap(t):
     f = frame(t, two(t))
     members = t.nation_of_supplier().withColumnRenamed("state", "cluster")
-    reps = rs_.replicate_taus(f, rs_.cluster_draws(members, "cluster", B, bound=t.bound), t.bound)
-    return rounded_all(rs_.tau_intervals(rs_.pooled_taus(f, t.bound), reps), ["tau", "lo", "hi"])
+    point, reps = rs_.bootstrap(f, B, members=members, cluster="cluster", bound=t.bound)
+    return rounded_all(rs_.tau_intervals(point, reps), ["tau", "lo", "hi"])
 
 
 SCHEMES = {"current": MODEL.weights, "equal": rk.tilted_weights(MODEL, None), "two": {"net_migration": 0.5, "permits_to_stock": 0.5}}
@@ -100,8 +100,8 @@ SBASE = OUT3 + ",\n" + frame_sql(SCHEME_SQL) + ",\n" + drawn_sql("frame") + ",\n
 
 def scheme_gaps(t):
     f = frame(t, rk.weight_schemes(SCHEMES))
-    reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
-    return rs_.paired_gaps(rs_.pooled_taus(f, t.bound), reps)
+    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    return rs_.paired_gaps(point, reps)
 
 
 @query("scheme_comparison", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable", extra=SBASE), stage=True)
@@ -223,8 +223,8 @@ def both_norms(t):
 def variant_prong_a(t):
     weights = {f"v_{k}": w for k, w in MODEL.weights.items()}
     f = frame(t, {"current": composite(MODEL.weights), "variant": composite(weights)}, both_norms(t))
-    reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
-    v = gates.variant_verdict(rs_.paired_gaps(rs_.pooled_taus(f, t.bound), reps, "current"), "variant")
+    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    v = gates.variant_verdict(rs_.paired_gaps(point, reps, "current"), "variant")
     return rounded_all(v, ["tau_variant", "tau_current", "gap", "gap_lo", "gap_hi"])
 
 
@@ -292,5 +292,5 @@ def loss_decomposition(t):
 def category_index_gap(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL)).unionByName(category(t))
     f = wf.outcome_frame(ranking, outcome(t, [3]), 2, periods(t), t.bound)
-    reps = rs_.replicate_taus(f, rs_.draws(f, "entity", B, bound=t.bound), t.bound)
-    return rounded_all(rs_.paired_gaps(rs_.pooled_taus(f, t.bound), reps, "full"), GAPC)
+    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    return rounded_all(rs_.paired_gaps(point, reps, "full"), GAPC)

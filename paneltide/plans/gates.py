@@ -12,9 +12,10 @@ from paneltide.operators.rollup import coverage_by_period
 from paneltide.operators.stats import correlation, spearman, zscores
 from paneltide.plans.model import Model
 from paneltide.plans.rankings import strategies
-from paneltide.plans.resample import draws, paired_gaps, pooled_taus, replicate_taus
+from paneltide.plans.resample import bootstrap, paired_gaps
 from paneltide.plans.scoring import composite
 from paneltide.plans.walkforward import outcome_frame, window_metrics, window_rows
+from paneltide.scale import staged
 
 KEYS = ("entity", "period")
 
@@ -43,14 +44,14 @@ def candidate_gate(norm: DataFrame, cand: DataFrame, names: Sequence[str], model
     Standalone tau (sign turned when negative), largest absolute correlation with a current
     indicator, and the bootstrap interval of the tau gained by adding the candidate.
     """
-    wide = norm.join(cand, list(KEYS), "left")
+    wide = staged(norm.join(cand, list(KEYS), "left"), "candidates")
     alone = window_metrics(
         window_rows(strategies(wide, {n: F.col(n) for n in names}), outcome, periods), bound=bound)
-    taus = alone.groupBy("strategy").agg(F.avg("weighted_tau").alias("_tau")).select(
-        F.col("strategy").alias("candidate"), F.abs("_tau").alias("standalone_tau"), (F.col("_tau") < 0).alias("flipped"))
+    taus = staged(alone.groupBy("strategy").agg(F.avg("weighted_tau").alias("_tau")).select(
+        F.col("strategy").alias("candidate"), F.abs("_tau").alias("standalone_tau"), (F.col("_tau") < 0).alias("flipped")),
+        "standalone")
 
-    held = norm.join(cand, list(KEYS))
-    one = held.agg(*[correlation(n, k).alias(f"{n}|{k}") for n in names for k in model.names])
+    one = wide.agg(*[correlation(n, k).alias(f"{n}|{k}") for n in names for k in model.names])
     worst = [F.struct(F.lit(n).alias("candidate"),
                       F.greatest(*[F.abs(F.col(f"`{n}|{k}`")) for k in model.names]).alias("max_abs_corr")) for n in names]
     corr = one.select(F.explode(F.array(*worst)).alias("c")).select("c.*")
@@ -65,8 +66,8 @@ def candidate_gate(norm: DataFrame, cand: DataFrame, names: Sequence[str], model
         for w in weights:
             scores[f"{n}@{w:g}"] = F.lit(1.0 - w) * F.col("score") + F.lit(w) * lean
     frame = outcome_frame(strategies(turned, scores), outcome, len(scores), periods, bound)
-    drawn = draws(frame, "entity", replicates, bound=bound)
-    gaps = paired_gaps(pooled_taus(frame, bound), replicate_taus(frame, drawn, bound), "full").filter(
+    point, drawn = bootstrap(frame, replicates, bound=bound)
+    gaps = paired_gaps(point, drawn, "full").filter(
         F.col("strategy") != "full")
     gained = gaps.select(
         F.substring_index("strategy", "@", 1).alias("candidate"),

@@ -14,6 +14,7 @@ from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.order import add_positions, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
+from paneltide.scale import staged
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", bound: int | None = None) -> DataFrame:
@@ -55,6 +56,19 @@ def pooled_taus(frame: DataFrame, bound: int | None = None, windows: Sequence[st
     return per.filter(F.col("_n") >= MIN_WINDOW_ROWS).groupBy("strategy").agg(F.avg("tau").alias("tau"))
 
 
+def bootstrap(frame: DataFrame, replicates: int, *, members: DataFrame | None = None, cluster: str | None = None,
+              seed: str = "boot", bound: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(point estimates, replicate estimates) of a window frame, by entity or by cluster of entities.
+
+    The frame feeds the draws, the point and the replicates, and the estimates feed intervals and
+    gaps, so each of the three is written once.
+    """
+    frame = staged(frame, "frame")
+    drawn = (draws(frame, "entity", replicates, seed, bound) if members is None
+             else cluster_draws(members, cluster, replicates, seed, bound))
+    return staged(pooled_taus(frame, bound), "point"), staged(replicate_taus(frame, drawn, bound), "replicates")
+
+
 def tau_intervals(point: DataFrame, replicates: DataFrame) -> DataFrame:
     """Point estimate with its 95% interval per strategy."""
     return point.join(percentile_interval(replicates, ["strategy"], "tau", bound=0), "strategy")

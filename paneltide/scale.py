@@ -37,13 +37,20 @@ def is_wide(df: DataFrame, group: Sequence[str], bound: int | None = None) -> bo
     return size > task_row_limit(df.sparkSession)
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="paneltide-")  # local runs and tests only
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    """The folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="paneltide-")
+    return _LOCAL_DIRS[app]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
