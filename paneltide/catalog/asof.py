@@ -67,7 +67,7 @@ EDITION = (PROXIES + ",\n" + early_sql() + ",\nmix AS (SELECT * FROM ind WHERE p
 @query("early_edition", with_parts(f"SELECT entity, rank() OVER (ORDER BY {comp_sql(MODEL.weights)} DESC)::INT AS rank, {r(comp_sql(MODEL.weights), 'score')} FROM enorm WHERE period=2000",
                                    "ind", extra=EDITION.replace("SELECT * FROM ind WHERE", "SELECT entity, period, " + ", ".join(NAMES) + " FROM ind WHERE")), stage=True)
 def early_edition(t):
-    mixed = asof.history_with_early(t.panel, MODEL, early(t), [2000])
+    mixed = asof.history_with_early(t.rated(t.panel), MODEL, early(t), [2000])
     s = scored(normalised(mixed, MODEL, t.bound), MODEL, t.bound).filter("period = 2000")
     return rounded_all(s.select("entity", "rank", "score"), ["score"])
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import col, ratio
+from paneltide.operators.match import with_dimension
 from paneltide.operators.rollup import concentration
 from paneltide.plans.model import RENT_MODEL as MODEL
 from paneltide.plans.scoring import indicators, normalised, scored
@@ -63,28 +64,33 @@ class Tables:
         return self.rows("supplier")
 
     def _panel(self, fact: DataFrame) -> DataFrame:
-        """Two partial aggregations over one scan: to cells, then to (entity, period)."""
+        """One scan, summed map-side to cells, then to (entity, period).
+
+        The cells of an entity are few, so they move once, on the entity alone: the second sum and
+        every later window over the entity's history find their rows in place.
+        """
         signed = F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).when(
             F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(0.0)
         cells = fact.groupBy("entity", F.year("l_shipdate").alias("period"), F.col("l_linenumber").alias("cell")).agg(
             F.sum("l_quantity").alias("q"), F.sum(signed).alias("flow"), F.count(F.lit(1)).cast("double").alias("n"),
             F.sum("l_extendedprice").alias("ext"),
             F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"),
-            F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"), F.sum("l_tax").alias("tax"),
+            F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
             F.sum(F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0)).alias("open_n"))
         total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0.0))
-        panel = cells.groupBy("entity", "period").agg(
+        return cells.repartition("entity").groupBy("entity", "period").agg(
             F.sum("q").alias("population"), F.sum("n").alias("housing_units"), F.sum("flow").alias("net_migration"),
             total(F.col("cell") <= 2).alias("permits_total"), total(F.col("cell") >= 5).alias("permits_mf"),
             F.sum("open_n").alias("total_emp"), ratio(F.sum("rev"), F.sum("q")).alias("income_pc"),
             ratio(F.sum("rev"), F.sum("n")).alias("avg_pay"), ratio(F.sum("unit"), F.sum("n")).alias("rent"),
-            ratio(F.sum("ext"), F.sum("n")).alias("home_value"), concentration("rev").alias("emp_hhi"),
-            F.sum("tax").alias("_tax"))
-        rate = panel.groupBy("period").agg(ratio(F.sum("_tax") * 100.0, F.sum("housing_units")).alias("mortgage_rate"))
-        return panel.drop("_tax").join(rate, "period").select("entity", "period", *MEASURES, "mortgage_rate")
+            ratio(F.sum("ext"), F.sum("n")).alias("home_value"), concentration("rev").alias("emp_hhi"))
+
+    def rated(self, panel: DataFrame) -> DataFrame:
+        """The panel with the national rate of each period, a dimension joined without moving the panel."""
+        rate = self.lineitem.groupBy(F.year("l_shipdate").alias("period")).agg((F.avg("l_tax") * 100.0).alias("mortgage_rate"))
+        return with_dimension(panel, rate, ["period"])
 
-    FACT = ["l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-            "l_linestatus"]
+    FACT = ["l_shipdate", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]
 
     @cached_property
     def panel(self) -> DataFrame:
@@ -99,7 +105,7 @@ class Tables:
 
     @cached_property
     def ind(self) -> DataFrame:
-        return indicators(self.panel, MODEL)
+        return indicators(self.rated(self.panel), MODEL)
 
     @cached_property
     def norm(self) -> DataFrame:

@@ -233,6 +233,32 @@ def panel_spine(t):
     return rounded_all(match.star_join(grid, [t.customer_panel.select("entity", "period", "rent")]), ["rent"])
 
 
+STAR = """vol AS (SELECT o_custkey AS entity, year(o_orderdate) AS period, count(*) AS n_orders FROM orders GROUP BY ALL),
+val AS (SELECT o_custkey AS entity, year(o_orderdate) AS period, max(o_totalprice) AS top_order FROM orders WHERE o_orderstatus='O' GROUP BY ALL)"""
+
+
+@query("star_join", with_parts(f"SELECT c.c_custkey AS entity, y::INT AS period, {r('p.rent', 'rent')}, v.n_orders, w.top_order FROM customer c CROSS JOIN range(1995,2002) s(y) LEFT JOIN customer_panel p ON p.entity=c.c_custkey AND p.period=y "
+                               "LEFT JOIN vol v ON v.entity=c.c_custkey AND v.period=y LEFT JOIN val w ON w.entity=c.c_custkey AND w.period=y", "customer_panel", extra=STAR))
+def star_join(t):
+    grid = reshape.spine(t.customer.select(S("c_custkey").alias("entity")), 1995, 2001)
+    key = [S("o_custkey").alias("entity"), F.year("o_orderdate").alias("period")]
+    vol = t.orders.groupBy(*key).agg(F.count(F.lit(1)).alias("n_orders"))
+    val = t.orders.filter("o_orderstatus = 'O'").groupBy(*key).agg(F.max("o_totalprice").alias("top_order"))
+    return rounded_all(match.star_join(grid, [t.customer_panel.select("entity", "period", "rent"), vol, val]), ["rent"])
+
+
+@query("scalar_functions", """SELECT event_id, (strftime(ts,'%Y%m%d')::INT // 10000)::INT AS year_part, strftime(ts,'%Y')||'Q'||quarter(ts) LIKE '%Q1' AS first_quarter, greatest(least(round(value,1),20.0::DOUBLE),1.0::DOUBLE)+0.0 AS clipped,
+  round(sqrt(abs(value)),6)+0.0 AS root, lower(event_type) AS kind, (props->>'k')::INT AS k, strftime(ts + INTERVAL 12 MONTH,'%Y-%m') AS next_year FROM events""")
+def scalar_functions(t):
+    day = F.date_format("ts", "yyyyMMdd").cast("int")
+    return t.events.select(
+        "event_id", F.expr("int(date_format(ts, 'yyyyMMdd')) div 10000").cast("int").alias("year_part"),
+        F.concat(F.date_format("ts", "yyyy"), F.lit("Q"), F.quarter("ts")).endswith("Q1").alias("first_quarter"),
+        (F.greatest(F.least(F.round("value", 1), F.lit(20.0)), F.lit(1.0)) + 0.0).alias("clipped"), (F.round(F.sqrt(F.abs("value")), 6) + 0.0).alias("root"),
+        F.lower("event_type").alias("kind"), F.from_json("props", "k int")["k"].alias("k"),
+        F.date_format(F.add_months(F.to_date(day.cast("string"), "yyyyMMdd"), 12), "yyyy-MM").alias("next_year"))
+
+
 @query("row_means", with_parts(f"""SELECT entity, period, {r('CASE WHEN n>=1 THEN s/n END', 'mean_any')}, {r('CASE WHEN n>=2 THEN s/n END', 'mean_two')}, n AS n_present FROM (SELECT entity, period,
   (job_growth IS NOT NULL)::INT+(income_growth IS NOT NULL)::INT+(permits_to_stock IS NOT NULL)::INT AS n, coalesce(job_growth,0)+coalesce(income_growth,0)+coalesce(permits_to_stock,0) AS s FROM ind)""", "ind"))
 def row_means(t):

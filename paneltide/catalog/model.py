@@ -13,12 +13,12 @@ SCORE_COLS = ["score"] + [f"bucket_{b}" for b in MODEL.buckets]
 
 @query("panel_star", with_parts(f"SELECT entity, period, {rs(*MEASURES, 'mortgage_rate', digits=4)} FROM panel", "panel"))
 def panel_star(t):
-    return rounded_all(t.panel, [*MEASURES, "mortgage_rate"], 4)
+    return rounded_all(t.rated(t.panel), [*MEASURES, "mortgage_rate"], 4)
 
 
 @query("panel_gappy", with_parts(f"SELECT entity, period, {rs(*MEASURES, 'mortgage_rate', digits=4)} FROM customer_panel", "customer_panel"))
 def panel_gappy(t):
-    return rounded_all(t.customer_panel, [*MEASURES, "mortgage_rate"], 4)
+    return rounded_all(t.rated(t.customer_panel), [*MEASURES, "mortgage_rate"], 4)
 
 
 @query("indicator_table", with_parts(f"SELECT entity, period, {rs(*MODEL.names)} FROM ind", "ind"))

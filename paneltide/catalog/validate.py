@@ -282,14 +282,33 @@ def sub_universe(t):
     return shown(evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)).join(big, "entity", "left_semi")))
 
 
-@query("regime_flag", with_parts(f"""SELECT l.period, {r('g', 'median_growth')}, g>0.01 AS flag_fires, l.period BETWEEN 1998 AND 1999 AS hindsight_shock, g>0.01 AND NOT l.period BETWEEN 1998 AND 1999 AS false_alarm,
-  NOT g>0.01 AND l.period BETWEEN 1998 AND 1999 AS missed, {r('m1.weighted_tau', 'tau_1')}, {r('m3.weighted_tau', 'tau_3')}
+FLAGGED = """flagged AS (SELECT l.period, g AS median_growth, g>0.01 AS flag_fires, l.period BETWEEN 1998 AND 1999 AS hindsight_shock, g>0.01 AND NOT l.period BETWEEN 1998 AND 1999 AS false_alarm,
+  NOT g>0.01 AND l.period BETWEEN 1998 AND 1999 AS missed, m1.weighted_tau AS tau_1, m3.weighted_tau AS tau_3
   FROM (SELECT period, median(g) AS g FROM (SELECT period, rent/nullif(lag(rent) OVER (PARTITION BY entity ORDER BY period),0)-1 AS g FROM panel) GROUP BY period HAVING median(g) IS NOT NULL) l
-  LEFT JOIN (SELECT * FROM metrics WHERE horizon=1) m1 USING (period) LEFT JOIN (SELECT * FROM metrics WHERE horizon=3) m3 USING (period)""", "usable", "outcome", extra=wf_extra(FULL)), stage=True)
-def regime_flag(t):
+  LEFT JOIN (SELECT * FROM metrics WHERE horizon=1) m1 USING (period) LEFT JOIN (SELECT * FROM metrics WHERE horizon=3) m3 USING (period))"""
+
+
+def flagged(t):
     m = evaluated(t, rk.strategies(t.norm, rk.full_model(MODEL)))
-    f = wf.regime_flags(t.panel, "rent", m, [1, 3], F.col("period").between(1998, 1999), 0.01, t.bound)
-    return rounded_all(f, ["median_growth", "tau_1", "tau_3"])
+    return wf.regime_flags(t.panel, "rent", m, [1, 3], F.col("period").between(1998, 1999), 0.01, t.bound)
+
+
+@query("regime_flag", with_parts(f"SELECT period, flag_fires, hindsight_shock, false_alarm, missed, {rs('median_growth', 'tau_1', 'tau_3')} FROM flagged", "usable", "outcome", extra=wf_extra(FULL) + ",\n" + FLAGGED), stage=True)
+def regime_flag(t):
+    return rounded_all(flagged(t), ["median_growth", "tau_1", "tau_3"])
+
+
+@query("regime_flag_payoff", with_parts(f"SELECT flag_fires, count(*) AS n_periods, count(CASE WHEN false_alarm THEN 1 END) AS n_false_alarms, count(CASE WHEN missed THEN 1 END) AS n_missed, {r('avg(tau_1)', 'mean_tau_1')}, {r('avg(tau_3)', 'mean_tau_3')} FROM flagged GROUP BY flag_fires", "usable", "outcome", extra=wf_extra(FULL) + ",\n" + FLAGGED), stage=True)
+def regime_flag_payoff(t):
+    return rounded_all(wf.flag_payoff(flagged(t), [1, 3]), ["mean_tau_1", "mean_tau_3"])
+
+
+@query("augmented_ranking", with_parts(metrics_select(), "usable", "outcome", extra=f"""aug AS (SELECT s.entity, s.period, 0.9::DOUBLE*s.score+0.1::DOUBLE*coalesce(z,0) AS score FROM scored s LEFT JOIN (SELECT entity, period, {z_sql('population', 1, 'period', True)} AS z FROM panel WHERE entity%7<>0) c USING (entity, period)),
+""" + strategies_sql({"augmented": "score"}, "aug") + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
+def augmented_ranking(t):
+    z = stats.zscores(t.panel.filter("entity % 7 <> 0"), ["period"], {"cand": "population"}, sample=True, bound=t.bound)
+    both = t.scored.select("entity", "period", "score").join(z.select("entity", "period", "cand"), ["entity", "period"], "left")
+    return shown(evaluated(t, rk.strategies(both, {"augmented": rk.augmented(0.1)})))
 
 
 @query("leave_one_window_out", with_parts(f"""SELECT horizon, any_value(n) AS n_windows, {r('min(weighted_tau)', 'min_value')}, {r('max(weighted_tau)', 'max_value')}, {r('min(j)', 'jackknife_min')}, {r('max(j)', 'jackknife_max')}

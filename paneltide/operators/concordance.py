@@ -98,7 +98,7 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
     total = (F.col("_mm") - 1) * F.col("_ww")
     spread = F.greatest(total - F.col("_tx"), F.lit(0.0)) * F.greatest(total - F.col("_ty"), F.lit(0.0))
     return got.select(*group, *also, F.when(
-        spread > 1e-18, F.coalesce(F.col("_num"), F.lit(0.0)) / F.sqrt(spread)).alias(name))
+        spread > 1e-18, F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)), F.sqrt(spread))).alias(name))
 
 
 def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:

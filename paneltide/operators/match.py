@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import title_places
 from paneltide.operators.order import top_k
+from paneltide.scale import small_side
 
 
 def star_join(spine: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str] = ("entity", "period")) -> DataFrame:
@@ -18,6 +19,12 @@ def star_join(spine: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str]
     return out
 
 
+def with_dimension(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Attach a dimension by key. It is computed once and counted: a small one is broadcast, so the
+    large side keeps its place; a large one is joined by shuffle."""
+    return df.join(small_side(dimension), list(on), how)
+
+
 def latest_before(facts: DataFrame, cut: int, value: str, entity: str = "entity", period: str = "period",
                   inclusive: bool = False) -> DataFrame:
     """Latest non-NULL value per entity before (or up to) a cut, one partial aggregation."""

@@ -108,7 +108,7 @@ def add_ranks(df: DataFrame, group: Sequence[str], value: str, *, low: str | Non
     if average:
         out[average] = F.when(there, mean_rank)
     if percent:
-        out[percent] = F.when(there, mean_rank / F.col("_n") * F.lit(100.0))
+        out[percent] = F.when(there, F.try_divide(mean_rank, F.col("_n")) * F.lit(100.0))
     return ranked.withColumns(out).drop("_first", "_ties", "_n")
 
 

@@ -7,15 +7,20 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.functions.scalar import ratio
+from paneltide.functions.scalar import col, ratio
 from paneltide.operators.order import add_ranks, quantiles
 from paneltide.scale import is_wide, largest_group, small_side
 
 
 def correlation(x: str | Column, y: str | Column) -> Column:
-    """Pearson over the rows where both are present; NULL when undefined."""
-    r = F.corr(x, y)
-    return F.when(~F.isnan(r), r)
+    """Pearson over the rows where both are present; NULL when either side is constant.
+
+    Spelled out from its moments because the built-in raises on a constant side in ANSI mode.
+    """
+    a, b = col(x), col(y)
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def zscores(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], *, sample: bool = False,

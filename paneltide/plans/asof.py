@@ -110,7 +110,7 @@ def variant_with_proxy(ind: DataFrame, final_growth: DataFrame, column: str, pro
         proxy.select(*KEYS, F.col("proxy").alias("_l0")), list(KEYS), "left")
     parts = F.array(*[F.col(f"_l{i}") for i in range(span)])
     present = F.filter(parts, lambda x: x.isNotNull())
-    mean = F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)
+    mean = F.try_divide(F.aggregate(present, F.lit(0.0), lambda a, x: a + x), F.size(present))
     return held.withColumn(column, F.when(F.size(present) >= at_least, mean)).drop(*[f"_l{i}" for i in range(span)])
 
 

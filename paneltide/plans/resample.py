@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import draw_bits, standard_normal
 from paneltide.operators.concordance import weighted_tau
-from paneltide.operators.order import add_positions, top_k
+from paneltide.operators.order import add_positions, quantiles, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
 from paneltide.scale import staged
@@ -143,10 +143,14 @@ def tier_counts(intervals: DataFrame, group: str = "edition", tiers: Sequence[tu
         "tier_order", F.try_element_at(place, F.col("tier")))
 
 
-def random_top_k(outcome: DataFrame, seeds: int, k: int, group: Sequence[str] = ("horizon", "period")) -> DataFrame:
-    """Mean outcome of k random entities per window, one row per seed."""
+def random_edge(outcome: DataFrame, seeds: int, k: int, group: Sequence[str] = ("horizon", "period"),
+                bound: int | None = None) -> DataFrame:
+    """Reference for the top-k edge: k random entities against the median, in points, mean over seeds."""
     shuffled = outcome.select(*group, "entity", "realized", F.explode(
         F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed")).withColumn(
         "_u", draw_bits(F.lit("pick"), "seed", "entity", "period"))
-    best = top_k(shuffled, [*group, "seed"], [F.col("_u"), F.col("entity")], k)
-    return best.groupBy(*group, "seed").agg(F.avg("realized").alias("mean_realized"))
+    picked = top_k(shuffled, [*group, "seed"], [F.col("_u"), F.col("entity")], k)
+    per_seed = picked.groupBy(*group, "seed").agg(F.avg("realized").alias("_best"))
+    middle = quantiles(outcome, group, "realized", {"_mid": 0.5}, bound)
+    return per_seed.join(middle, list(group)).groupBy(*group).agg(
+        F.avg((F.col("_best") - F.col("_mid")) * 100.0).alias("random_edge_pp"))

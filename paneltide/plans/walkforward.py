@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.functions.scalar import interval_name, ratio
+from paneltide.functions.scalar import interval_name
 from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.growth import forward_growth, shifted
 from paneltide.operators.match import aligned
@@ -171,5 +171,8 @@ def regime_flags(panel: DataFrame, value: str, windows: DataFrame, horizons: Seq
                       *[f"tau_{h}" for h in horizons])
 
 
-def retention(numer: str | Column, denom: str | Column) -> Column:
-    return ratio(numer, denom)
+def flag_payoff(flagged: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Mean accuracy of flagged against quiet periods, with the counts of false alarms and misses."""
+    return flagged.groupBy("flag_fires").agg(
+        F.count(F.lit(1)).alias("n_periods"), F.count(F.when(F.col("false_alarm"), 1)).alias("n_false_alarms"),
+        F.count(F.when(F.col("missed"), 1)).alias("n_missed"), *[F.avg(f"tau_{h}").alias(f"mean_tau_{h}") for h in horizons])
