@@ -1,16 +1,17 @@
 """Top-weighted Kendall correlation without a pair join.
 
-For rows i of one group with score x, outcome y and weight W_i (the reciprocal of the outcome
-rank, summed over the copies of a resampled row):
-
-    tau = sum_i W_i * S_i / sqrt((T - T_x) * (T - T_y))
-    S_i = sum_j m_j * sgn(x_i - x_j) * sgn(y_i - y_j)
-
-T is the weight of all pairs and T_x, T_y that of pairs tied in x or y. S_i only needs counts, and
-these come from a radix walk over the rank code of x: two codes that differ do so first at exactly
-one digit level, so each row is emitted once per level and compared, inside the block that shares
-the higher digits, with rows of another digit by running counts along y. That is
-rows * log(rows) work with native windows.
+For rows i, j of one group with score x, outcome y and weight w (the reciprocal of the outcome
+rank, summed over the copies of a resampled row) and multiplicity m:
+
+    tau = sum over pairs of (w_i m_j + w_j m_i) sgn(x_i - x_j) sgn(y_i - y_j)
+          / sqrt((T - T_x) * (T - T_y))
+
+T is the weight of all pairs and T_x, T_y that of pairs tied in x or y. The numerator comes from a
+radix walk over the rank code of x: two codes that differ do so first at exactly one digit level,
+so each row is emitted once per level and meets, inside the block that shares the higher digits,
+the rows of another digit. Taking every pair at its member that comes later along y, it only needs
+the running count and running weight of each digit. That is rows * log(rows) work with one window
+frame per level.
 """
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.operators.order import ALL_BEFORE, UP_TO_HERE, add_prefix_sum, add_ranks
+from paneltide.operators.order import ALL_BEFORE, add_prefix_sum, add_ranks
 from paneltide.scale import largest_group, small_side, staged, task_row_limit
 
 DIGIT_BITS = 3
@@ -35,14 +36,14 @@ def _copies_weight(start: str, copies: str):
 
 
 def _codes_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rank codes; the outcome code runs downwards so that it shares the sort of the start rank."""
     whole = Window.partitionBy(*group)
-    by_x, by_y = whole.orderBy("_x"), whole.orderBy("_y")
-    first = whole.orderBy(F.col("_y").desc(), F.col("_tie"))
-    placed = rows.withColumns({
-        "_start": F.coalesce(F.sum("_m").over(first.rowsBetween(*ALL_BEFORE)), F.lit(0)),
-        "_dx": F.rank().over(by_x) - 1, "_dy": F.rank().over(by_y) - 1,
-        "_mx": F.sum("_m").over(by_x.rangeBetween(0, 0)), "_my": F.sum("_m").over(by_y.rangeBetween(0, 0)),
-        "_rows": F.count(F.lit(1)).over(whole)})
+    best_first = whole.orderBy(F.col("_y").desc(), F.col("_tie"))
+    by_y, by_x = whole.orderBy(F.col("_y").desc()), whole.orderBy("_x")
+    placed = rows.withColumn("_start", F.coalesce(F.sum("_m").over(best_first.rowsBetween(*ALL_BEFORE)), F.lit(0)))
+    placed = placed.withColumns({"_dy": F.rank().over(by_y) - 1, "_my": F.sum("_m").over(by_y.rangeBetween(0, 0))})
+    placed = placed.withColumns({"_dx": F.rank().over(by_x) - 1, "_mx": F.sum("_m").over(by_x.rangeBetween(0, 0)),
+                                 "_rows": F.count(F.lit(1)).over(whole)})
     return placed.withColumn("_wt", _copies_weight("_start", "_m"))
 
 
@@ -51,19 +52,24 @@ def _codes_wide(rows: DataFrame, group: Sequence[str], bound: int) -> DataFrame:
     held = add_prefix_sum(rows, group, [F.col("_y").desc(), F.col("_tie")], F.col("_m"), "_start", bound)
     held = held.withColumn("_wt", _copies_weight("_start", "_m"))
     held = add_ranks(held, group, "_x", low="_dx", descending=False, bound=bound)
-    held = add_ranks(held, group, "_y", low="_dy", descending=False, bound=bound)
+    held = add_ranks(held, group, "_y", low="_dy", descending=True, bound=bound)
     sizes = small_side(held.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")))
     return (held.withColumns({"_dx": F.col("_dx") - 1, "_dy": F.col("_dy") - 1})
             .join(sizes, list(group)))
 
 
-def _net_by_digit(before: str, up_to: str, total: str) -> str:
-    """Signed balance of one row against the other digits of its block, as SQL text."""
-    return " + ".join(f"signum(_digit - {d}) * ({before}{d} + {up_to}{d} - {total}{d})" for d in range(RADIX))
+DIGITS = range(RADIX)
+
+
+def _running(over: str) -> dict[str, Column]:
+    """Count and weight of every digit over a window given as SQL text."""
+    return {f"_{out}{d}": F.expr(f"coalesce(sum(CASE WHEN _digit = {d} THEN {src} END) OVER ({over}), 0)")
+            for out, src in (("c", "_m"), ("v", "_wt")) for d in DIGITS}
 
 
-def _of_digit(d: int) -> str:
-    return f"CASE WHEN _digit = {d} THEN _m ELSE 0 END"
+def _pair_term() -> Column:
+    """Pairs of a row with the rows before it; those have the better outcome, hence the order of the signs."""
+    return F.expr(" + ".join(f"signum({d} - _digit) * (_wt * _c{d} + _m * _v{d})" for d in DIGITS))
 
 
 def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str, tie: str, *,
@@ -125,39 +131,30 @@ def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
 
 def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     block = ", ".join(f"`{g}`" for g in (*group, "_level", "_block"))
-    along = f"PARTITION BY {block} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND"
-    cols = {}
-    for d in range(RADIX):
-        cols[f"_b{d}"] = F.expr(f"coalesce(sum({_of_digit(d)}) OVER ({along} 1 PRECEDING), 0)")
-        cols[f"_u{d}"] = F.expr(f"sum({_of_digit(d)}) OVER ({along} CURRENT ROW)")
-        cols[f"_t{d}"] = F.expr(f"sum({_of_digit(d)}) OVER (PARTITION BY {block})")
+    cols = _running(f"PARTITION BY {block} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     helpers = {*cols, "_dx", "_dy", "_block", "_digit"}
-    counted = rows.withColumns(cols).withColumn("_term", F.expr(f"_wt * ({_net_by_digit('_b', '_u', '_t')})"))
+    counted = rows.withColumns(cols).withColumn("_term", _pair_term())
     return counted.select(*[c for c in counted.columns if c not in helpers])
 
 
 def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The same balance with each block cut into stretches of y.
+    """The same terms with each block cut into stretches of y.
 
-    Rows are first summed to (block, y, digit), so tied outcomes cannot pile up, then counted per
-    stretch; running counts inside a stretch start from the counts of the earlier stretches.
+    Rows are first summed to (block, y, digit), so tied outcomes cannot pile up, then summed per
+    stretch; running sums inside a stretch start from those of the earlier stretches.
     """
     step = max(1, task_row_limit(rows.sparkSession))
-    key = [*group, "_level", "_block", "_stretch"]
+    block = [*group, "_level", "_block"]
+    key = [*block, "_stretch"]
     size = F.pow(F.lit(float(RADIX)), F.col("_level") + 1)
     cells = (rows.withColumn("_stretch", F.when(size > step, F.floor(F.col("_dy") / step)).otherwise(0).cast("int"))
              .groupBy(*key, "_dy", "_digit").agg(F.sum("_m").alias("_m"), F.sum("_wt").alias("_wt")))
-    digits = range(RADIX)
-    per_stretch = cells.groupBy(*key).agg(*[F.expr(f"sum({_of_digit(d)}) AS _c{d}") for d in digits])
-    block = Window.partitionBy(*group, "_level", "_block")
-    ahead = block.orderBy("_stretch").rowsBetween(*ALL_BEFORE)
-    carried = per_stretch.select(
-        *key, *[F.coalesce(F.sum(f"_c{d}").over(ahead), F.lit(0)).alias(f"_o{d}") for d in digits],
-        *[F.sum(f"_c{d}").over(block).alias(f"_t{d}") for d in digits])
-    along = Window.partitionBy(*key).orderBy("_dy")
-    inner = cells.withColumns({
-        **{f"_b{d}": F.coalesce(F.sum(F.expr(_of_digit(d))).over(along.rangeBetween(*ALL_BEFORE)), F.lit(0)) for d in digits},
-        **{f"_u{d}": F.sum(F.expr(_of_digit(d))).over(along.rangeBetween(*UP_TO_HERE)) for d in digits}})
-    full = inner.join(carried, key).withColumns({
-        f"_{side}{d}": F.expr(f"_{side}{d} + _o{d}") for side in "bu" for d in digits})
-    return full.select(*group, F.expr(f"_wt * ({_net_by_digit('_b', '_u', '_t')})").alias("_term"))
+    names = [f"_{out}{d}" for out in "cv" for d in DIGITS]
+    per_stretch = cells.groupBy(*key).agg(*[F.expr(
+        f"coalesce(sum(CASE WHEN _digit = {n[2:]} THEN {'_m' if n[1] == 'c' else '_wt'} END), 0) AS {n}") for n in names])
+    ahead = Window.partitionBy(*block).orderBy("_stretch").rowsBetween(*ALL_BEFORE)
+    carried = per_stretch.select(*key, *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_o{n}") for n in names])
+    part = ", ".join(f"`{g}`" for g in key)
+    inner = cells.withColumns(_running(f"PARTITION BY {part} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))
+    full = inner.join(carried, key).withColumns({n: F.expr(f"{n} + _o{n}") for n in names})
+    return full.select(*group, _pair_term().alias("_term"))
