@@ -20,7 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.operators.order import ALL_BEFORE, add_prefix_sum, add_ranks
+from paneltide.operators.order import ALL_BEFORE, split_ranks
 from paneltide.scale import largest_group, small_side, staged, task_row_limit
 
 DIGIT_BITS = 3
@@ -47,15 +47,13 @@ def _codes_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return placed.withColumn("_wt", _copies_weight("_start", "_m"))
 
 
-def _codes_wide(rows: DataFrame, group: Sequence[str], bound: int) -> DataFrame:
-    # The start rank and the code of y come from one ordering pass each, whatever the group size.
-    held = add_prefix_sum(rows, group, [F.col("_y").desc(), F.col("_tie")], F.col("_m"), "_start", bound)
-    held = held.withColumn("_wt", _copies_weight("_start", "_m"))
-    held = add_ranks(held, group, "_x", low="_dx", descending=False, bound=bound)
-    held = add_ranks(held, group, "_y", low="_dy", descending=True, bound=bound)
-    sizes = small_side(held.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")))
-    return (held.withColumns({"_dx": F.col("_dx") - 1, "_dy": F.col("_dy") - 1})
-            .join(sizes, list(group)))
+def _codes_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The same codes by the split plan: one ordering pass for the outcome, one for the score."""
+    ranks = {"_first": F.col("_first").cast("int") - 1}
+    held = split_ranks(rows, group, "_y", True, [F.col("_tie")], F.col("_m"))
+    held = held.withColumns({"_dy": ranks["_first"], "_wt": _copies_weight("_before", "_m")})
+    held = split_ranks(held.drop("_first", "_ties", "_n", "_before"), group, "_x", False)
+    return held.withColumn("_dx", ranks["_first"]).withColumnRenamed("_n", "_rows").drop("_first", "_ties", "_before")
 
 
 DIGITS = range(RADIX)
@@ -91,7 +89,7 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
                      m.alias("_m"), *[c.alias(f"_also_{n}") for n, (_, c) in also.items()])
     size = largest_group(rows, group) if bound is None else bound
     if size > task_row_limit(df.sparkSession):
-        got = _aggregate_wide(_codes_wide(rows, group, size), group, also)
+        got = _aggregate_wide(_codes_wide(rows, group), group, also)
     else:
         # Every row has a digit level 0, which therefore stands for the row itself in the
         # denominator and in the extra aggregates: one exchange per step, no join.

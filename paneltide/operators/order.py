@@ -48,6 +48,28 @@ def _split_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column],
             .drop("_rows0", "_sum0", "_salt", "_w"))
 
 
+def split_ranks(df: DataFrame, group: Sequence[str], value: str, descending: bool,
+                then: Sequence[Column] = (), weight: Column | None = None) -> DataFrame:
+    """Split plan of the ranks of a non-NULL column: adds ``_first`` (lowest rank of the tie run),
+    ``_ties`` (its length), ``_n`` (group size) and ``_before`` (weight of the rows ahead, ties ordered by ``then``).
+    """
+    scan = _split_scan(df, group, [_sort_key(value, descending), *then], weight)
+    sliced = Window.partitionBy("_part", *group)
+    run = Window.partitionBy("_part", *group, value)
+    scan = scan.withColumns({
+        "_first": F.min("_pos").over(run), "_ties": F.count(F.lit(1)).over(run),
+        "_lo": F.min("_pos").over(sliced), "_hi": F.max("_pos").over(sliced)})
+    edge = (F.col("_first") == F.col("_lo")) | (F.col("_first") + F.col("_ties") - 1 == F.col("_hi"))
+    edges = small_side(
+        scan.filter(edge).groupBy(*group, value)
+        .agg(F.min("_pos").alias("_first_all"), F.count(F.lit(1)).alias("_ties_all")))
+    sizes = small_side(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
+    return (scan.drop("_lo", "_hi", "_part", "_pos").join(edges, [*group, value], "left")
+            .withColumn("_first", F.coalesce("_first_all", "_first"))
+            .withColumn("_ties", F.coalesce("_ties_all", "_ties"))
+            .drop("_first_all", "_ties_all").join(sizes, list(group)))
+
+
 def add_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "position",
                   bound: int | None = None) -> DataFrame:
     """1-based position of each row in its group under a total order."""
@@ -82,23 +104,7 @@ def add_ranks(df: DataFrame, group: Sequence[str], value: str, *, low: str | Non
         total = F.count(value).over(whole)
         ranked = df.withColumns({"_first": first, "_ties": ties, "_n": total})
     else:
-        present = df.filter(F.col(value).isNotNull())
-        scan = _split_scan(present, group, [_sort_key(value, descending)])
-        sliced = Window.partitionBy("_part", *group)
-        run = Window.partitionBy("_part", *group, value)
-        scan = scan.withColumns({
-            "_first": F.min("_pos").over(run), "_ties": F.count(F.lit(1)).over(run),
-            "_lo": F.min("_pos").over(sliced), "_hi": F.max("_pos").over(sliced)})
-        edge = (F.col("_first") == F.col("_lo")) | (F.col("_first") + F.col("_ties") - 1 == F.col("_hi"))
-        edges = small_side(
-            scan.filter(edge).groupBy(*group, value)
-            .agg(F.min("_pos").alias("_first_all"), F.count(F.lit(1)).alias("_ties_all")))
-        sizes = small_side(present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-        ranked = (scan.drop("_lo", "_hi", "_part", "_pos", "_before")
-                  .join(edges, [*group, value], "left")
-                  .withColumn("_first", F.coalesce("_first_all", "_first"))
-                  .withColumn("_ties", F.coalesce("_ties_all", "_ties"))
-                  .drop("_first_all", "_ties_all").join(sizes, list(group)))
+        ranked = split_ranks(df.filter(F.col(value).isNotNull()), group, value, descending).drop("_before")
         ranked = ranked.unionByName(df.filter(F.col(value).isNull()), allowMissingColumns=True)
     there = F.col(value).isNotNull()
     mean_rank = F.col("_first") + (F.col("_ties") - F.lit(1)) / F.lit(2.0)
