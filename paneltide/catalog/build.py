@@ -470,8 +470,7 @@ for _how in ("sum", "mean", "min", "max", "median", "count"):
 def complete_membership(t):
     members = t.supplier.select(S("s_suppkey").alias("entity"), S("s_nationkey").alias("parent"))
     facts = t.panel.select("entity", "period", "permits_mf").filter("entity % 11 <> 0 OR period < 1998")
-    years = t.spark.createDataFrame([(y,) for y in range(1995, 2002)], "period int")
-    return rounded_all(rollup.complete_membership_sum(facts, members, "entity", "parent", "permits_mf", years), ["permits_mf"])
+    return rounded_all(rollup.complete_membership_sum(facts, members, "entity", "parent", "permits_mf", range(1995, 2002)), ["permits_mf"])
 
 
 @query("weighted_rollup_filled", with_parts(f"""SELECT parent, period, {r('sum(w*rent)/nullif(sum(w),0)', 'rent')} FROM (SELECT s_nationkey AS parent, p.entity, p.period, rent, coalesce(last_value(wt IGNORE NULLS) OVER (PARTITION BY p.entity ORDER BY p.period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -693,9 +692,8 @@ cur AS (SELECT s_nationkey AS parent, period, sum(population) AS v FROM panel JO
   UNION ALL SELECT o.parent, o.period, a.v*o.v/b.v FROM old o JOIN cur a ON a.parent=o.parent AND a.period=1998 JOIN old b ON b.parent=o.parent AND b.period=1998 WHERE o.parent<3 AND o.period<1998)""", "panel", extra=BOUNDARY))
 def boundary_consistent_series(t):
     m = t.supplier.select(S("s_suppkey").alias("entity"), S("s_nationkey").alias("parent"))
-    years = t.spark.createDataFrame([(y,) for y in range(1995, 2002)], "period int")
     facts = t.panel.select("entity", "period", S("population").alias("v"))
-    current = rollup.complete_membership_sum(facts, m, "entity", "parent", "v", years)
-    legacy = rollup.complete_membership_sum(facts, m.filter("parent < 3 AND entity % 2 = 0"), "entity", "parent", "v", years)
+    current = rollup.complete_membership_sum(facts, m, "entity", "parent", "v", range(1995, 2002))
+    legacy = rollup.complete_membership_sum(facts, m.filter("parent < 3 AND entity % 2 = 0"), "entity", "parent", "v", range(1995, 2002))
     back = growth.backcast(current.filter("parent < 3"), legacy.withColumnRenamed("v", "w"), 1998, "v", "w", entity="parent")
     return rounded_all(current.filter("parent >= 3 OR period >= 1998").unionByName(back), ["v"])

@@ -327,9 +327,9 @@ def _avg_rank(c, part="period"):
   extra=CAT_SQL + ",\njj AS (SELECT c.entity, c.period, c.score, n.trailing_rent_growth AS m FROM cat c JOIN norm n USING (entity, period) WHERE n.trailing_rent_growth IS NOT NULL)"))
 def index_vs_momentum(t):
     j = category(t).join(t.norm.select("entity", "period", F.col("trailing_rent_growth").alias("m")), ["entity", "period"]).filter("m IS NOT NULL")
-    pooled = j.agg(stats.correlation("score", "m").alias("pooled_pearson"))
-    rho = stats.spearman(j, ["period"], "score", "m", bound=t.bound).agg(F.avg("rho").alias("mean_spearman"))
-    return rounded_all(pooled.join(F.broadcast(rho)), ["pooled_pearson", "mean_spearman"])
+    rho = stats.spearman(j, ["period"], "score", "m", bound=t.bound).agg(F.avg("rho")).scalar()
+    pooled = j.agg(stats.correlation("score", "m").alias("pooled_pearson")).withColumn("mean_spearman", rho)
+    return rounded_all(pooled, ["pooled_pearson", "mean_spearman"])
 
 
 @query("spearman_per_period", with_parts(f"SELECT period, n, {r('rho')} FROM (SELECT period, count(*) AS n, CASE WHEN count(*)>=30 THEN corr(a,b) END AS rho FROM (SELECT period, {_avg_rank('job_growth')} AS a, {_avg_rank('income_growth')} AS b FROM ind WHERE job_growth IS NOT NULL AND income_growth IS NOT NULL) GROUP BY period)", "ind"))

@@ -17,13 +17,12 @@ def gap_free(df: DataFrame, entity: str = "entity", period: str = "period", late
     """Entities whose periods form one unbroken run up to the latest period of the table."""
     runs = df.groupBy(entity).agg(F.min(period).alias("first_period"), F.max(period).alias("last_period"),
                                   F.count_distinct(period).alias("n_periods"))
-    newest = df.agg(F.max(period).alias("_latest"))
+    newest = df.agg(F.max(period)).scalar()
     ok = (F.col("n_periods") == F.col("last_period") - F.col("first_period") + 1) & (
-        F.col("last_period") == F.col("_latest"))
+        F.col("last_period") == newest)
     if latest_start is not None:
         ok = ok & (F.col("first_period") <= latest_start)
-    # One row by construction, so broadcasting it is bounded.
-    return runs.join(F.broadcast(newest)).filter(ok).drop("_latest")
+    return runs.filter(ok)
 
 
 def two_gate_universe(candidates: DataFrame, covered: DataFrame, entity: str, size: str, floor: float

@@ -6,6 +6,7 @@ before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from paneltide.functions.scalar import col, ratio
 from paneltide.operators.growth import filled_from_neighbours
 from paneltide.operators.order import quantiles
+from paneltide.scale import largest_group
 
 REDUCERS = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max, "median": F.median, "count": F.count}
 
@@ -26,7 +28,13 @@ def roll_up(children: DataFrame, bridge: DataFrame, child: str, parent: Sequence
     if how not in REDUCERS:
         raise ValueError(f"unknown reducer {how!r}")
     joined = children.join(bridge.select(child, *parent), child)
-    return joined.groupBy(*parent, *extra).agg(*[REDUCERS[how](v).alias(v) for v in values])
+    keys = [*parent, *extra]
+    if how == "median":
+        # An exact median keeps the values of a group together, so it goes through the size check.
+        size = largest_group(joined, keys)
+        parts = [quantiles(joined, keys, v, {v: 0.5}, size) for v in values]
+        return reduce(lambda a, b: a.join(b, keys, "outer"), parts)
+    return joined.groupBy(*keys).agg(*[REDUCERS[how](v).alias(v) for v in values])
 
 
 def members_at(bridge: DataFrame, facts: DataFrame, child: str, period: str,
@@ -66,7 +74,7 @@ def complete_periods(df: DataFrame, keys: Sequence[str], value: str, part: str,
 
 
 def complete_membership_sum(facts: DataFrame, members: DataFrame, child: str, parent: str, value: str,
-                            periods: DataFrame, period: str = "period") -> DataFrame:
+                            periods: Sequence[int], period: str = "period") -> DataFrame:
     """Parent sum per period, NULL unless every member is present with a value.
 
     Member rows per (parent, period) are counted from the bridge, not by expanding a grid.
@@ -74,8 +82,7 @@ def complete_membership_sum(facts: DataFrame, members: DataFrame, child: str, pa
     size = members.groupBy(parent).agg(F.count(F.lit(1)).alias("_members"))
     sums = facts.join(members.select(child, parent), child).groupBy(parent, period).agg(
         F.count(value).alias("_have"), F.sum(value).alias("_sum"))
-    # F.broadcast is safe: `periods` is the short list of periods asked for.
-    grid = size.join(F.broadcast(periods.select(period).distinct()))
+    grid = size.withColumn(period, F.explode(F.array(*[F.lit(p) for p in periods])))
     return (grid.join(sums, [parent, period], "left")
             .select(parent, period, F.when(F.col("_have") == F.col("_members"), F.col("_sum")).alias(value)))
 

@@ -75,8 +75,7 @@ def sanity_profile(df: DataFrame, measure: str, level: str, k: int = 10, bound:
     """Top risers of a measure in its latest period beside the level's percentile in its own latest period."""
     def latest(c: str) -> DataFrame:
         held = df.filter(F.col(c).isNotNull())
-        newest = held.agg(F.max("period").alias("_p"))
-        return held.join(F.broadcast(newest), F.col("period") == F.col("_p")).drop("_p")
+        return held.filter(F.col("period") == held.agg(F.max("period")).scalar())
     a = add_ranks(latest(measure).select(*KEYS, measure), ["period"], measure, percent="measure_pct", descending=False, bound=bound)
     b = add_ranks(latest(level).select(*KEYS, level), ["period"], level, percent="level_pct", descending=False, bound=bound)
     best = top_k(a, ["period"], [F.col(measure).desc(), F.col("entity")], k)

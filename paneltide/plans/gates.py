@@ -58,8 +58,8 @@ def candidate_gate(norm: DataFrame, cand: DataFrame, names: Sequence[str], model
 
     # The direction found above turns the candidate before it is blended in: one row per candidate.
     turns = taus.agg(F.map_from_entries(F.collect_list(F.struct(
-        "candidate", F.when(F.col("flipped"), -1.0).otherwise(1.0).alias("s")))).alias("_turn"))
-    turned = wide.withColumn("score", composite(model.weights)).join(F.broadcast(turns))
+        "candidate", F.when(F.col("flipped"), -1.0).otherwise(1.0).alias("s"))))).scalar()
+    turned = wide.withColumns({"score": composite(model.weights), "_turn": turns})
     scores: dict[str, Column] = {"full": F.col("score")}
     for n in names:
         lean = F.coalesce(F.col(n), F.lit(0.0)) * F.coalesce(F.try_element_at("_turn", F.lit(n)), F.lit(1.0))
@@ -84,10 +84,10 @@ def conjunctive_verdict(gates: DataFrame, order: Sequence[str], replacement: Dat
     place = F.create_map(*[x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))])
     each = gates.groupBy("candidate").agg(F.min("adopt").alias("pass"))
     first = each.filter("pass").agg(F.min(F.struct(
-        F.try_element_at(place, F.col("candidate")).alias("i"), "candidate")).getField("candidate").alias("_first"))
-    return replacement.join(F.broadcast(first)).select(
+        F.try_element_at(place, F.col("candidate")).alias("i"), "candidate")).getField("candidate")).scalar()
+    return replacement.select(
         F.when(F.col("pass"), F.concat(F.lit("replace:"), F.col("name")))
-        .when(F.col("_first").isNotNull(), F.concat(F.lit("add:"), F.col("_first")))
+        .when(first.isNotNull(), F.concat(F.lit("add:"), first))
         .otherwise(F.lit("reject all")).alias("verdict"))
 
 
@@ -138,8 +138,7 @@ def retention_gate(summary: DataFrame, agreed: DataFrame, final: str, proxy: str
         return F.max(F.when((F.col("strategy") == name) & (F.col("horizon") == horizon)
                             & (F.col("regime") == "POOLED"), F.col("mean_tau")))
     one = summary.agg(tau(final).alias("tau_final"), tau(proxy).alias("tau_proxy"))
-    mean = agreed.agg(F.avg("overlap").alias("mean_overlap"))
-    kept = one.join(F.broadcast(mean)).withColumn("retention", ratio("tau_proxy", "tau_final"))
+    kept = one.withColumns({"mean_overlap": agreed.agg(F.avg("overlap")).scalar(), "retention": ratio("tau_proxy", "tau_final")})
     return kept.withColumn("pass", (F.col("retention") >= MIN_RETENTION) & (F.col("mean_overlap") >= MIN_OVERLAP))
 
 

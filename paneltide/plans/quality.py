@@ -100,11 +100,10 @@ def open_blockers(flagged: DataFrame, dispositions: DataFrame) -> DataFrame:
 def publication_gate(flagged: DataFrame, dispositions: DataFrame, report_digest: DataFrame,
                      panel_digest: DataFrame) -> DataFrame:
     """One row: clear only when the report was made from this panel and no blocker is open."""
-    n_open = open_blockers(flagged, dispositions).agg(F.count_distinct("flag_id").alias("open_blockers"))
-    same = report_digest.select(F.col("digest").alias("_a"), F.col("n_rows").alias("_na")).join(
-        F.broadcast(panel_digest.select(F.col("digest").alias("_b"), F.col("n_rows").alias("_nb"))))
-    held = same.join(F.broadcast(n_open)).withColumn(
-        "same_panel", (F.col("_a") == F.col("_b")) & (F.col("_na") == F.col("_nb")))
+    now = panel_digest.select(F.struct("digest", "n_rows")).scalar()
+    held = report_digest.select(
+        (F.struct("digest", "n_rows") == now).alias("same_panel"),
+        open_blockers(flagged, dispositions).agg(F.count_distinct("flag_id")).scalar().alias("open_blockers"))
     return held.select("same_panel", "open_blockers", (F.col("same_panel") & (F.col("open_blockers") == 0)).alias("clear"))
 
 

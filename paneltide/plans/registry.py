@@ -47,9 +47,9 @@ def operative_runs(index: DataFrame, periods: DataFrame) -> DataFrame:
     """Latest run per asked period, else the latest run overall."""
     held = periods.select("score_period").distinct()
     own = index.groupBy("score_period").agg(F.max_by("run_id", "stamp").alias("_own"))
-    newest = index.agg(F.max_by("run_id", "stamp").alias("_any"))  # one row
-    return held.join(own, "score_period", "left").join(F.broadcast(newest)).select(
-        "score_period", F.coalesce("_own", "_any").alias("run_id"), F.col("_own").isNotNull().alias("exact"))
+    newest = index.agg(F.max_by("run_id", "stamp")).scalar()
+    return held.join(own, "score_period", "left").select(
+        "score_period", F.coalesce(F.col("_own"), newest).alias("run_id"), F.col("_own").isNotNull().alias("exact"))
 
 
 def grade_runs(runs: DataFrame, target: DataFrame, value: str, horizon: int, current: DataFrame, k: int = 10,
@@ -66,8 +66,8 @@ def grade_runs(runs: DataFrame, target: DataFrame, value: str, horizon: int, cur
         "run_id", F.col("weighted_tau").alias("current_tau"))
     paired = rows.join(current.select("entity", "period", F.col("score").alias("_now")), ["entity", "period"])
     shared = top_k_overlap(paired, paired.drop("score").withColumnRenamed("_now", "score"), ["run_id"], "entity", "score", k)
-    newest = target.filter(F.col(value).isNotNull()).agg(F.max("period").alias("_latest"))
-    listed = runs.groupBy("run_id").agg(F.max("period").alias("score_period")).join(F.broadcast(newest))
+    newest = target.filter(F.col(value).isNotNull()).agg(F.max("period")).scalar()
+    listed = runs.groupBy("run_id").agg(F.max("period").alias("score_period")).withColumn("_latest", newest)
     return (listed.join(mine.drop("period"), "run_id", "left").join(theirs, "run_id", "left").join(shared, "run_id", "left")
             .select("run_id", "score_period", (F.col("score_period") + horizon <= F.col("_latest")).alias("closed"),
                     F.when(F.col("score_period") + horizon > F.col("_latest"), F.col("score_period") + horizon).alias("waits_for"),

@@ -25,10 +25,9 @@ def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", boun
     """
     known = units.select(unit).distinct().withColumn("_all", F.lit(0))
     indexed = add_positions(known, ["_all"], [F.col(unit)], "_at", bound).drop("_all")
-    total = known.agg(F.count(F.lit(1)).alias("_n"))  # one row, so broadcasting it is bounded
+    total = known.agg(F.count(F.lit(1))).scalar()
     pulls = (indexed.select("_at", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-             .join(F.broadcast(total))
-             .select("replicate", (draw_bits(F.lit(seed), "replicate", "_at") % F.col("_n") + 1).alias("_at")))
+             .select("replicate", (draw_bits(F.lit(seed), "replicate", "_at") % total + 1).alias("_at")))
     counted = pulls.groupBy("replicate", "_at").agg(F.count(F.lit(1)).alias("copies"))
     return counted.join(indexed, "_at").select("replicate", unit, "copies")
 
@@ -77,16 +76,15 @@ def tau_intervals(point: DataFrame, replicates: DataFrame) -> DataFrame:
 def paired_gaps(point: DataFrame, replicates: DataFrame, reference: str | None = None) -> DataFrame:
     """Reference minus each other strategy on the same draws; the best point estimate by default."""
     if reference is None:
-        ref_name = point.agg(F.min(F.struct((-F.col("tau")).alias("t"), F.col("strategy").alias("s"))).getField("s").alias("ref"))
+        ref = point.agg(F.min(F.struct((-F.col("tau")).alias("t"), F.col("strategy").alias("s"))).getField("s")).scalar()
     else:
-        ref_name = point.sparkSession.range(1).select(F.lit(reference).alias("ref"))
-    one = F.broadcast(ref_name)  # a single row
-    ref_rep = replicates.join(one, F.col("strategy") == F.col("ref")).select("replicate", F.col("tau").alias("_ref"))
+        ref = F.lit(reference)
+    ref_rep = replicates.filter(F.col("strategy") == ref).select("replicate", F.col("tau").alias("_ref"))
     gaps = replicates.join(ref_rep, "replicate").select("strategy", (F.col("_ref") - F.col("tau")).alias("gap"))
     interval = percentile_interval(gaps, ["strategy"], "gap", lo="gap_lo", hi="gap_hi", bound=0)
-    ref_point = point.join(one, F.col("strategy") == F.col("ref")).select("ref", F.col("tau").alias("_ref"))
-    return (point.join(F.broadcast(ref_point)).join(interval, "strategy")
-            .select("strategy", F.col("ref").alias("reference"), "tau", (F.col("_ref") - F.col("tau")).alias("gap"),
+    best = point.filter(F.col("strategy") == ref).select("tau").scalar()
+    return (point.join(interval, "strategy")
+            .select("strategy", ref.alias("reference"), "tau", (best - F.col("tau")).alias("gap"),
                     "gap_lo", "gap_hi", ((F.col("gap_lo") > 0) | (F.col("gap_hi") < 0)).alias("excludes_zero"),
                     (F.col("gap_lo") > 0).alias("reliably_worse")))
 

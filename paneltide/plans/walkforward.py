@@ -111,10 +111,10 @@ def headline(summary: DataFrame, long_h: int, short_h: int, calm: str) -> DataFr
 
 
 def uplift(head: DataFrame, reference: str, columns: Sequence[str]) -> DataFrame:
-    """Reference minus every other strategy (one reference row, broadcast)."""
-    ref = head.filter(F.col("strategy") == reference).select(*[F.col(c).alias(f"_r_{c}") for c in columns])
-    return head.join(F.broadcast(ref)).select(
-        "strategy", *columns, *[(F.col(f"_r_{c}") - F.col(c)).alias(f"uplift_{c}") for c in columns])
+    """Reference minus every strategy."""
+    own = head.filter(F.col("strategy") == reference).select(F.struct(*columns)).scalar()
+    return head.withColumn("_ref", own).select(
+        "strategy", *columns, *[(F.col("_ref")[c] - F.col(c)).alias(f"uplift_{c}") for c in columns])
 
 
 def precision_by_k(frame: DataFrame, ks: Sequence[int], group: Sequence[str] = WINDOW, *, clip: bool = True,

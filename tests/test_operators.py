@@ -115,8 +115,7 @@ def test_as_of_join_strict_and_inclusive(spark, panel):
 def test_complete_membership(spark):
     members = spark.createDataFrame([("x", "P"), ("y", "P"), ("z", "Q")], "child string, parent string")
     facts = spark.createDataFrame([("x", 1, 1.0), ("y", 1, 2.0), ("x", 2, 1.0), ("z", 2, None)], "child string, period int, v double")
-    years = spark.createDataFrame([(1,), (2,)], "period int")
-    got = rollup.complete_membership_sum(facts, members, "child", "parent", "v", years)
+    got = rollup.complete_membership_sum(facts, members, "child", "parent", "v", [1, 2])
     assert {(r.parent, r.period): r.v for r in got.collect()} == {("P", 1): 3.0, ("P", 2): None, ("Q", 1): None, ("Q", 2): None}
 
 
