@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paneltide.functions.scalar import ratio
 from paneltide.operators.order import top_k_overlap
 from paneltide.plans.walkforward import realised, window_metrics
+from paneltide.scale import staged
 from paneltide.sources.sinks import append_rows, write_once
 
 
@@ -59,7 +60,7 @@ def grade_runs(runs: DataFrame, target: DataFrame, value: str, horizon: int, cur
     ``runs`` has (run_id, entity, period, score); ``current`` the scores of the present model.
     """
     outcome = realised(target, value, [horizon])
-    rows = runs.filter(F.col("score").isNotNull()).join(outcome, ["entity", "period"])
+    rows = staged(runs.filter(F.col("score").isNotNull()).join(outcome, ["entity", "period"]), "graded")
     mine = window_metrics(rows, ["run_id", "period"], k=k, bound=bound)
     now = rows.drop("score").join(current.select("entity", "period", "score"), ["entity", "period"])
     theirs = window_metrics(now, ["run_id", "period"], k=k, bound=bound).select(

@@ -14,7 +14,7 @@ from paneltide.operators.order import quantiles, top_k, winsorise, with_quantile
 from paneltide.operators.rollup import pooled_summary
 from paneltide.operators.stats import zscores
 from paneltide.plans.model import MIN_COVERAGE, MIN_WINDOW_ROWS, PRECISION_K, TOP_QUANTILE, WINSOR_LIMITS
-from paneltide.scale import is_wide, small_side
+from paneltide.scale import is_wide, small_side, staged
 
 WINDOW = ("strategy", "horizon", "period")
 
@@ -112,6 +112,7 @@ def headline(summary: DataFrame, long_h: int, short_h: int, calm: str) -> DataFr
 
 def uplift(head: DataFrame, reference: str, columns: Sequence[str]) -> DataFrame:
     """Reference minus every strategy."""
+    head = staged(head, "headline")  # used for the reference and for the comparison
     own = head.filter(F.col("strategy") == reference).select(F.struct(*columns)).scalar()
     return head.withColumn("_ref", own).select(
         "strategy", *columns, *[(F.col("_ref")[c] - F.col(c)).alias(f"uplift_{c}") for c in columns])
