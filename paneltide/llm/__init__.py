@@ -1 +1,9 @@
-"""Operators for training-data corpora. Nothing else in the library imports this subpackage."""
+"""Operators for training-data corpora. Nothing else in the library imports this subpackage.
+
+Functions that run on executors are sent with their code, so executors need no copy of the package.
+"""
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

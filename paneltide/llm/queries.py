@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import mixing, near_dedup, quality, secret_scan, sharding
+from paneltide.llm import embedding_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,19 @@ p{i} as (select * exclude (run, n{i}), left{i - 1} - coalesce(sum(case when n{i}
         t{i - 1} or n{i} as t{i} from m{i})""" for i in range(1, mixing.PASSES + 1)) + f"""
 select doc_id, size, source_size, target, (size * case when size > 0 then full_rounds + t{mixing.PASSES}::int else 0 end)::bigint as taken from p{mixing.PASSES}
 """
+
+
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    out = packing.packed(table(spark, folder, "documents"))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+@query
+def op8_pivot_permutation_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.predicted(table(spark, folder, "documents"))
