@@ -3,13 +3,14 @@
 1. A text becomes the set of 64-bit hashes of its word shingles. Texts with equal sets form a class; from here on a class
    stands for all its copies, so copies are never paired.
 2. HASHES minima of multiply-add hashes give BANDS keys of ROWS minima each; classes sharing a key form a bucket.
-   At similarity 0.8 a pair shares no key with probability (1 - 0.8^4)^24 = 3e-6.
-3. In every bucket each class is compared with the smallest one. Pairs whose signatures agree in less than
-   threshold - SLACK (nearly five standard deviations) are dropped; the rest is confirmed on full sets.
-4. Components of the confirmed links. Buckets that now lie inside one component are done. In the others all classes outside
-   the bucket's most frequent component are compared with every class of another component, some pivots
-   at a time; a compared pivot leaves its bucket. That ends when no pivot is left, so every
-   pair that shares a key is confirmed, rejected, or known to be connected, without listing the pairs of a group.
+   At similarity 0.8 a pair shares no key with probability (1 - 0.8^6)^38 = 1e-5.
+3. In every bucket each class is compared with one of it. Pairs whose signatures (a byte of each minimum) agree in less than
+   threshold - SLACK (over four standard deviations) are dropped; the rest is confirmed on full sets.
+4. Components of the confirmed links. Buckets that now lie inside one component are done. In the others the classes outside
+   the bucket's most frequent component are compared with HUBS classes of that component, in HUB_ROUNDS rounds.
+5. What is still open is compared in full: every class outside the bucket's most frequent component with every class of
+   another component, some pivots at a time; a pivot leaves its bucket. That ends when no pivot is left, so every pair that
+   shares a key is confirmed, rejected, or known to be connected, without listing the pairs of a group.
 
 Defined cases: texts that are null or without words have an empty set and link with nothing, and so do rows
 with a null doc_id (their component is null, they are kept); rows with one doc_id count as one document; an
@@ -30,9 +31,10 @@ from paneltide.llm.common import WordHash, shingle_hashes, words
 from paneltide.llm.components import components
 from paneltide.scale import staged
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 38, 6
 HASHES = BANDS * ROWS
-SLACK = 0.2
+SLACK = 0.12
+HUBS, HUB_ROUNDS = 3, 2
 FIRST_PIVOTS, MORE_PIVOTS = 8, 4
 BLOCK = 4096
 _RNG = np.random.default_rng(3)
@@ -75,7 +77,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 s = shingle_set(text, n, memo)
                 sig = signature(s) if len(s) else None
                 for name, value in zip(out, (len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None,
-                                             sig.tobytes() if len(s) else None, band_keys(sig) if len(s) else None)):
+                                             sig.astype(np.uint8).tobytes() if len(s) else None, band_keys(sig) if len(s) else None)):
                     out[name].append(value)
             yield pd.DataFrame({"doc_id": part["doc_id"], **out})
 
@@ -91,7 +93,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=bool)
-        table = [np.frombuffer(b"".join(s), np.uint32).reshape(len(s), HASHES) for s in (x, y)]
+        table = [np.frombuffer(b"".join(s), np.uint8).reshape(len(s), HASHES) for s in (x, y)]
         return pd.Series((table[0] == table[1]).mean(1) >= least)
 
     return both.where(agree("sig_a", "sig_b")).select("a", "b")
@@ -125,36 +127,65 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
     return both.where(similar("set_a", "set_b")).select("a", "b").distinct()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def class_components(classes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """classes: rep, sig, bands. Returns node, component for the classes with a link."""
+    sigs, tested = classes.select("rep", "sig"), []
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """The confirmed ones of the pairs that were not tested before."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested:
+            pairs = pairs.join(_union(tested), ["a", "b"], "left_anti")
+        tested.append(staged(pairs, "tested"))
+        return staged(confirmed(agreeing(tested[-1], sigs, threshold - SLACK), docs, n, threshold), "links")
+
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low")).where("size > 1")
+    centre = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"]
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1")
     members = staged(keyed.join(buckets, "key"), "members")
-    sigs = classes.select("rep", "sig")
-    star = _ordered(members.where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    links = [staged(confirmed(agreeing(star, sigs, threshold - SLACK), docs, n, threshold), "links")]
-    # the smallest class of a bucket has met all others; buckets of two are done
-    rest, many = members.where("rep <> low and size > 2").select("key", "rep"), FIRST_PIVOTS
+    star = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
+    found = staged(components(linked(star).select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
+    # buckets of two are done, and the centre has met all others
+    rest, step, many = members.where("size > 2").select("key", "rep", (F.col("rep") == F.col("centre")).alias("met")), 0, FIRST_PIVOTS
     while True:
-        found = staged(components(_union(links).select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
-        here = staged(rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("component")), "rest")
+        here = staged(rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+            "component", F.coalesce("component", "rep")), "rest")
         main = here.groupBy("key", "component").count().groupBy("key").agg(
             F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         open_ = staged(here.join(main.drop("parts"), "key"), "open")
-        nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))
-        pivots = staged(open_.where("component <> main").withColumn("nth", nth).where(F.col("nth") <= many).select(
+        by = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(step)), "rep")
+        if step < HUB_ROUNDS:
+            chosen, most = open_.where("component = main"), HUBS
+        else:
+            chosen, most = open_.where("component <> main and not met"), many
+        chosen = staged(chosen.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most).select(
             "key", F.col("rep").alias("pivot"), F.col("component").alias("of")), "pivots")
-        if pivots.isEmpty():
+        if chosen.isEmpty():
             return found
-        pairs = _ordered(open_.join(pivots, "key").where("component <> of").select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        links.append(staged(confirmed(agreeing(pairs, sigs, threshold - SLACK), docs, n, threshold), "links"))
-        rest = open_.select("key", "rep").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        many *= MORE_PIVOTS
+        others = open_ if step >= HUB_ROUNDS else open_.where("component <> main")
+        links = linked(others.where("not met").join(chosen, "key").where("component <> of").select(
+            F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        found = joined(found, links)
+        rest = open_.select("key", "rep", "met")
+        if step >= HUB_ROUNDS:
+            done = chosen.select("key", F.col("pivot").alias("rep"), F.lit(True).alias("now"))
+            rest = rest.join(done, ["key", "rep"], "left").select("key", "rep", (F.col("met") | F.col("now").isNotNull()).alias("met"))
+            many *= MORE_PIVOTS
+        step += 1
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links: components of the graph of components, carried over to the nodes."""
+    if links.isEmpty():
+        return found
+    a, b = (found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in "ab")
+    edges = staged(links.join(a, "a", "left").join(b, "b", "left").select(
+        F.coalesce("of_a", "a").alias("u"), F.coalesce("of_b", "b").alias("v")), "edges")
+    moved = staged(components(edges), "moved")
+    nodes = found.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        found, "node", "left_anti").withColumn("component", F.col("node")))
+    return staged(nodes.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select(
+        "node", F.coalesce("to", "component").alias("component")), "found")
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
