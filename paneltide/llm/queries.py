@@ -6,7 +6,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paneltide.llm import embedding_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding
+from paneltide.llm import (
+    embedding_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -89,3 +90,21 @@ def op8_pivot_permutation_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.predicted(table(spark, folder, "documents"))
+
+
+@query
+def op1_compact_window_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
+@query
+def op2_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
+
+
+SQL["op2_warc_round_trip"] = """
+with p as (select page_id, coalesce(html, '') as html, sha256(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as n from pages),
+f as (select *, case when n >= 100 then min(page_id) over (partition by payload_digest) else page_id end as first from p)
+select page_id, n::bigint as payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to from f
+"""
