@@ -8,9 +8,10 @@
    threshold - SLACK (over four standard deviations) are dropped; the rest is confirmed on full sets.
 4. Components of the confirmed links. Buckets that now lie inside one component are done. In the others the classes outside
    the bucket's most frequent component are compared with HUBS classes of that component, in HUB_ROUNDS rounds.
-5. What is still open is compared in full: every class outside the bucket's most frequent component with every class of
-   another component, some pivots at a time; a pivot leaves its bucket. That ends when no pivot is left, so every pair that
-   shares a key is confirmed, rejected, or known to be connected, without listing the pairs of a group.
+5. What is still open is compared in full, a block of the classes outside the bucket's most frequent component with a block of
+   its classes in one task, by signature and then by set. A task skips what is connected meanwhile and returns a
+   link for each two components that it joins, not its pairs. So every pair that shares a key is confirmed,
+   rejected, or known to be connected.
 
 Defined cases: texts that are null or without words have an empty set and link with nothing, and so do rows
 with a null doc_id (their component is null, they are kept); rows with one doc_id count as one document; an
@@ -35,7 +36,7 @@ BANDS, ROWS = 38, 6
 HASHES = BANDS * ROWS
 SLACK = 0.12
 HUBS, HUB_ROUNDS = 3, 2
-FIRST_PIVOTS, MORE_PIVOTS = 8, 4
+OUTER, INNER = 256, 1024
 BLOCK = 4096
 _RNG = np.random.default_rng(3)
 TIMES = (_RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
@@ -99,10 +100,8 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     return both.where(agree("sig_a", "sig_b")).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Pairs a, b of doc_ids whose full sets reach the threshold."""
-    pairs = staged(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """rep, shingles (sorted 64-bit hashes) of the documents in ids: rep. The one stage that moves texts."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,68 +109,105 @@ def confirmed(pairs: DataFrame, docs: DataFrame, n: int, threshold: float) -> Da
         for part in parts:
             yield pd.DataFrame({"rep": part["rep"], "shingles": [shingle_set(t, n, memo).tobytes() for t in part["text"]]})
 
-    sets = staged(texts.mapInPandas(run, "rep long, shingles binary"), "sets")
+    return staged(texts.mapInPandas(run, "rep long, shingles binary").where(F.octet_length("shingles") > 0), "sets")
+
+
+def reaches(s: bytes, t: bytes, percent: int) -> bool:
+    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+    if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+        return False
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a, b whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b").join(
         sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a")
-    percent = round(threshold * 100)
 
     @F.pandas_udf("boolean")
     def similar(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for s, t in zip(x, y):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            shared = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * shared >= percent * (len(s) + len(t) - shared))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([reaches(s, t, percent) for s, t in zip(x, y)], dtype=bool)
 
     return both.where(similar("set_a", "set_b")).select("a", "b").distinct()
 
 
+def compared(open_: DataFrame, sigs: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """open_: key, rep, component, main. Links a, b that join the components of a bucket as far as its pairs do."""
+    sizes = open_.groupBy("key").agg(F.ceil(F.count_if(F.col("component") != F.col("main")) / OUTER).cast("int").alias("outer"),
+                                     F.ceil(F.count("*") / INNER).cast("int").alias("inner"))
+    rows = open_.join(sizes, "key").withColumns({"o": F.pmod(F.xxhash64("rep"), F.col("outer")), "i": F.pmod(F.xxhash64("rep", "key"), F.col("inner"))})
+    outside = rows.where("component <> main").select("key", "o", F.explode(F.sequence(F.lit(0), F.col("inner") - 1)).alias("i"),
+                                                     "rep", "component", F.lit(True).alias("outside"))
+    inside = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("o"), "i", "rep", "component", F.lit(False).alias("outside"))
+    blocks = outside.select("key", "o", F.col("i").cast("int").alias("i"), "rep", "component", "outside").unionByName(
+        inside.select("key", "o", F.col("i").cast("int").alias("i"), "rep", "component", "outside"))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["outside", "rep"], ignore_index=True)
+        sig = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), HASHES)
+        sets, comp = part["shingles"].tolist(), part["component"].to_numpy()
+        outer = np.flatnonzero(part["outside"].to_numpy(bool))
+        inner = np.flatnonzero(~part["outside"].to_numpy(bool))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        links = []
+        for x in outer:
+            alike = (sig[inner] == sig[x]).mean(1)
+            near = inner[(alike >= least) & (comp[inner] != comp[x])]
+            for y in near[np.argsort(-alike[np.isin(inner, near)], kind="stable")]:
+                u, v = root(int(comp[x])), root(int(comp[y]))
+                if u != v and reaches(sets[x], sets[y], percent):
+                    parent[max(u, v)] = min(u, v)
+                    links.append((part["rep"].iat[x], part["rep"].iat[y]))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return blocks.join(sigs, "rep").join(sets, "rep").groupBy("key", "o", "i").applyInPandas(run, "a long, b long")
+
+
 def class_components(classes: DataFrame, docs: DataFrame, n: int, threshold: float) -> DataFrame:
     """classes: rep, sig, bands. Returns node, component for the classes with a link."""
-    sigs, tested = classes.select("rep", "sig"), []
+    sigs, tested, percent = classes.select("rep", "sig"), [], round(threshold * 100)
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The confirmed ones of the pairs that were not tested before."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested:
             pairs = pairs.join(_union(tested), ["a", "b"], "left_anti")
-        tested.append(staged(pairs, "tested"))
-        return staged(confirmed(agreeing(tested[-1], sigs, threshold - SLACK), docs, n, threshold), "links")
+        tested.append(staged(agreeing(pairs, sigs, threshold - SLACK), "tested"))
+        return staged(confirmed(tested[-1], sets, percent), "links")
 
     keyed = classes.select("rep", F.explode("bands").alias("key"))
     centre = F.min(F.struct(F.xxhash64("rep", "key").alias("h"), "rep"))["rep"]
     buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), centre.alias("centre")).where("size > 1")
     members = staged(keyed.join(buckets, "key"), "members")
+    sets = sets_of(docs, members.select("rep").distinct(), n)
     star = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b"))
     found = staged(components(linked(star).select(F.col("a").alias("u"), F.col("b").alias("v"))), "found")
-    # buckets of two are done, and the centre has met all others
-    rest, step, many = members.where("size > 2").select("key", "rep", (F.col("rep") == F.col("centre")).alias("met")), 0, FIRST_PIVOTS
-    while True:
+    rest = members.where("size > 2").select("key", "rep")  # buckets of two are done
+    for step in range(HUB_ROUNDS + 1):
         here = staged(rest.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
             "component", F.coalesce("component", "rep")), "rest")
         main = here.groupBy("key", "component").count().groupBy("key").agg(
             F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         open_ = staged(here.join(main.drop("parts"), "key"), "open")
-        by = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(step)), "rep")
+        if open_.isEmpty():
+            break
         if step < HUB_ROUNDS:
-            chosen, most = open_.where("component = main"), HUBS
+            by = Window.partitionBy("key").orderBy(F.xxhash64("rep", F.lit(step)), "rep")
+            hubs = open_.where("component = main").withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= HUBS)
+            links = linked(open_.where("component <> main").join(hubs.select("key", F.col("rep").alias("hub")), "key").select(
+                F.col("rep").alias("a"), F.col("hub").alias("b")))
         else:
-            chosen, most = open_.where("component <> main and not met"), many
-        chosen = staged(chosen.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= most).select(
-            "key", F.col("rep").alias("pivot"), F.col("component").alias("of")), "pivots")
-        if chosen.isEmpty():
-            return found
-        others = open_ if step >= HUB_ROUNDS else open_.where("component <> main")
-        links = linked(others.where("not met").join(chosen, "key").where("component <> of").select(
-            F.col("rep").alias("a"), F.col("pivot").alias("b")))
+            links = staged(compared(open_, sigs, sets, threshold - SLACK, percent), "links")
         found = joined(found, links)
-        rest = open_.select("key", "rep", "met")
-        if step >= HUB_ROUNDS:
-            done = chosen.select("key", F.col("pivot").alias("rep"), F.lit(True).alias("now"))
-            rest = rest.join(done, ["key", "rep"], "left").select("key", "rep", (F.col("met") | F.col("now").isNotNull()).alias("met"))
-            many *= MORE_PIVOTS
-        step += 1
+        rest = open_.select("key", "rep")
+    return found
 
 
 def joined(found: DataFrame, links: DataFrame) -> DataFrame:
