@@ -5,8 +5,8 @@ characters: two first-order character models, one of random strings and one of o
 from labelled samples, and a run whose mean log-likelihood ratio is above a margin is a secret.
 
 Labelled samples: about TRAIN_DOCS documents, chosen by the hash of their id, are the only ones used for training. The strings
-that the base rules mark in them are random strings; their other runs of key characters are ordinary
-identifiers. Both get fixed pseudo-random and joined-word examples too, so that a table without secrets still
+that the base rules mark in them are random strings; their other runs of key characters without a digit are
+ordinary identifiers. Both get fixed pseudo-random and joined-word examples too, so that a table without secrets still
 gives a model. Counts are made on the executors; the driver gets two tables of 66 x 66 counts.
 
 Spans are in code points, end exclusive. Added spans (kind `markov`) do not overlap base spans. Defined
@@ -35,7 +35,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters or more
 HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-PART = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+PLAIN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]{4,}(?![A-Za-z0-9+/_=-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODES = np.full(128, -1, np.int64)
 CODES[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -71,6 +71,7 @@ def fixed_examples() -> tuple[np.ndarray, np.ndarray]:
              "buffer", "length", "manager", "internal", "public", "static", "parameter", "document", "content")
     joined = ["".join(rng.choice(names, 4)) for _ in range(100)] + ["_".join(rng.choice(names, 4)) for _ in range(100)]
     joined += ["".join(w.title() for w in rng.choice(names, 4)) for _ in range(100)]
+    joined += ["-".join([*rng.choice(names, 3), str(n)]) for n in range(1900, 2100, 2)]
     return counted(strings), counted(joined)
 
 
@@ -88,7 +89,7 @@ def train(docs: DataFrame, sample: int = TRAIN_DOCS) -> np.ndarray:
                     random += counted(RUN.findall(value))
                     rest.append(text[at:max(at, start)])
                     at = max(at, end)
-                plain += counted(PART.findall(" ".join([*rest, text[at:]])))
+                plain += counted(PLAIN.findall(" ".join([*rest, text[at:]])))
         for kind, table in (("random", random), ("plain", plain)):
             at = np.nonzero(table)
             yield pd.DataFrame({"kind": kind, "a": at[0], "b": at[1], "n": table[at]})
