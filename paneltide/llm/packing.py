@@ -238,12 +238,12 @@ def places(solution: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """Pieces with ids, sequence_id and offset."""
+    """Pieces with ids, ids_crc32, sequence_id and offset. Callers that drop ids do not move them."""
     cut = staged(pieces(docs, capacity, path, ranks), "pieces")
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(solve(histogram, capacity))
     rows = sum(histogram.values())
-    ranked = numbered(cut.withColumn("_ids", F.xxhash64("ids")), ["length"], ["doc_id", "piece", "_ids"], "_nth", rows).drop("_ids")
+    ranked = numbered(cut.withColumns({"_ids": F.xxhash64("ids"), "ids_crc32": F.crc32("ids")}), ["length"], ["doc_id", "piece", "_ids"], "_nth", rows).drop("_ids")
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pd.Series, nth: pd.Series) -> pd.DataFrame:
@@ -259,4 +259,4 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     out = ranked.withColumn("_at", place("length", "_nth"))
-    return out.select("doc_id", "piece", "start", "length", "ids", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return out.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))

@@ -79,7 +79,7 @@ select doc_id, size, source_size, target, (size * case when size > 0 then full_r
 @query
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     out = packing.packed(table(spark, folder, "documents"))
-    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query
