@@ -139,12 +139,13 @@ def variant_with_proxy(t):
 WEIGHT_VALUES = ", ".join(f"('{k}', '{s}', {w})" for k, s, w in asof.provenance(MODEL))
 
 
-@query("provenance_weights", with_parts(f"SELECT source, {r('sum(w)', 'weight')}, {r('avg(z)', 'mean_abs_z')} FROM (SELECT v.source, v.w/7/100 AS w, abs(CASE v.k " + " ".join(f"WHEN '{k}' THEN {k}" for k in NAMES)
-                                        + f" END) AS z FROM norm, (VALUES {WEIGHT_VALUES}) v(k, source, w) WHERE (SELECT count(*) FROM norm)>0) GROUP BY source", "norm"))
+@query("provenance_weights", with_parts(f"SELECT source, {r('sum(w)', 'weight')}, {r('sum(sz)/nullif(sum(nz),0)', 'mean_abs_z')} FROM (SELECT v.source, v.k, max(v.w) AS w, sum(abs(CASE v.k " + " ".join(f"WHEN '{k}' THEN {k}" for k in NAMES)
+                                        + " END)) AS sz, count(CASE v.k " + " ".join(f"WHEN '{k}' THEN {k}" for k in NAMES) + f" END) AS nz FROM norm, (VALUES {WEIGHT_VALUES}) v(k, source, w) GROUP BY v.source, v.k) GROUP BY source", "norm"))
 def provenance_weights(t):
     tags = t.spark.createDataFrame(asof.provenance(MODEL), "indicator string, source string, weight double")
     long = t.norm.unpivot(["entity", "period"], NAMES, "indicator", "z").join(F.broadcast(tags), "indicator")
-    g = long.groupBy("source").agg((F.sum("weight") / 7 / 100).alias("weight"), F.avg(F.abs("z")).alias("mean_abs_z"))
+    one = long.groupBy("source", "indicator").agg(F.max("weight").alias("weight"), F.sum(F.abs("z")).alias("sz"), F.count("z").alias("nz"))
+    g = one.groupBy("source").agg(F.sum("weight").alias("weight"), F.try_divide(F.sum("sz"), F.sum("nz")).alias("mean_abs_z"))
     return rounded_all(g, ["weight", "mean_abs_z"])
 
 

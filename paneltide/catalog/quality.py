@@ -189,6 +189,6 @@ def grade_interim(t):
     return rounded_all(registry.grade_interim(runs, [h1, ytd], bound=t.bound), ["weighted_tau", "precision_at_k", "edge_pp"])
 
 
-@query("content_digest")
+@query("content_digest", with_parts("""SELECT sum(h)::VARCHAR AS digest, count(*) AS n_rows FROM (SELECT ('0x'||substr(md5('entity'||coalesce('='||entity::VARCHAR,'~')||';period'||coalesce('='||period::VARCHAR,'~')||';rent'||coalesce('='||floor(rent)::BIGINT::VARCHAR,'~')||';'),1,15))::BIGINT AS h FROM panel)""", "panel"))
 def content_digest(t):
-    return registry.digest(t.panel.select("entity", "period", F.round("rent", 6).alias("rent")))
+    return registry.digest(t.panel.select("entity", "period", F.floor("rent").cast("bigint").alias("rent")))

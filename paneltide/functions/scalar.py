@@ -50,8 +50,8 @@ def primary_state(title: str | Column) -> Column:
 
 
 def text_to_double(c: str | Column) -> Column:
-    """'1,234' -> 1234.0; anything that is not a number -> NULL."""
-    return F.regexp_replace(F.trim(col(c)), ",", "").try_cast("double")
+    """'1,234' -> 1234.0; anything that is not a finite number -> NULL."""
+    return no_nan(F.regexp_replace(F.trim(col(c)), ",", "").try_cast("double"))
 
 
 def stable_id(*parts: str | Column, width: int = 10) -> Column:
@@ -105,5 +105,5 @@ def present_mean(cols: Sequence[str | Column], at_least: int = 1) -> Column:
 
 
 def no_nan(c: str | Column) -> Column:
-    """Missing is NULL in this library; NaN never survives a read."""
-    return F.when(~F.isnan(col(c)), col(c))
+    """Missing is NULL in this library; NaN and infinities never survive a read."""
+    return F.when(~F.isnan(col(c)) & (F.abs(col(c)) < F.lit(float("inf"))), col(c))

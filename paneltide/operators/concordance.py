@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.operators.order import ALL_BEFORE, split_ranks
-from paneltide.scale import largest_group, small_side, staged, task_row_limit
+from paneltide.scale import join_groups, largest_group, small_side, staged, task_row_limit
 
 DIGIT_BITS = 3
 RADIX = 1 << DIGIT_BITS
@@ -98,11 +98,14 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
         got = levels.groupBy(*group).agg(
             F.sum("_term").alias("_num"), *[F.expr(f"sum({own(e)}) AS {n}") for n, e in (
                 ("_mm", "_m"), ("_ww", "_wt"), ("_tx", "(_mx - 1) * _wt"), ("_ty", "(_my - 1) * _wt"))],
+            *[F.max(F.expr(own(c))).alias(n) for n, c in (("_lx", "_mx"), ("_ly", "_my"))],
             *[f(F.expr(own(f"_also_{n}"))).alias(n) for n, (f, _) in also.items()])
     total = (F.col("_mm") - 1) * F.col("_ww")
     spread = F.greatest(total - F.col("_tx"), F.lit(0.0)) * F.greatest(total - F.col("_ty"), F.lit(0.0))
+    # a side whose longest tie run is the whole group is constant: no pair is ordered
+    varies = (F.col("_lx") < F.col("_mm")) & (F.col("_ly") < F.col("_mm"))
     return got.select(*group, *also, F.when(
-        spread > 1e-18, F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)), F.sqrt(spread))).alias(name))
+        varies, F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)), F.sqrt(spread))).alias(name))
 
 
 def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -121,10 +124,11 @@ def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
     base = coded.groupBy(*group).agg(
         F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww"),
         *[f(F.col(f"_also_{n}")).alias(n) for n, (f, _) in also.items()])
-    for code, out in (("_dx", "_tx"), ("_dy", "_ty")):
+    for code, out, longest in (("_dx", "_tx", "_lx"), ("_dy", "_ty", "_ly")):
         ties = coded.groupBy(*group, code).agg(F.sum("_m").alias("_mt"), F.sum("_wt").alias("_wtt"))
-        base = base.join(ties.groupBy(*group).agg(F.sum((F.col("_mt") - 1) * F.col("_wtt")).alias(out)), list(group))
-    return base.join(numerator, list(group), "left")
+        base = join_groups(base, ties.groupBy(*group).agg(
+            F.sum((F.col("_mt") - 1) * F.col("_wtt")).alias(out), F.max("_mt").alias(longest)), list(group))
+    return join_groups(base, numerator, list(group), "left")
 
 
 def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:

@@ -96,8 +96,8 @@ def normalised_name(c: str) -> Column:
 
 
 def lookup_by_name(df: DataFrame, names: DataFrame, name: str, ref_name: str, code: str) -> DataFrame:
-    """Full-name to code lookup; unmatched rows are dropped."""
-    right = names.select(normalised_name(ref_name).alias("_n"), F.col(code)).dropDuplicates(["_n"])
+    """Full-name to code lookup; unmatched rows are dropped, and of equal names the smallest code counts."""
+    right = names.groupBy(normalised_name(ref_name).alias("_n")).agg(F.min(code).alias(code))
     return df.withColumn("_n", normalised_name(name)).join(right, "_n").drop("_n")
 
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.scale import is_wide, small_side, staged
+from paneltide.scale import is_wide, join_groups, small_side, staged
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -42,7 +42,7 @@ def _split_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column],
     inside = Window.partitionBy("_part", *group).orderBy(*order, F.col("_salt"))
     local = placed.withColumn("_pos", F.row_number().over(inside)).withColumn(
         "_before", F.coalesce(F.sum("_w").over(inside.rowsBetween(*ALL_BEFORE)), F.lit(0.0)))
-    return (local.join(offsets, ["_part", *group])
+    return (join_groups(local, offsets, ["_part", *group])
             .withColumn("_pos", F.col("_pos") + F.col("_rows0"))
             .withColumn("_before", F.col("_before") + F.col("_sum0"))
             .drop("_rows0", "_sum0", "_salt", "_w"))
@@ -64,10 +64,11 @@ def split_ranks(df: DataFrame, group: Sequence[str], value: str, descending: boo
         scan.filter(edge).groupBy(*group, value)
         .agg(F.min("_pos").alias("_first_all"), F.count(F.lit(1)).alias("_ties_all")))
     sizes = small_side(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-    return (scan.drop("_lo", "_hi", "_part", "_pos").join(edges, [*group, value], "left")
-            .withColumn("_first", F.coalesce("_first_all", "_first"))
-            .withColumn("_ties", F.coalesce("_ties_all", "_ties"))
-            .drop("_first_all", "_ties_all").join(sizes, list(group)))
+    ranked = (join_groups(scan.drop("_lo", "_hi", "_part", "_pos"), edges, [*group, value], "left")
+              .withColumn("_first", F.coalesce("_first_all", "_first"))
+              .withColumn("_ties", F.coalesce("_ties_all", "_ties"))
+              .drop("_first_all", "_ties_all"))
+    return join_groups(ranked, sizes, list(group))
 
 
 def add_positions(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "position",
@@ -125,7 +126,7 @@ def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[st
         return df.groupBy(*group).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
     present = df.select(*group, value).filter(F.col(value).isNotNull())
     sizes = small_side(present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-    scan = _split_scan(present, group, [F.col(value).asc()]).join(sizes, list(group))
+    scan = join_groups(_split_scan(present, group, [F.col(value).asc()]), sizes, list(group))
     picks, cols = F.lit(False), []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
@@ -144,7 +145,7 @@ def with_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mappi
     if not is_wide(df, group, bound):
         w = Window.partitionBy(*group)
         return df.withColumns({n: F.percentile(value, F.lit(p)).over(w) for n, p in probs.items()})
-    return df.join(small_side(quantiles(df, group, value, probs, bound)), list(group), "left")
+    return join_groups(df, small_side(quantiles(df, group, value, probs, bound)), list(group), "left")
 
 
 def winsorise(df: DataFrame, group: Sequence[str], value: str, limits: tuple[float, float] = (0.01, 0.99),

@@ -12,7 +12,7 @@ from paneltide.operators.match import membership_changes
 from paneltide.operators.order import quantiles
 from paneltide.plans.model import (
     CROSS_SOURCE_GAP, CROSS_SOURCE_SIGMA, GOLDEN_ATOL, GOLDEN_RTOL, OUTLIER_SIGMA, TOP_MOVER_RANKS)
-from paneltide.scale import is_wide, small_side
+from paneltide.scale import is_wide, join_groups, small_side
 
 KEYS = ("entity", "period")
 
@@ -30,8 +30,8 @@ def with_center_and_spread(df: DataFrame, group: Sequence[str], value: str, boun
     """Attach the group median and the population standard deviation of a column."""
     mid = quantiles(df, group, value, {"_mid": 0.5}, bound)
     spread = df.groupBy(*group).agg(F.stddev_pop(value).alias("_std"))
-    table = mid.join(spread, list(group))
-    return df.join(small_side(table) if is_wide(df, group, bound) else table, list(group))
+    table = join_groups(mid, spread, list(group))
+    return join_groups(df, small_side(table) if is_wide(df, group, bound) else table, list(group))
 
 
 def divergence(pairs: DataFrame, bound: int | None = None) -> DataFrame:

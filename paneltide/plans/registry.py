@@ -21,9 +21,15 @@ class PublicationBlocked(RuntimeError):
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Order-insensitive content digest: exact sum of row hashes plus the row count."""
-    return df.select(F.xxhash64(*[F.col(c) for c in sorted(df.columns)]).cast("decimal(38,0)").alias("h")).agg(
-        F.sum("h").alias("digest"), F.count(F.lit(1)).alias("n_rows"))
+    """Order-insensitive content digest: exact sum of 60-bit MD5 parts of the rows, and the row count.
+
+    A row's text names every column and marks NULL apart from any value, so a value that moves to another
+    column, or vanishes, changes the digest. Other engines can recompute it.
+    """
+    cells = [F.concat(F.lit(f"{c}"), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")), F.lit(";"))
+             for c in sorted(df.columns)]
+    part = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.select(part.alias("h")).agg(F.sum("h").cast("string").alias("digest"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def freeze_run(scores: DataFrame, panel: DataFrame, root: str, run_id: str, score_period: int,

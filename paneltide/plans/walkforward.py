@@ -14,7 +14,7 @@ from paneltide.operators.order import quantiles, top_k, winsorise, with_quantile
 from paneltide.operators.rollup import pooled_summary
 from paneltide.operators.stats import zscores
 from paneltide.plans.model import MIN_COVERAGE, MIN_WINDOW_ROWS, PRECISION_K, TOP_QUANTILE, WINSOR_LIMITS
-from paneltide.scale import is_wide, small_side, staged
+from paneltide.scale import is_wide, join_groups, small_side, staged
 
 WINDOW = ("strategy", "horizon", "period")
 
@@ -53,7 +53,7 @@ def enough_rows(frame: DataFrame, group: Sequence[str], at_least: int = MIN_WIND
         return frame.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group))).filter(
             F.col("_n") >= at_least).drop("_n")
     sizes = small_side(frame.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least))
-    return frame.join(sizes.select(*group), list(group))
+    return join_groups(frame, sizes.select(*group), list(group))
 
 
 def window_metrics(frame: DataFrame, group: Sequence[str] = WINDOW, *, k: int = PRECISION_K,

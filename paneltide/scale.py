@@ -76,3 +76,12 @@ def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """
     kept = staged(df, "summary")
     return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a per-group table back: a NULL key is a group like any other, as in windows and groupBy."""
+    named = right.select([F.col(f"`{c}`").alias(f"_of_{c}") if c in keys else F.col(f"`{c}`") for c in right.columns])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(f"`{c}`").eqNullSafe(F.col(f"`_of_{c}`"))
+    return left.join(named, on, how).drop(*[f"_of_{c}" for c in keys])

@@ -81,3 +81,33 @@ def test_tau_extremes(spark):
     assert weighted_tau(df, ["g"], "x", "y", "e").first().tau == pytest.approx(-1.0)
     flat = df.withColumn("x", F.lit(1.0))
     assert weighted_tau(flat, ["g"], "x", "y", "e").first().tau is None
+
+
+@pytest.fixture
+def keyed(spark):
+    """A NULL group key, NULL values and ties."""
+    rows = [(None if i % 3 == 0 else i % 3, float(i % 5) if i % 7 else None, i) for i in range(60)]
+    return spark.createDataFrame(rows, "g int, v double, id int")
+
+
+def both_plans(fn):
+    return [sorted(map(str, fn(bound).collect())) for bound in (1, 10 ** 9)]
+
+
+def test_null_groups_are_groups_in_both_plans(keyed):
+    wide, narrow = both_plans(lambda b: order.add_ranks(keyed, ["g"], "v", low="lo", average="av", percent="pc", bound=b).select("g", "v", "id", "lo", "av", "pc"))
+    assert wide == narrow and len(wide) == 60
+    wide, narrow = both_plans(lambda b: order.add_prefix_sum(keyed, ["g"], [F.col("id")], F.lit(1.0), "s", b).select("g", "id", "s"))
+    assert wide == narrow and len(wide) == 60
+    wide, narrow = both_plans(lambda b: order.quantiles(keyed, ["g"], "v", {"q": 0.5}, b))
+    assert wide == narrow and len(wide) == 3
+    wide, narrow = both_plans(lambda b: order.winsorise(keyed, ["g"], "v", (0.2, 0.8), "w", b).select("g", "v", "id", "w"))
+    assert wide == narrow and len(wide) == 60
+
+
+@pytest.mark.parametrize("n", [110, 1000])
+def test_constant_side_is_null_in_both_plans(spark, n):
+    rows = spark.range(n).selectExpr("cast(null as int) as g", "1.5D as score", "cast(id as double) as outcome", "id")
+    for bound in (1, 10 ** 9):
+        got = weighted_tau(rows, ["g"], "score", "outcome", "id", bound=bound).collect()
+        assert len(got) == 1 and got[0][-1] is None
