@@ -117,6 +117,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
         rows = [judge(t) for t in texts]
         return pd.DataFrame({"kept": [r[2] for r in rows], "text": [r[3] for r in rows]})
 
+    judged = judged.asNondeterministic()  # else the filter and the new text would each run it
     out = docs.withColumn("_clean", judged("text")).where("_clean.kept").withColumn("text", F.col("_clean.text")).drop("_clean")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
