@@ -23,7 +23,8 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_agrees_with_sql(spark, con, name):
     ok, note = compare(spark, con, name, queries()[name], oracle_sql().get(name), FOLDER)
-    assert ok or note.startswith("rows=0"), note
+    # at the smallest size some of the others hold no row; the queries of the default run all do
+    assert ok or name not in SOME and note.startswith("rows=0"), note
 
 
 def test_entry_and_registry(spark):
