@@ -158,5 +158,5 @@ def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     carried = per_stretch.select(*key, *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_o{n}") for n in names])
     part = ", ".join(f"`{g}`" for g in key)
     inner = cells.withColumns(_running(f"PARTITION BY {part} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"))
-    full = inner.join(carried, key).withColumns({n: F.expr(f"{n} + _o{n}") for n in names})
+    full = join_groups(inner, carried, key).withColumns({n: F.expr(f"{n} + _o{n}") for n in names})
     return full.select(*group, _pair_term().alias("_term"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import col, ratio
 from paneltide.operators.order import add_ranks, quantiles
-from paneltide.scale import is_wide, largest_group, small_side
+from paneltide.scale import is_wide, join_groups, largest_group, small_side
 
 
 def correlation(x: str | Column, y: str | Column) -> Column:
@@ -36,7 +36,7 @@ def zscores(df: DataFrame, group: Sequence[str], columns: Mapping[str, str], *,
         stats[f"_avg_{out}"], stats[f"_std_{out}"] = f"avg(`{src}`)", f"{spread}(`{src}`)"
     if is_wide(df, group, bound):
         table = small_side(df.groupBy(*group).agg(*[F.expr(e).alias(n) for n, e in stats.items()]))
-        held = df.join(table, list(group), "left")
+        held = join_groups(df, table, list(group), "left")
     else:
         part = ", ".join(f"`{g}`" for g in group)
         held = df.withColumns({n: F.expr(f"{e} OVER (PARTITION BY {part})") for n, e in stats.items()})
