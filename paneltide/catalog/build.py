@@ -147,20 +147,26 @@ def collapse_mean(t):
     return rounded_all(rollup.collapse(t.events, ["user_id"], "ts", "value", "mean"), ["value"])
 
 
-MONTHS = [f"{y}-{m:02d}-01" for y in range(1995, 2002) for m in range(1, 13)]
+def _span(panel):
+    """First and last period of a panel."""
+    return tuple(panel.agg(F.min("period"), F.max("period")).first())
+
+
+SPAN = "(SELECT unnest(range(min(period),max(period)+1)) AS y FROM {})"
 
 
 def _wide(t):
-    m = t.monthly.select(S("entity").cast("string").alias("region_id"), F.date_format("date", "yyyy-MM-dd").alias("month"), rounded("rent", 4).alias("v")).filter(S("entity") % 5 != 0)
-    return readers.read_wide_monthly(t.spark, land_csv(t, reshape.pivot_first(m, ["region_id"], "month", "v", MONTHS), "wide"))
+    m = t.monthly.select(S("entity").cast("string").alias("region_id"), F.date_format("date", "yyyy-MM-dd").alias("month"), rounded("rent", 4).alias("v"))
+    months = [x["month"] for x in m.select("month").distinct().orderBy("month").collect()]  # one value a calendar month
+    return readers.read_wide_monthly(t.spark, land_csv(t, reshape.pivot_first(m, ["region_id"], "month", "v", months), "wide"))
 
 
-@query("unpivot_wide_monthly", with_parts(f"SELECT entity::VARCHAR AS region_id, date, {r('rent', 'value', 4)} FROM monthly WHERE entity%5<>0", "monthly"))
+@query("unpivot_wide_monthly", with_parts(f"SELECT entity::VARCHAR AS region_id, date, {r('rent', 'value', 4)} FROM monthly", "monthly"))
 def unpivot_wide_monthly(t):
     return reshape.unpivot_dates(_wide(t), ["region_id"])
 
 
-@query("annual_mean_min_obs", with_parts(f"SELECT * FROM (SELECT region_id, period, {r('avg(rent)', 'value')}, count(*) AS n_obs FROM (SELECT entity::VARCHAR AS region_id, year(date) AS period, {r('rent', 'rent', 4)} FROM monthly WHERE entity%5<>0) GROUP BY 1,2) WHERE n_obs>=11 AND period>=1996", "monthly"))
+@query("annual_mean_min_obs", with_parts(f"SELECT * FROM (SELECT region_id, period, {r('avg(rent)', 'value')}, count(*) AS n_obs FROM (SELECT entity::VARCHAR AS region_id, year(date) AS period, {r('rent', 'rent', 4)} FROM monthly) GROUP BY 1,2) WHERE n_obs>=11 AND period>=1996", "monthly"))
 def annual_mean_min_obs(t):
     long = reshape.unpivot_dates(_wide(t), ["region_id"])
     return rounded_all(rollup.period_mean(long, ["region_id"], "date", "value", 11, 1996), ["value"])
@@ -190,11 +196,12 @@ def csv_sink(t):
     return readers.read_delimited(t.spark, path, T.StructType([T.StructField("entity", T.LongType()), T.StructField("period", T.IntegerType()), T.StructField("rent", T.DoubleType())]))
 
 
-@query("append_sink", "SELECT l_returnflag AS kind, count(*) AS n FROM lineitem WHERE l_returnflag IN ('A','R') GROUP BY 1")
+@query("append_sink", "SELECT l_returnflag AS kind, count(*) AS n FROM lineitem GROUP BY 1")
 def append_sink(t):
     path = staging_path(t.spark, "index")
-    for kind in ("A", "R"):
-        sinks.append_rows(t.lineitem.filter(S("l_returnflag") == kind).groupBy(S("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n")), path)
+    open_ = S("l_returnflag").eqNullSafe("N")
+    for part in (open_, ~open_):
+        sinks.append_rows(t.lineitem.filter(part).groupBy(S("l_returnflag").alias("kind")).agg(F.count(F.lit(1)).alias("n")), path)
     return readers.read_columns(t.spark, path, ["kind", "n"])
 
 
@@ -206,15 +213,21 @@ def unpivot_family(t):
     return reshape.unpivot_family(wide, ["entity"], "POP", "pop")
 
 
-@query("pivot_mean", f"SELECT user_id, {r(chr(39).join(['avg(value) FILTER (event_type=', 'click', ')']), 'click')}, {r(chr(39).join(['avg(value) FILTER (event_type=', 'error', ')']), 'error')} FROM events GROUP BY user_id")
+KINDS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("pivot_mean", "SELECT user_id, " + ", ".join(r(f"avg(value) FILTER (event_type='{k}')", k) for k in KINDS) + " FROM events GROUP BY user_id")
 def pivot_mean(t):
-    return rounded_all(reshape.pivot_mean(t.events, ["user_id"], "event_type", "value", ["click", "error"]), ["click", "error"])
+    return rounded_all(reshape.pivot_mean(t.events, ["user_id"], "event_type", "value", KINDS), KINDS)
+
+
+YEARS = list(range(1995, 2002))  # the columns of the wide result
 
 
-@query("pivot_periods", with_parts("SELECT entity, " + ", ".join(r(f"max(CASE WHEN period={y} THEN rent END)", f"y{y}") for y in (1996, 1998, 2000)) + " FROM customer_panel GROUP BY entity", "customer_panel"))
+@query("pivot_periods", with_parts("SELECT entity, " + ", ".join(r(f"max(CASE WHEN period={y} THEN rent END)", f"y{y}") for y in YEARS) + " FROM customer_panel GROUP BY entity", "customer_panel"))
 def pivot_periods(t):
-    p = reshape.pivot_first(t.customer_panel, ["entity"], "period", "rent", [1996, 1998, 2000])
-    return p.select("entity", *[rounded(str(y)).alias(f"y{y}") for y in (1996, 1998, 2000)])
+    p = reshape.pivot_first(t.customer_panel, ["entity"], "period", "rent", YEARS)
+    return p.select("entity", *[rounded(str(y)).alias(f"y{y}") for y in YEARS])
 
 
 @query("golden_long", with_parts(" UNION ALL ".join(f"SELECT entity, period, '{c}' AS \"column\", {r(c, 'value', 3)} FROM panel" for c in MEASURES), "panel"))
@@ -222,14 +235,15 @@ def golden_long(t):
     return rounded_all(reshape.golden_long(t.panel, ["entity", "period"], MEASURES), ["value"], 3)
 
 
-@query("stack_periods", with_parts(f"SELECT entity, period, {rs('rent')} FROM panel WHERE period IN (1996,1998,2000)", "panel"))
+@query("stack_periods", with_parts(f"SELECT entity, period, {rs('rent')} FROM panel", "panel"))
 def stack_periods(t):
-    return rounded_all(reshape.stack([t.panel.filter(S("period") == y).select("entity", "period", "rent") for y in (1996, 1998, 2000)]), ["rent"])
+    lo, hi = _span(t.panel)
+    return rounded_all(reshape.stack([t.panel.filter(S("period") == y).select("entity", "period", "rent") for y in range(lo, hi + 1)]), ["rent"])
 
 
-@query("panel_spine", with_parts(f"SELECT c.c_custkey AS entity, y::INT AS period, {r('p.rent', 'rent')} FROM customer c CROSS JOIN range(1995,2002) s(y) LEFT JOIN customer_panel p ON p.entity=c.c_custkey AND p.period=y", "customer_panel"))
+@query("panel_spine", with_parts(f"SELECT c.c_custkey AS entity, y::INT AS period, {r('p.rent', 'rent')} FROM customer c CROSS JOIN {SPAN.format('customer_panel')} s(y) LEFT JOIN customer_panel p ON p.entity=c.c_custkey AND p.period=y", "customer_panel"))
 def panel_spine(t):
-    grid = reshape.spine(t.customer.select(S("c_custkey").alias("entity")), 1995, 2001)
+    grid = reshape.spine(t.customer.select(S("c_custkey").alias("entity")), *_span(t.customer_panel))
     return rounded_all(match.star_join(grid, [t.customer_panel.select("entity", "period", "rent")]), ["rent"])
 
 
@@ -237,10 +251,10 @@ STAR = """vol AS (SELECT o_custkey AS entity, year(o_orderdate) AS period, count
 val AS (SELECT o_custkey AS entity, year(o_orderdate) AS period, max(o_totalprice) AS top_order FROM orders WHERE o_orderstatus='O' GROUP BY ALL)"""
 
 
-@query("star_join", with_parts(f"SELECT c.c_custkey AS entity, y::INT AS period, {r('p.rent', 'rent')}, v.n_orders, w.top_order FROM customer c CROSS JOIN range(1995,2002) s(y) LEFT JOIN customer_panel p ON p.entity=c.c_custkey AND p.period=y "
+@query("star_join", with_parts(f"SELECT c.c_custkey AS entity, y::INT AS period, {r('p.rent', 'rent')}, v.n_orders, w.top_order FROM customer c CROSS JOIN {SPAN.format('customer_panel')} s(y) LEFT JOIN customer_panel p ON p.entity=c.c_custkey AND p.period=y "
                                "LEFT JOIN vol v ON v.entity=c.c_custkey AND v.period=y LEFT JOIN val w ON w.entity=c.c_custkey AND w.period=y", "customer_panel", extra=STAR))
 def star_join(t):
-    grid = reshape.spine(t.customer.select(S("c_custkey").alias("entity")), 1995, 2001)
+    grid = reshape.spine(t.customer.select(S("c_custkey").alias("entity")), *_span(t.customer_panel))
     key = [S("o_custkey").alias("entity"), F.year("o_orderdate").alias("period")]
     vol = t.orders.groupBy(*key).agg(F.count(F.lit(1)).alias("n_orders"))
     val = t.orders.filter("o_orderstatus = 'O'").groupBy(*key).agg(F.max("o_totalprice").alias("top_order"))
@@ -465,12 +479,13 @@ for _how in ("sum", "mean", "min", "max", "median", "count"):
     query(f"roll_up_{_how}", _rolled(_how))(lambda t, how=_how: _roll(t, how))
 
 
-@query("complete_membership", with_parts(f"""SELECT s_nationkey AS parent, y::INT AS period, {r('CASE WHEN count(permits_mf)=count(*) THEN sum(permits_mf) END', 'permits_mf')} FROM supplier CROSS JOIN range(1995,2002) g(y)
+@query("complete_membership", with_parts(f"""SELECT s_nationkey AS parent, y::INT AS period, {r('CASE WHEN count(permits_mf)=count(*) THEN sum(permits_mf) END', 'permits_mf')} FROM supplier CROSS JOIN {SPAN.format('panel')} g(y)
   LEFT JOIN (SELECT entity, period, permits_mf FROM panel WHERE entity%11<>0 OR period<1998) p ON p.entity=s_suppkey AND p.period=y GROUP BY ALL""", "panel"))
 def complete_membership(t):
     members = t.supplier.select(S("s_suppkey").alias("entity"), S("s_nationkey").alias("parent"))
+    lo, hi = _span(t.panel)
     facts = t.panel.select("entity", "period", "permits_mf").filter("entity % 11 <> 0 OR period < 1998")
-    return rounded_all(rollup.complete_membership_sum(facts, members, "entity", "parent", "permits_mf", range(1995, 2002)), ["permits_mf"])
+    return rounded_all(rollup.complete_membership_sum(facts, members, "entity", "parent", "permits_mf", range(lo, hi + 1)), ["permits_mf"])
 
 
 @query("weighted_rollup_filled", with_parts(f"""SELECT parent, period, {r('sum(w*rent)/nullif(sum(w),0)', 'rent')} FROM (SELECT s_nationkey AS parent, p.entity, p.period, rent, coalesce(last_value(wt IGNORE NULLS) OVER (PARTITION BY p.entity ORDER BY p.period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
@@ -636,10 +651,10 @@ def month_over_year(t):
     return growth.month_over_year(t.monthly, "rent", "ALL").withColumn("yoy", S("yoy") + F.lit(0.0))
 
 
-@query("annualised_part_year", with_parts(f"SELECT entity, {r('sum(units)*12/5', 'units')} FROM monthly WHERE year(date)=2000 AND month(date)<=5 GROUP BY entity", "monthly"))
+@query("annualised_part_year", with_parts(f"SELECT entity, year(date) AS period, {r('sum(units)*12/5', 'units')} FROM monthly WHERE month(date)<=5 GROUP BY 1,2", "monthly"))
 def annualised_part_year(t):
-    g = t.monthly.filter("year(date) = 2000 AND month(date) <= 5").groupBy("entity").agg(F.sum("units").alias("u"))
-    return g.select("entity", rounded(growth.annualised("u", 5)).alias("units"))
+    g = t.monthly.filter("month(date) <= 5").groupBy("entity", F.year("date").alias("period")).agg(F.sum("units").alias("u"))
+    return g.select("entity", "period", rounded(growth.annualised("u", 5)).alias("units"))
 
 
 @query("filled_from_neighbours", with_parts(f"""SELECT entity, period, {r('coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'x')} FROM sp""", "customer_panel", extra=SPARSE))

@@ -61,13 +61,13 @@ def top_entrants(t):
     return quality.top_entrants(edition(t.scored, 1999), edition(t.scored, 1998).filter("entity % 10 <> 3"))
 
 
-GOLD = "gold AS (SELECT entity, period, 'rent' AS \"column\", CASE WHEN entity%13=0 THEN NULL WHEN entity%5=0 THEN rent*1.001 ELSE rent*1.00001 END AS value FROM panel WHERE period IN (1996,1998))"
+GOLD = "gold AS (SELECT entity, period, 'rent' AS \"column\", CASE WHEN entity%13=0 THEN NULL WHEN entity%5=0 THEN rent*1.001 ELSE rent*1.00001 END AS value FROM panel)"
 
 
 @query("golden_values", with_parts(f"SELECT g.entity, g.period, g.\"column\", {r('g.value', 'golden_value', 3)}, {r('p.rent', 'current_value', 3)} FROM gold g LEFT JOIN panel p USING (entity, period) WHERE coalesce(NOT abs(g.value-p.rent)<=1e-8+1e-4*abs(p.rent), true)", "panel", extra=GOLD))
 def golden_values(t):
     v = F.when(S("entity") % 13 == 0, None).when(S("entity") % 5 == 0, S("rent") * 1.001).otherwise(S("rent") * 1.00001)
-    gold = t.panel.filter("period IN (1996, 1998)").select("entity", "period", F.lit("rent").alias("column"), v.alias("value"))
+    gold = t.panel.select("entity", "period", F.lit("rent").alias("column"), v.alias("value"))
     now = reshape.golden_long(t.panel, ["entity", "period"], ["rent"])
     return rounded_all(quality.golden_mismatches(gold, now), ["golden_value", "current_value"], 3)
 

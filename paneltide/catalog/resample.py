@@ -155,9 +155,9 @@ def tier_counts(t):
 PICK = BITS.format(m="'pick:'||seed||':'||entity||':'||period", p=1)
 
 
-@query("random_edge", with_parts(f"SELECT horizon, period, {r('avg((b-mid)*100)', 'random_edge_pp')} FROM (SELECT horizon, period, seed, avg(realized) AS b FROM (SELECT *, row_number() OVER (PARTITION BY horizon, period, seed ORDER BY {PICK}, entity) AS k FROM outcome, range(5) g(seed)) WHERE k<=10 GROUP BY ALL) JOIN (SELECT horizon, period, median(realized) AS mid FROM outcome GROUP BY ALL) USING (horizon, period) GROUP BY horizon, period", "outcome"))
+@query("random_edge", with_parts(f"SELECT horizon, period, {r('avg((b-mid)*100)', 'random_edge_pp')} FROM (SELECT horizon, period, seed, avg(realized) AS b FROM (SELECT *, row_number() OVER (PARTITION BY horizon, period, seed ORDER BY {PICK}, entity) AS k FROM outcome, range(50) g(seed)) WHERE k<=10 GROUP BY ALL) JOIN (SELECT horizon, period, median(realized) AS mid FROM outcome GROUP BY ALL) USING (horizon, period) GROUP BY horizon, period", "outcome"))
 def random_edge(t):
-    return rounded_all(rs_.random_edge(outcome(t), 5, 10, bound=t.bound), ["random_edge_pp"])
+    return rounded_all(rs_.random_edge(outcome(t), 50, 10, bound=t.bound), ["random_edge_pp"])
 
 
 # ---- gates -------------------------------------------------------------------------------------

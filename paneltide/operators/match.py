@@ -41,10 +41,10 @@ def as_of(cuts: DataFrame, facts: DataFrame, value: str, entity: str = "entity",
     carried onto each cut. A cut sorts before equal-time facts unless ``inclusive``.
     """
     side = F.lit(1 if inclusive else 0)
-    asks = cuts.select(entity, F.col(cut).alias("_t"), (side * 2).alias("_side"), F.lit(None).cast("double").alias("_v"),
+    asks = cuts.select(entity, F.col(cut).alias("_t"), (side * 2).alias("_side"), F.lit(None).cast(facts.schema[value].dataType).alias("_v"),
                        F.lit(True).alias("_ask"))
     have = facts.filter(F.col(value).isNotNull()).select(
-        entity, F.col(period).alias("_t"), F.lit(1).alias("_side"), F.col(value).cast("double").alias("_v"),
+        entity, F.col(period).alias("_t"), F.lit(1).alias("_side"), F.col(value).alias("_v"),
         F.lit(False).alias("_ask"))
     line = Window.partitionBy(entity).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     return (asks.unionByName(have).withColumn(value, F.last("_v", ignorenulls=True).over(line))
@@ -60,7 +60,7 @@ def match_any_place(titles: DataFrame, places: DataFrame, entity: str, title: st
     """
     keyed = titles.select(entity, F.posexplode(title_places(title)).alias("_at", "_key"))
     near = places.select(F.col(place), F.struct(F.lower(F.trim(F.col(city))).alias("city"),
-                                                F.upper(F.trim(F.col(state))).alias("state")).alias("_key"))
+                                                F.upper(F.trim(F.col(state))).alias("state")).alias("_key")).groupBy("_key").agg(F.min(place).alias(place))
     hits = keyed.join(near, "_key").groupBy(entity).agg(
         F.min(F.struct("_at", place)).getField(place).alias(place))
     return titles.join(hits, entity, "left")
