@@ -239,9 +239,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> Data
     classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"),
                                                 F.first("bands").alias("bands")), "classes")
     found = class_components(classes, narrow, n, threshold)
+    # documents that share an id count as one, whatever class each of their texts is in
+    twice = staged(real.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low < high").select("doc_id"), "twice")
+    if not twice.isEmpty():
+        found = joined(found, staged(real.join(twice, "doc_id").select("doc_id", "digest").join(classes.select("digest", "rep"), "digest").where(
+            "doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "links"))
     of_class = staged(classes.select("digest", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")), "of_class")
-    # documents that share an id count as one, whatever class each of their texts is in
     out = all_rows.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"),

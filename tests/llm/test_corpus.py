@@ -258,6 +258,12 @@ def test_near_duplicates_of_odd_rows(odd, none, docs):
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicated(docs).columns == docs.columns
 
 
+def test_texts_that_share_an_id_are_one_document(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "k l m n o p"), (7, "k l m n o p"), (9, "q r s t"), (7, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).where("n_shingles > 0").collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
+
+
 def test_quality(docs, texts, odd, none):
     for r in quality.measured(docs).collect():
         text = texts[r["doc_id"]] or ""
@@ -379,6 +385,16 @@ def test_passages(spark, none, odd):
     assert substring_dedup.repeated_passages(none).count() == 0 and substring_dedup.repeated_passages(odd).count() == 0
 
 
+def test_passages_of_looping_texts():
+    rng = np.random.default_rng(3)
+    loop, other = rng.integers(0, 1 << 60, 20, np.uint64), rng.integers(0, 1 << 60, 300, np.uint64)
+    x, y = np.concatenate([other[:50], np.tile(loop, 6)]), np.concatenate([np.tile(loop, 5), other[100:200]])
+    (a, b, c, d, similarity), = substring_dedup.passages(x, y, 46, 0.8)
+    assert a == 50 and b >= 150 and (c, d) == (0, 100) and similarity == 1
+    lone = np.concatenate([other[200:], loop])
+    assert substring_dedup.passages(x, lone, 46, 0.8) == [] == substring_dedup.passages(lone, x, 46, 0.8)
+
+
 def test_compact_windows_cover_every_subsequence_once():
     values = np.random.default_rng(2).permutation(40).astype(np.uint64)
     nodes = substring_dedup.compact_windows(values, 6)
