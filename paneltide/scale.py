@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 MAX_TASK_ROWS = 2_000_000
 MAX_BROADCAST_ROWS = 200_000
+#: Spark's setting that removes the shuffle files of a query at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def task_row_limit(spark: SparkSession) -> int:
@@ -64,9 +66,15 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     of the stages before, later reads prune columns, and the optimizer knows the real size, so its
     own size check decides whether a join broadcasts the table.
     """
-    path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = staging_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the written table replaces the exchanges that led to it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_side(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
