@@ -99,11 +99,13 @@ def flag_report(t):
     return quality.report_counts(f, f.filter(S("entity").cast("int") % 2 == 0).select("flag_id"))
 
 
-@query("publication_gate", with_parts("SELECT true AS same_panel, count(DISTINCT flag_id) AS open_blockers, count(*)=0 AS clear FROM fl WHERE severity='BLOCKER' AND flag_id NOT IN (SELECT flag_id FROM disp)", "panel", extra=FLAGS + DISPOSED), stage=True)
+@query("publication_gate", with_parts("SELECT same_panel, open_blockers, same_panel AND open_blockers=0 AS clear FROM (SELECT count(DISTINCT flag_id) AS open_blockers FROM fl WHERE severity='BLOCKER' AND flag_id NOT IN (SELECT flag_id FROM disp)), (SELECT unnest([true,false]) AS same_panel)", "panel", extra=FLAGS + DISPOSED), stage=True)
 def publication_gate(t):
     f = flag_rows(t)
     d = registry.digest(t.panel)
-    return quality.publication_gate(f, f.filter(S("entity").cast("int") % 2 == 0).select("flag_id"), d, d)
+    # a report made from this panel, and one made before one of its values was known
+    before = registry.digest(t.panel.withColumn("rent", F.when(S("rent") != t.panel.agg(F.max("rent")).scalar(), S("rent"))))
+    return quality.publication_gate(f, f.filter(S("entity").cast("int") % 2 == 0).select("flag_id"), d.unionByName(before), d)
 
 
 @query("series_reconciliation", with_parts(f"SELECT period, {r('max(abs(a-b))', 'max_abs_diff', 3)}, {r('(sum(a)-sum(b))/nullif(sum(b),0)', 'total_pct_diff')}, count(CASE WHEN abs((a-b)/nullif(b,0))>0.03 THEN 1 END) AS n_outside, abs((sum(a)-sum(b))/nullif(sum(b),0))<=0.03 AS within FROM (SELECT period, home_value AS a, home_value*(1+(entity%9)/100.0::DOUBLE) AS b FROM panel) GROUP BY period", "panel"))
@@ -113,6 +115,13 @@ def series_reconciliation(t):
     return rounded_all(rounded_all(q, ["max_abs_diff"], 3), ["total_pct_diff"])
 
 
+@query("series_outside", with_parts(f"SELECT entity, period, {r('a', 'value', 3)}, {r('b', 'other', 3)}, {r('(a-b)/nullif(b,0)', 'pct_diff')} FROM (SELECT entity, period, home_value AS a, home_value*(1+(entity%9)/100.0::DOUBLE) AS b FROM panel) WHERE abs((a-b)/nullif(b,0))>0.03", "panel"))
+def series_outside(t):
+    other = t.panel.select("entity", "period", (S("home_value") * (1 + (S("entity") % 9) / 100.0)).alias("home_value"))
+    q = quality.outside(t.panel, other, "home_value")
+    return rounded_all(rounded_all(q, ["value", "other"], 3), ["pct_diff"])
+
+
 @query("boundary_ratio", with_parts(f"SELECT a.entity, a.period, {r('a.v/nullif(m.v,0)', 'boundary_ratio')} FROM (SELECT s_nationkey AS entity, period, sum(population) AS v FROM panel JOIN supplier ON s_suppkey=entity GROUP BY ALL) a JOIN (SELECT s_nationkey AS entity, period, sum(population) AS v FROM panel JOIN supplier ON s_suppkey=entity WHERE s_suppkey%4<>0 GROUP BY ALL) m USING (entity, period)", "panel"))
 def boundary_ratio(t):
     rows = t.panel.select(S("entity").alias("child"), "period", "population").join(t.supplier.select(S("s_suppkey").alias("child"), S("s_nationkey").alias("entity")), "child")
@@ -139,11 +148,13 @@ def rank_outside_interval(t):
 
 RUNS = "runs AS (SELECT 'r'||period AS run_id, entity, period, score FROM scored WHERE period IN (1997,1998,2000))"
 GRADE = RUNS + """,
-wr AS (SELECT run_id, period, entity, score, realized FROM runs JOIN outcome USING (entity, period) WHERE horizon=3),
-""" + metrics_sql("wr", ["run_id", "period"]) + """,
+wr0 AS (SELECT run_id, period, entity, score, realized FROM runs JOIN outcome USING (entity, period) WHERE horizon=3),
+wrl AS (SELECT run_id, quantile_cont(realized,0.01) AS lo, quantile_cont(realized,0.99) AS hi FROM wr0 GROUP BY run_id),
+wr AS (SELECT run_id, period, entity, score, least(greatest(realized,lo),hi) AS realized FROM wr0 JOIN wrl USING (run_id)),
+""" + metrics_sql("wr", ["run_id", "period"], clip=False) + """,
 nowr AS (SELECT run_id, w.period, entity, n.net_migration AS score, realized FROM wr w JOIN norm n USING (entity, period) WHERE n.net_migration IS NOT NULL),
-""" + metrics_sql("nowr", ["run_id", "period"], name="cur") + """,
-ov AS (SELECT run_id, count(*) FILTER (a<=10 AND b<=10)::INT AS overlap FROM (SELECT w.run_id, row_number() OVER (PARTITION BY w.run_id ORDER BY w.score DESC, entity) AS a, row_number() OVER (PARTITION BY w.run_id ORDER BY n.score DESC, entity) AS b FROM wr w JOIN nowr n USING (run_id, entity)) GROUP BY run_id)"""
+""" + metrics_sql("nowr", ["run_id", "period"], clip=False, name="cur") + """,
+ov AS (SELECT run_id, count(*) FILTER (a<=10 AND b<=10)::INT AS overlap FROM (SELECT w.run_id, row_number() OVER (PARTITION BY w.run_id ORDER BY w.score DESC, entity) AS a, row_number() OVER (PARTITION BY w.run_id ORDER BY n.score DESC, entity) AS b FROM wr w JOIN nowr n USING (run_id, entity)) GROUP BY run_id HAVING count(*)>=10)"""
 GC = ["weighted_tau", "precision_at_k", "edge_pp", "current_tau", "retention"]
 
 
@@ -177,8 +188,10 @@ def grade_runs(t):
 INTERIM = RUNS + """,
 oc AS (SELECT 'h1' AS read, entity, period, realized FROM outcome WHERE horizon=1 UNION ALL
   SELECT 'ytd', p.entity, p.period-1, p.m/nullif(q.m,0)-1 FROM (SELECT entity, year(date) AS period, avg(rent) AS m FROM monthly WHERE month(date)<=5 GROUP BY ALL) p JOIN (SELECT entity, year(date) AS period, avg(rent) AS m FROM monthly WHERE month(date)<=5 GROUP BY ALL) q ON q.entity=p.entity AND q.period=p.period-1),
-wr AS (SELECT run_id, read, period, entity, score, realized FROM runs JOIN oc USING (entity, period)),
-""" + metrics_sql("wr", ["run_id", "read", "period"])
+ocl AS (SELECT read, period, quantile_cont(realized,0.01) AS lo, quantile_cont(realized,0.99) AS hi FROM oc GROUP BY ALL),
+occ AS (SELECT read, entity, period, least(greatest(realized,lo),hi) AS realized FROM oc JOIN ocl USING (read, period) WHERE realized IS NOT NULL),
+wr AS (SELECT run_id, read, period, entity, score, realized FROM runs JOIN occ USING (entity, period)),
+""" + metrics_sql("wr", ["run_id", "read", "period"], clip=False)
 
 
 @query("grade_interim", with_parts(f"SELECT run_id, read, period, n_entities, {rs('weighted_tau', 'precision_at_k', 'edge_pp')} FROM metrics", "scored", "outcome", "monthly", extra=INTERIM), stage=True)

@@ -128,6 +128,12 @@ def reconcile(left: DataFrame, right: DataFrame, value: str, tolerance: float =
         "within", F.abs("total_pct_diff") <= tolerance)
 
 
+def outside(left: DataFrame, right: DataFrame, value: str, tolerance: float = 0.03, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The entities and periods whose two readings are further apart than the tolerance."""
+    both = left.select(*keys, F.col(value).alias("value")).join(right.select(*keys, F.col(value).alias("other")), list(keys))
+    return both.withColumn("pct_diff", ratio(F.col("value") - F.col("other"), "other")).filter(F.abs("pct_diff") > tolerance)
+
+
 def boundary_ratio(area_totals: DataFrame, member_sums: DataFrame, value: str) -> DataFrame:
     """Published area total over the sum of its members, per entity and period."""
     return area_totals.select(*KEYS, F.col(value).alias("_a")).join(

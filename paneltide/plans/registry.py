@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import ratio
-from paneltide.operators.order import top_k_overlap
-from paneltide.plans.walkforward import realised, window_metrics
+from paneltide.operators.order import top_k_overlap, winsorise
+from paneltide.plans.walkforward import enough_rows, realised, window_metrics
 from paneltide.scale import staged
 from paneltide.sources.sinks import append_rows, write_once
 
@@ -63,16 +63,19 @@ def grade_runs(runs: DataFrame, target: DataFrame, value: str, horizon: int, cur
                bound: int | None = None) -> DataFrame:
     """Grade every closed run; open runs report the period they wait for.
 
-    ``runs`` has (run_id, entity, period, score); ``current`` the scores of the present model.
+    ``runs`` has (run_id, entity, period, score); ``current`` the scores of the present model. The outcome is clipped once,
+    over the entities of the run, and both models meet that outcome; they are compared where at least k entities have both scores.
     """
     outcome = realised(target, value, [horizon])
-    rows = staged(runs.filter(F.col("score").isNotNull()).join(outcome, ["entity", "period"]), "graded")
-    mine = window_metrics(rows, ["run_id", "period"], k=k, bound=bound)
-    now = rows.drop("score").join(current.select("entity", "period", "score"), ["entity", "period"])
-    theirs = window_metrics(now, ["run_id", "period"], k=k, bound=bound).select(
+    window = ["run_id", "period"]
+    rows = staged(winsorise(runs.filter(F.col("score").isNotNull()).join(outcome, ["entity", "period"]), window, "realized", bound=bound), "graded")
+    mine = window_metrics(rows, window, k=k, clip=False, bound=bound)
+    held = current.filter(F.col("score").isNotNull()).select("entity", "period", F.col("score").alias("_now"))
+    paired = staged(enough_rows(rows.join(held, ["entity", "period"]), window, k, bound), "paired")
+    now = paired.drop("score").withColumnRenamed("_now", "score")
+    theirs = window_metrics(now, window, k=k, clip=False, at_least=k, bound=bound).select(
         "run_id", F.col("weighted_tau").alias("current_tau"))
-    paired = rows.join(current.select("entity", "period", F.col("score").alias("_now")), ["entity", "period"])
-    shared = top_k_overlap(paired, paired.drop("score").withColumnRenamed("_now", "score"), ["run_id"], "entity", "score", k)
+    shared = top_k_overlap(paired, now, ["run_id"], "entity", "score", k)
     newest = target.filter(F.col(value).isNotNull()).agg(F.max("period")).scalar()
     listed = runs.groupBy("run_id").agg(F.max("period").alias("score_period")).withColumn("_latest", newest)
     return (listed.join(mine.drop("period"), "run_id", "left").join(theirs, "run_id", "left").join(shared, "run_id", "left")
@@ -83,9 +86,13 @@ def grade_runs(runs: DataFrame, target: DataFrame, value: str, horizon: int, cur
 
 
 def grade_interim(runs: DataFrame, outcomes: Sequence[DataFrame], k: int = 10, bound: int | None = None) -> DataFrame:
-    """Early reads: the same metrics against shorter or part-period outcomes (read, entity, period, realized)."""
+    """Early reads: the same metrics against shorter or part-period outcomes (read, entity, period, realized).
+
+    Each outcome is clipped over all its entities, before it meets the entities of a run.
+    """
     stacked = outcomes[0]
     for more in outcomes[1:]:
         stacked = stacked.unionByName(more)
-    rows = runs.filter(F.col("score").isNotNull()).join(stacked.filter(F.col("realized").isNotNull()), ["entity", "period"])
-    return window_metrics(rows, ["run_id", "read", "period"], k=k, bound=bound)
+    clipped = winsorise(stacked.filter(F.col("realized").isNotNull()), ["read", "period"], "realized", bound=bound)
+    rows = runs.filter(F.col("score").isNotNull()).join(clipped, ["entity", "period"])
+    return window_metrics(rows, ["run_id", "read", "period"], k=k, clip=False, bound=bound)

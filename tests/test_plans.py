@@ -1,6 +1,7 @@
 """Scoring, evaluation, resampling, as-of and registry rules."""
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,21 @@ def test_verdict_precedence(spark):
     assert gates.conjunctive_verdict(g, ["a", "b"], rep(False)).first().verdict == "add:b"
     assert gates.conjunctive_verdict(g, ["a", "b"], rep(True)).first().verdict == "replace:v"
     assert gates.conjunctive_verdict(g.filter("candidate = 'a'"), ["a"], rep(False)).first().verdict == "reject all"
+
+
+def test_interim_outcomes_are_clipped_before_the_join(spark):
+    values = [float(e) for e in range(39)] + [1e6]
+    outcome = spark.createDataFrame([("h1", e, 2000, v) for e, v in enumerate(values)], "read string, entity int, period int, realized double")
+    runs = spark.createDataFrame([("a", e, 2000, float(e)) for e in range(20, 40)], "run_id string, entity int, period int, score double")
+    mine = np.clip(values, *np.quantile(values, [0.01, 0.99]))[20:]
+    got = registry.grade_interim(runs, [outcome]).first()
+    assert got.n_entities == 20 and got.edge_pp == pytest.approx((mine[-10:].mean() - np.median(mine)) * 100)
+
+
+def test_models_are_compared_on_one_outcome_of_enough_entities(spark, norm, panel):
+    scores = scoring.scored(norm, RENT_MODEL)
+    runs = scores.filter("period = 2012").select(F.lit("r").alias("run_id"), "entity", "period", "score")
+    few = registry.grade_runs(runs, panel, "rent", 3, scores.filter("entity < 9")).first()
+    assert few.n_entities == 24 and few.current_tau is None and few.retention is None and few.overlap is None
+    some = registry.grade_runs(runs, panel, "rent", 3, scores.filter("entity < 15")).first()
+    assert some.n_entities == 24 and some.current_tau is not None and some.overlap == 10
