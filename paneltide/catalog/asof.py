@@ -3,11 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paneltide.catalog.base import MODEL, WF, metrics_select, metrics_sql, norm_sql, query, r, rounded_all, rs, strategies_sql, with_parts, comp_sql
-from paneltide.catalog.validate import G, M3, _avg_rank, evaluated
+from paneltide.catalog.base import (
+    MODEL, WF, comp_sql, metrics_select, metrics_sql, norm_sql, query, r, rounded_all, rs, strategies_sql, summary_sql, with_parts)
+from paneltide.catalog.validate import G, M3, _avg_rank, evaluated, periods
 from paneltide.operators import growth, stats
-from paneltide.plans import asof, rankings as rk
-from paneltide.plans.scoring import normalised, scored
+from paneltide.plans import asof, gates, rankings as rk, walkforward as wf
+from paneltide.plans.scoring import composite, normalised, scored
+from paneltide.scale import staged
 
 S = F.col
 NAMES = MODEL.names
@@ -75,12 +77,58 @@ def early_edition(t):
 @query("pseudo_history", with_parts(metrics_select(), "usable", "outcome", extra=PROXIES + ",\n" + early_sql() + ",\n" + norm_sql("early", "pnorm") + ",\n"
                                     + strategies_sql({"pseudo": comp_sql(MODEL.weights)}, "pnorm") + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
 def pseudo_history(t):
-    from paneltide.plans.scoring import composite
-    from paneltide.scale import staged
     pnorm = staged(normalised(early(t), MODEL, t.bound), "pseudo")
     return rounded_all(evaluated(t, rk.strategies(pnorm, {"pseudo": composite(MODEL.weights)})).drop("regime"), M3)
 
 
+_N = ", ".join(NAMES)
+REBUILT = PROXIES + ",\n" + early_sql() + f""",
+v_real AS (SELECT entity, period, {_N} FROM ind),
+v_pseudo AS (SELECT * FROM v_real WHERE period NOT IN (SELECT period FROM usable) UNION ALL SELECT entity, period, {_N} FROM early WHERE period IN (SELECT period FROM usable)),
+v_flow_proxied AS (SELECT i.* REPLACE (CASE WHEN p.entity IS NULL THEN i.net_migration ELSE p.net_migration END AS net_migration) FROM v_real i LEFT JOIN v_pseudo p ON p.entity=i.entity AND p.period=i.period),
+v_late_final AS (SELECT p.* REPLACE (coalesce(i.job_growth, p.job_growth) AS job_growth, coalesce(i.income_growth, p.income_growth) AS income_growth) FROM v_pseudo p LEFT JOIN v_real i ON p.entity=i.entity AND p.period=i.period)"""
+VARIANTS = ("real", "pseudo", "flow_proxied", "late_final")
+
+
+def variants_sql(names):
+    """Normalised tables n_<name>, and their scores as strategies."""
+    return (REBUILT + ",\n" + ",\n".join(norm_sql(f"v_{n}", f"n_{n}") for n in names) + ",\nranked AS ("
+            + " UNION ALL ".join(f"SELECT '{n}' AS strategy, entity, period, ({comp_sql(MODEL.weights)})::DOUBLE AS score FROM n_{n}" for n in names)
+            + "),\n" + WF + ",\n" + metrics_sql("wf", G))
+
+
+def rebuilt(t, names):
+    """strategy, entity, period, score of the variants, each normalised by itself."""
+    frames = asof.rebuilt_variants(t.ind, staged(early(t), "early"), periods(t), NAMES)
+    out = None
+    for n in names:
+        part = rk.strategies(normalised(frames[n], MODEL, t.bound), {n: composite(MODEL.weights)})
+        out = part if out is None else out.unionByName(part)
+    return staged(out, "rebuilt")
+
+
+@query("loss_decomposition", with_parts(f"SELECT strategy, {r('tau')}, {r('tau/nullif((SELECT tau FROM m3 WHERE strategy=$$real$$),0)', 'retention')} FROM m3", "usable", "outcome",
+                                        extra=variants_sql(VARIANTS) + ",\nm3 AS (SELECT strategy, avg(weighted_tau) AS tau FROM metrics WHERE horizon=3 GROUP BY strategy)"), stage=True)
+def loss_decomposition(t):
+    return rounded_all(gates.loss_decomposition(evaluated(t, rebuilt(t, VARIANTS), [3]), 3), ["tau", "retention"])
+
+
+REBUILT_GATE = variants_sql(VARIANTS[:2]) + ",\n" + summary_sql() + f""",
+sc AS (SELECT a.entity, a.period, a.score AS a, b.score AS b FROM ranked a JOIN ranked b ON a.entity=b.entity AND a.period=b.period AND a.strategy='real' AND b.strategy='pseudo'),
+ag AS (SELECT period, count(*) AS n, count(*) FILTER (ka<=10 AND kb<=10)::INT AS overlap FROM (SELECT period, row_number() OVER (PARTITION BY period ORDER BY a DESC, entity) AS ka,
+  row_number() OVER (PARTITION BY period ORDER BY b DESC, entity) AS kb FROM sc) GROUP BY period HAVING count(*)>=10)"""
+
+
+@query("retention_gate_rebuilt", with_parts(f"SELECT {r('f', 'tau_final')}, {r('p', 'tau_proxy')}, {r('mo', 'mean_overlap')}, {r('p/nullif(f,0)', 'retention')}, p/nullif(f,0)>=0.85 AND mo>=7 AS pass FROM (SELECT max(CASE WHEN strategy='real' THEN mean_tau END) AS f, max(CASE WHEN strategy='pseudo' THEN mean_tau END) AS p FROM summ WHERE horizon=3 AND regime='POOLED'), (SELECT avg(overlap) AS mo FROM ag WHERE period IN (SELECT period FROM usable))",
+                                            "usable", "outcome", extra=REBUILT_GATE), stage=True)
+def retention_gate_rebuilt(t):
+    ranking = rebuilt(t, VARIANTS[:2])
+    real, pseudo = (ranking.filter(S("strategy") == n).select("entity", "period", "score") for n in VARIANTS[:2])
+    agreed = gates.agreement(real, pseudo, bound=t.bound).join(periods(t), "period", "left_semi")
+    g = gates.retention_gate(wf.summarise(evaluated(t, ranking)), agreed, "real", "pseudo", 3)
+    return rounded_all(g, ["tau_final", "tau_proxy", "mean_overlap", "retention"])
+
+
 # Mid-period: data through May of T. State growth comes for T-1 and for T.
 MID = f"""yt AS (SELECT entity, year(date) AS period, avg(rent) AS rent, avg(jobs) AS jobs, avg(home_value) AS value, sum(units) AS units FROM monthly WHERE month(date)<=5 GROUP BY ALL),
 rt AS (SELECT year(l_shipdate) AS period, avg(l_tax*100) AS rate FROM lineitem WHERE month(l_shipdate)<=5 GROUP BY 1),

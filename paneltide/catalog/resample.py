@@ -280,8 +280,8 @@ LOSS = {f"final:{k}": comp_sql({n: w for n, w in MODEL.weights.items() if n in k
     "migration": ["trailing_rent_growth", "cost_to_own_vs_rent", "net_migration"], "all": MODEL.names}.items()}
 
 
-@query("loss_decomposition", with_parts(f"SELECT strategy, {r('avg(weighted_tau)', 'tau')} FROM metrics WHERE horizon=3 GROUP BY strategy", "usable", "outcome", extra=strategies_sql(LOSS) + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
-def loss_decomposition(t):
+@query("composite_subsets", with_parts(f"SELECT strategy, {r('avg(weighted_tau)', 'tau')} FROM metrics WHERE horizon=3 GROUP BY strategy", "usable", "outcome", extra=strategies_sql(LOSS) + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
+def composite_subsets(t):
     keep = {"none": ["trailing_rent_growth", "cost_to_own_vs_rent"], "jobs": ["trailing_rent_growth", "cost_to_own_vs_rent", "job_growth"],
             "migration": ["trailing_rent_growth", "cost_to_own_vs_rent", "net_migration"], "all": MODEL.names}
     cols = {f"final:{k}": composite({n: w for n, w in MODEL.weights.items() if n in names}) for k, names in keep.items()}

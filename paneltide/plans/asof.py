@@ -125,6 +125,26 @@ def history_with_early(panel: DataFrame, model: Model, early: DataFrame, periods
         early.filter(F.col("period").isin(list(periods))).select(*ind.columns))
 
 
+def rebuilt_variants(ind: DataFrame, early: DataFrame, periods: DataFrame, columns: Sequence[str], flow: str = "net_migration",
+                     late: Sequence[str] = ("job_growth", "income_growth")) -> dict[str, DataFrame]:
+    """Indicator tables that tell which stand-in costs accuracy, by name.
+
+    ``real``: final values. ``pseudo``: the early rows in the asked periods. ``flow_proxied``: final values but for the flow.
+    ``late_final``: early rows with the final values of the late inputs, where there are any.
+    """
+    names = [*KEYS, *columns]
+    real = ind.select(*names)
+    pseudo = real.join(periods, "period", "left_anti").unionByName(early.join(periods, "period", "left_semi").select(*names))
+    proxy = pseudo.select(*KEYS, F.col(flow).alias("_p"), F.lit(True).alias("_met"))
+    final = real.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in late])
+    return {
+        "real": real, "pseudo": pseudo,
+        "flow_proxied": real.join(proxy, list(KEYS), "left").withColumn(
+            flow, F.when(F.col("_met"), F.col("_p")).otherwise(F.col(flow))).select(*names),
+        "late_final": pseudo.join(final, list(KEYS), "left").withColumns(
+            {c: F.coalesce(f"_{c}", c) for c in late}).select(*names)}
+
+
 def series_coverage(series: DataFrame, expected: DataFrame, name: str) -> DataFrame:
     """Per expected entity: was the series found, when was it last observed."""
     seen = series.groupBy("entity").agg(F.max("period").alias("last_obs"), F.count(name).alias("n_obs"))

@@ -142,6 +142,13 @@ def retention_gate(summary: DataFrame, agreed: DataFrame, final: str, proxy: str
     return kept.withColumn("pass", (F.col("retention") >= MIN_RETENTION) & (F.col("mean_overlap") >= MIN_OVERLAP))
 
 
+def loss_decomposition(windows: DataFrame, horizon: int, reference: str = "real") -> DataFrame:
+    """Mean tau of every variant's windows at one horizon, and the share of the reference's that it retains."""
+    mean = staged(windows.filter(F.col("horizon") == horizon).groupBy("strategy").agg(F.avg("weighted_tau").alias("tau")), "loss")
+    own = mean.filter(F.col("strategy") == reference).select("tau").scalar()
+    return mean.withColumn("_own", own).select("strategy", "tau", ratio("tau", "_own").alias("retention"))
+
+
 def side_by_side(summary: DataFrame, left: str, right: str) -> DataFrame:
     """Two strategies of a summary on one row per (horizon, regime)."""
     a = summary.filter(F.col("strategy") == left).select(
