@@ -304,6 +304,38 @@ def test_embeddings(spark, none):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize(("size", "least", "most"), [(1500, 0.25, 0.25), (6000, 0.25, 0.25), (3000, 0.05, 0.6)])
+def test_embeddings_in_a_crowd(spark, size, least, most):
+    """A third of the vectors are distinct near copies of one vector."""
+    rng = np.random.default_rng(size)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+    crowd = unit(rng.normal(size=(1, 64))) + rng.uniform(least, most, (size, 1)) * unit(rng.normal(size=(size, 64)))
+    vectors = np.float32(np.concatenate([crowd, rng.normal(size=(2 * size, 64)), crowd[:20]]))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    good = unit(np.float64(vectors))
+    linked = good @ good.T >= 0.95
+    truth, found = linked.sum(1) - 1, np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert (found <= truth).all() and found.sum() >= 0.99 * truth.sum()
+    a, b = np.nonzero(linked)
+    label = embedding_dedup.roots(a, b, len(rows))
+    assert np.mean([got[i]["component_id"] == label[i] for i in range(len(rows))]) >= 0.99
+
+
+def test_crowd_is_cut_into_blocks_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "LEAST_BLOCK", 20)
+    monkeypatch.setattr(embedding_dedup, "CHUNK", 200)
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*np.float32(rng.normal(size=(700, 6))), *np.float32(rng.normal(size=(90, 3)))])]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    for some in (rows[:700], rows[700:]):
+        v = np.array([x for _, x in some])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        assert [got[i] for i, _ in some] == ((v @ v.T >= 0.95).sum(1) - 1).tolist()
+
+
 def test_language(spark, odd, none):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["str", "ung", "ein"], "cc": ["é", "eau", "oi"]}
