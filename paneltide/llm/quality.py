@@ -1,7 +1,11 @@
 """Line-first cleaning: rules per line, failing lines removed, then documents that lose too much rejected.
 
+Hard-wrapped lines are judged as the one line that they were: a line runs on into the next one if that is not blank, the line does not
+end in a sentence mark, and the next word would not have fitted into the longest line of its block (lines between blank ones). The
+lines of such a run stay or go together, so no line is cut out of a running sentence.
+
 Line rules (a line without a word passes):
-* punctuation: no sentence mark at the end of the line nor inside it;
+* punctuation: no sentence mark at the end of the line nor inside it (marks of all scripts; not asked of lines mostly in a script that has none);
 * navigation: at least 3 separators (| » › • ·) and one for every 5 words or more;
 * symbols: more than one of the characters # * $ % & | < > for every 4 words;
 * shouting: at least 4 words, letters among them and none in lower case;
@@ -16,6 +20,7 @@ repeated rows are judged alike; other columns pass through untouched.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +34,14 @@ from paneltide.llm.common import words
 MIN_WORDS, MAX_REPEAT_PCT, MAX_LOST = 50, 50, 0.5
 SYMBOLS = re.compile(r"[#*$%&|<>]+")
 SEPARATORS = re.compile(r"[|»›•·]")
-SENTENCE_MARK = re.compile(r"[.!?…。！？](?:[\"'”’»)\]]|\s|$)|[:;]$")
+#: Unicode's Sentence_Terminal characters of the scripts in use, and the ellipsis.
+TERMINALS = ("!.?…։؝؞؟۔܀܁܂߹।॥၊။።፧፨᙮᜵᜶។៕᠃᠉᥄᥅᪨᪩᪪᪫᭚᭛᭞᭟᰻᰼᱾᱿‼‽⁇⁈⁉⸮。꓿꘎꘏꛳꛷꡶꡷꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫﹒﹖﹗！．？｡།༎")
+SENTENCE_MARK = re.compile(rf"[{TERMINALS}](?:[\"'”’»)\]」』]|\s|$)|[:;؛：；]$")
+SENTENCE_END = re.compile(rf"[{TERMINALS}][\"'”’»)\]」』]*$")
+#: Thai, Lao and the Tai scripts end sentences without a mark.
+UNMARKED = re.compile("[\u0e01-\u0e4e\u0e81-\u0ecd\u0edc-\u0edf\u1950-\u1974\u1980-\u19c9\u1a20-\u1a7c\uaa80-\uaadd]")
+#: Letters that are written without spaces between words: those, Khmer, Burmese, Tibetan, kana and Han; a line can break at any of them.
+UNSPACED = re.compile("[\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19df\u1a20-\u1aaf\uaa80-\uaadf\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 BOILERPLATE = re.compile(
     r"(?i)all rights reserved|terms of (?:use|service)|privacy policy|cookie policy|we use cookies|accept cookies"
     r"|enable javascript|click here|sign in|log in|subscribe now|share on (?:facebook|twitter)|back to top|skip to content|lorem ipsum")
@@ -51,11 +63,37 @@ def repeated_words(tokens: list[bytes]) -> int:
     return int(inside.sum())
 
 
+def unmarked(line: str) -> bool:
+    """True if the line is mostly in a script without sentence marks."""
+    n = len(UNMARKED.findall(line))
+    return n > 0 and 2 * n > sum(c.isalpha() or "M" == unicodedata.category(c)[0] for c in line)
+
+
+def running(lines: list[str], tokens: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """Start and end (exclusive) of the runs of lines that are one line, hard-wrapped."""
+    widths = [len(line.rstrip()) for line in lines]
+    start, widest, until = 0, 0, 0
+    for i in range(len(lines)):
+        if i >= until and tokens[i]:  # the block that starts here
+            until = i
+            while until < len(lines) and tokens[until]:
+                until += 1
+            widest = max(widths[i:until])
+        if tokens[i] and i + 1 < until:
+            first = lines[i + 1].lstrip()
+            # a mark may not begin a line, so an unspaced line can break up to two characters before the edge
+            need = 3 if UNSPACED.match(first) else 1 + len(first.split(None, 1)[0]) if first else 0
+            if widths[i] + need > widest and not SENTENCE_END.search(lines[i].rstrip()):
+                continue
+        yield start, i + 1
+        start = i + 1
+
+
 def line_fails(line: str, tokens: list[bytes]) -> bool:
     n = len(tokens)
     if not n:
         return False
-    if not SENTENCE_MARK.search(line.rstrip()):
+    if not SENTENCE_MARK.search(line.rstrip()) and not unmarked(line):
         return True
     marks = sum(map(len, SYMBOLS.findall(line)))
     if marks * 4 > n:
@@ -78,16 +116,19 @@ def judge(text: str | None) -> tuple[tuple[int, int, int, int, int], bool, bool,
     chars = len(text) - sum(map(text.count, " \t\n\x0b\f\r"))
     repeats = repeated_words(tokens)
     seen: set[str] = set()
-    good, copies, lost, at = [], 0, 0, 0
-    for line in text.split("\n"):
-        here = words(line)
+    good, copies, lost = [], 0, 0
+    lines = text.split("\n")
+    found = [words(line) for line in lines]
+    for line, here in zip(lines, found):
         if here:
             copies += line in seen
             seen.add(line)
-        if line_fails(line, here):
+    for a, b in running(lines, found):
+        here = found[a] if b == a + 1 else [t for some in found[a:b] for t in some]
+        if line_fails(lines[a] if b == a + 1 else " ".join(lines[a:b]), here):
             lost += len(here)
         else:
-            good.append(line)
+            good += lines[a:b]
     failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PCT * n
     kept = not failed and lost <= MAX_LOST * n
     return (n, chars, sum(map(len, SYMBOLS.findall(text))), copies, repeats), failed, kept, "\n".join(good)

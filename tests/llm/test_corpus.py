@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -304,6 +305,25 @@ def test_embeddings(spark, none):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_quality_of_wrapped_prose():
+    rng = random.Random(8)
+    sentences = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 11))) for _ in range(rng.randrange(12, 45))).capitalize() + "." for _ in range(30)]
+    paragraphs = ["\n".join(textwrap.wrap(" ".join(sentences[i:i + 5]), 72)) for i in range(0, 30, 5)]
+    for text in ("\n\n".join(paragraphs), "\n".join(paragraphs)):
+        assert quality.judge(text)[2:] == (True, text)
+    *_, kept, left = quality.judge("\n".join([paragraphs[0], "Home News Sport", *paragraphs[1:], "More of this"]))
+    assert kept and left == "\n".join(paragraphs)
+    assert not quality.judge("\n".join(f"menu entry number {i}" for i in range(10, 40)))[2]
+
+
+@pytest.mark.parametrize("line", ["यह एक साधारण वाक्य है जो ठीक से समाप्त होता है।", "هل هذه جملة عادية تنتهي كما ينبغي؟", "یہ ایک عام جملہ ہے جو ٹھیک ختم ہوتا ہے۔",
+                                  "นี่คือ ประโยค ธรรมดา ที่ ไม่มี เครื่องหมาย ใด ใด", "ນີ້ ແມ່ນ ປະໂຫຍກ ທຳມະດາ", "ይህ መደበኛ ዓረፍተ ነገር ነው።"])
+def test_quality_of_other_scripts(line):
+    assert not quality.line_fails(line, common.words(line))
+    text = "\n\n".join(" ".join(f"{i}{word}" for word in line.split()) for i in range(20))
+    assert quality.judge(text)[2:] == (True, text)
+
+
 @pytest.mark.parametrize(("size", "least", "most"), [(1500, 0.25, 0.25), (6000, 0.25, 0.25), (3000, 0.05, 0.6)])
 def test_embeddings_in_a_crowd(spark, size, least, most):
     """A third of the vectors are distinct near copies of one vector."""
