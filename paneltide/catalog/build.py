@@ -708,7 +708,8 @@ cur AS (SELECT s_nationkey AS parent, period, sum(population) AS v FROM panel JO
 def boundary_consistent_series(t):
     m = t.supplier.select(S("s_suppkey").alias("entity"), S("s_nationkey").alias("parent"))
     facts = t.panel.select("entity", "period", S("population").alias("v"))
-    current = rollup.complete_membership_sum(facts, m, "entity", "parent", "v", range(1995, 2002))
-    legacy = rollup.complete_membership_sum(facts, m.filter("parent < 3 AND entity % 2 = 0"), "entity", "parent", "v", range(1995, 2002))
+    lo, hi = _span(t.panel)
+    current = rollup.complete_membership_sum(facts, m, "entity", "parent", "v", range(lo, hi + 1))
+    legacy = rollup.complete_membership_sum(facts, m.filter("parent < 3 AND entity % 2 = 0"), "entity", "parent", "v", range(lo, hi + 1))
     back = growth.backcast(current.filter("parent < 3"), legacy.withColumnRenamed("v", "w"), 1998, "v", "w", entity="parent")
     return rounded_all(current.filter("parent >= 3 OR period >= 1998").unionByName(back), ["v"])

@@ -1,10 +1,12 @@
 """Scoring, evaluation, resampling, as-of and registry rules."""
 import random
+import types
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from paneltide.catalog import build
 from paneltide.plans import asof, editions, gates, quality, rankings, registry, resample, scoring, walkforward
 from paneltide.plans.model import RENT_MODEL, Indicator, Measure, Model
 from paneltide.scale import staging_path
@@ -178,3 +180,13 @@ def test_models_are_compared_on_one_outcome_of_enough_entities(spark, norm, pane
     assert few.n_entities == 24 and few.current_tau is None and few.retention is None and few.overlap is None
     some = registry.grade_runs(runs, panel, "rent", 3, scores.filter("entity < 15")).first()
     assert some.n_entities == 24 and some.current_tau is not None and some.overlap == 10
+
+
+def test_boundary_consistent_series_spans_the_data(spark):
+    periods = [*range(1990, 1999), 2005]
+    panel = spark.createDataFrame([(e, p, float(e + p)) for e in range(1, 7) for p in periods], "entity int, period int, population double")
+    supplier = spark.createDataFrame([(e, 1 + 3 * (e > 4)) for e in range(1, 7)], "s_suppkey long, s_nationkey int")
+    got = {(r["parent"], r["period"]): r["v"] for r in build.boundary_consistent_series(types.SimpleNamespace(panel=panel, supplier=supplier)).collect() if r["v"] is not None}
+    now = {(k, p): float(sum(e + p for e in es)) for k, es in ((1, range(1, 5)), (4, (5, 6))) for p in periods}
+    old = {p: float(2 + p + 4 + p) for p in range(1990, 1999)}
+    assert got == pytest.approx(now | {(1, p): now[1, 1998] * old[p] / old[1998] for p in range(1990, 1998)}, abs=1e-3)
