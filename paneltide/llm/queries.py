@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneltide.llm import (
-    embedding_dedup, language_id, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, warc)
+    alignment, embedding_dedup, language_id, mixing, near_dedup, packing, prefix_trie, quality, secret_scan, sharding, substring_dedup, token_files, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,50 @@ f as (select *, case when n >= 100 then min(page_id) over (partition by payload_
 select page_id, n::bigint as payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
        case when page_id <> first then first end as refers_to from f
 """
+
+
+@query
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.digests(table(spark, folder, "documents"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.with_shared_heads(prefix_trie.paths(table(spark, folder, "conversations"))))
+
+
+SQL["op12_prefix_trie"] = """
+with recursive t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+o as (select conv_id, text, sha256(length(role)::varchar || ':' || role || text) as digest,
+             row_number() over (partition by conv_id order by turn nulls first, sha256(length(role)::varchar || ':' || role || text)) as nth from t),
+c0 as (select i, i as c from range(256) r(i)),
+""" + "".join(f"c{k + 1} as (select i, case when c & 1 = 1 then xor(3988292384::bigint, c >> 1) else c >> 1 end as c from c{k}),\n" for k in range(8)) + """ids as (select distinct conv_id, conv_id::varchar as s from t),
+run as (select conv_id, s, 1 as pos, 4294967295::bigint as c from ids
+        union all
+        select r.conv_id, r.s, r.pos + 1, xor(r.c >> 8, k.c) from run r join c8 k on k.i = xor(r.c & 255, ascii(substr(r.s, r.pos, 1))::bigint) where r.pos <= length(r.s)),
+h as (select conv_id, xor(c, 4294967295::bigint) % 6 as h from run where pos = length(s) + 1),
+r as (select h.conv_id, o.nth, 0 as part, o.text, o.digest from h join o on o.conv_id = h.conv_id - h.conv_id % 100 and o.nth <= h.h
+      union all
+      select h.conv_id, o.nth, 1, o.text, o.digest from h join o on o.conv_id = h.conv_id and o.nth > h.h),
+p as (select conv_id, row_number() over (partition by conv_id order by part, nth) as depth, length(text) as size,
+             sha256(array_to_string(list(digest) over (partition by conv_id order by part, nth), '')) as key from r),
+m as (select conv_id, 0::bigint as depth, 0 as size, 'root' as key, null::varchar as up from h
+      union all
+      select conv_id, depth, size, key, coalesce(lag(key) over (partition by conv_id order by depth), 'root') from p),
+e as (select conv_id, max(depth) as depth from m group by conv_id),
+n as (select key, any_value(up) as up, any_value(m.depth) as depth, any_value(size) as size, min(conv_id) as conv_id, count(*) as n_convs,
+             coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where m.depth = e.depth), '') as ends
+      from m join e using (conv_id) group by key),
+k as (select up, count(*) as n_children from n where up is not null group by up),
+f as (select n.*, coalesce(k.n_children, 0) as n_children from n left join k on k.up = n.key),
+s as (select a.key, sum(case when f.n_children = 0 then 1 else 0 end) as n_leaves, sum((f.n_convs - 1) * f.size) as saved_tokens
+      from f join m a on a.conv_id = f.conv_id and a.depth <= f.depth group by a.key)
+select f.conv_id, f.depth, u.conv_id as parent_conv_id, f.n_convs, f.n_children::bigint as n_children, s.n_leaves::bigint as n_leaves,
+       s.saved_tokens::bigint as saved_tokens, sha256(f.ends) as ends_sha256
+from f join s using (key) left join n u on u.key = f.up
+"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.scored(table(spark, folder, "documents"))
