@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.llm.chunks import Kept, loaded, runs
+from paneltide.llm.chunks import MARKS, Kept, loaded, runs
 from paneltide.scale import SHUFFLE_CLEANUP, staged, staging_path
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -90,6 +91,8 @@ class SideB:
         plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i)]
         #: No piece crosses a cut of `chunks`, and line ends are pieces of their own.
         self.cuts_hold = not any("▁" in p.lstrip("▁") or "\n" in p for p in plain)
+        #: Marks may be cut from the letters before them.
+        self.marks_hold = not any(a.isalpha() and b in MARKS for p in plain for a, b in pairwise(p))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """ids and byte ends in the text with the space that stands before it."""
@@ -109,7 +112,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = SideA(path_a), SideB(path_b)
         self.key = np.uint32 if self.a.size * self.b.size < 1 << 32 else np.uint64
-        self.kept = Kept(self.make)
+        self.kept = Kept(self.make, self.add if self.b.marks_hold else None)
 
     def links(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ends of links, the tokens of A and of B that each lies in, and whether both end there."""
@@ -137,7 +140,7 @@ class Aligner:
         """Values of chunks; False where the whole text has to be looked at."""
         inner, _ = runs(chunks)
         inner = [c for c in inner if c[0] == " "]  # what else begins a chunk would need another space before it
-        got = {c: self.line(c) for c in chunks if c[0] == "\n"}
+        got = {c: self.line(c) for c in chunks if c[0] == "\n" or not c.strip(MARKS)}
         if inner:
             text = "".join(inner)
             raw, a, b = text.encode(), self.a.encode(text), self.b.encode(text[1:])
@@ -152,8 +155,12 @@ class Aligner:
                 got |= {c: self.whole(c[1:]) or False for c in inner}
         return [got.get(c, False) for c in chunks]
 
+    @staticmethod
+    def add(one, other):
+        return (one[0] + other[0], one[1] + other[1], f"{one[2]};{other[2]}") if one and other else False
+
     def line(self, chunk: str):
-        """A chunk that begins with a line end: aligned behind a letter, whose tokens are taken away again."""
+        """A chunk that begins with a line end, or marks behind a letter: aligned behind a letter, whose tokens are taken away again."""
         a, b = self.a.encode(" a" + chunk), self.b.encode("a" + chunk)
         raw = (" a" + chunk).encode()
         if not (gives_back(self.a, a, raw) and gives_back(self.b, b, raw) and a[1][0] == b[1][0] == 2):

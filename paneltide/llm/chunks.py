@@ -11,8 +11,12 @@ import re
 from collections.abc import Callable
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Chunks kept in one table; there are two, and the one not used lately goes. A chunk costs some 250 bytes.
-KEPT, LONGEST = 200_000, 40
+#: Without a match, a text may be cut before each of its spaces and line ends.
+UNEVEN = re.compile(r"[ \n]\s|[^\S \n][ \n]|\s\Z")
+#: Marks that may be cut from a Latin letter before them.
+MARKS = ".,;:!?%&*$#|"
+#: Chunks kept in one table; there are two, and the one not used lately goes.
+KEPT, LONGEST = 350_000, 40
 
 
 def whole_only(text: str) -> bool:
@@ -21,50 +25,70 @@ def whole_only(text: str) -> bool:
 
 
 class Kept:
-    """Values of chunks. `make` gets a list of chunks not known yet and returns their values."""
+    """Values of chunks. `make` gets a list of chunks not known yet and returns their values; `add`, if given, makes the value of letters
+    with marks behind them from those of both (`make` then gets marks as chunks of their own)."""
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = KEPT):
-        self.make, self.limit, self.new, self.old = make, limit, {}, {}
+    def __init__(self, make: Callable[[list[str]], list], add: Callable | None = None, limit: int = KEPT):
+        self.make, self.add, self.limit, self.new, self.old = make, add, limit, {}, {}
 
     def of(self, text: str) -> list:
         """The values of a text's chunks, in order."""
         if whole_only(text):
             return self.make([text])
+        if len(self.new) > self.limit:
+            self.old, self.new = self.new, {}
         parts = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if not parts[0]:
             del parts[0]
         found = list(map(self.new.get, parts))
         if None in found:
-            missing = [p for p, v in zip(parts, found) if v is None]
-            if not all(map(self.cut_well, missing)):
+            even = not UNEVEN.search(text)
+            if not even:
                 parts = CUT.split(text)
-                missing = [p for p in parts if p not in self.new]
-            got = self.made(list(dict.fromkeys(missing)))
-            known = self.new
-            found = [got[p] if p in got else known[p] for p in parts]
-            self.keep(got)
+                found = list(map(self.new.get, parts))
+            got = self.made({p for p, v in zip(parts, found) if v is None})
+            self.new.update(got if even and len(max(got, key=len, default="")) <= LONGEST else {p: v for p, v in got.items() if len(p) <= LONGEST and cut_well(p)})
+            found = list(map(self.new.get, parts))
+            if None in found:
+                found = [got[p] if v is None else v for p, v in zip(parts, found)]
         return found
 
-    @staticmethod
-    def cut_well(part: str) -> bool:
-        """A chunk of which any text may be made: only its first character is white space, if any is at either end."""
-        return not part[-1].isspace() and not part[1:2].isspace()
-
-    def made(self, missing: list[str]) -> dict:
-        got = {p: v for p in missing if (v := self.old.get(p)) is not None}
-        new = [p for p in missing if p not in got]
-        return got | dict(zip(new, self.make(new), strict=True)) if new else got
-
-    def keep(self, got: dict) -> None:
-        if len(self.new) + len(got) > self.limit:
-            self.old, self.new = self.new, {}
-        self.new.update((p, v) for p, v in got.items() if len(p) <= LONGEST and self.cut_well(p))
+    def made(self, missing: set[str]) -> dict:
+        got, new, split = {}, [], []
+        for p in missing:
+            v = self.old.get(p)
+            if v is not None:
+                got[p] = v
+            elif self.add and (head := p.rstrip(MARKS)) != p and "A" <= head[-1:] <= "\u024f" and head[-1].isalpha():
+                split.append((p, head, p[len(head):]))
+            else:
+                new.append(p)
+        if split:
+            parts = {x for _, *both in split for x in both if x not in got and x not in missing}
+            for x in parts:
+                v = self.new.get(x) or self.old.get(x)
+                if v is None:
+                    new.append(x)
+                else:
+                    got[x] = v
+        if new:
+            got |= zip(new, self.make(new), strict=True)
+        for p, head, tail in split:
+            got[p] = self.add(got[head], got[tail])
+        return got
+
+
+def cut_well(part: str) -> bool:
+    """A chunk of which any text may be made: only its first character is white space, if any is at either end."""
+    return not part[-1].isspace() and not part[1:2].isspace()
 
 
 def runs(chunks: list[str]) -> tuple[list[str], list[str]]:
     """Chunks that may stand in one text, as each begins where a cut may be, and the others."""
-    inner = [c for c in chunks if c[:1] in (" ", "\n") and Kept.cut_well(c)]
-    return inner, [c for c in chunks if not (c[:1] in (" ", "\n") and Kept.cut_well(c))]
+    inner, other = [], []
+    for c in chunks:
+        (inner if c[0] in " \n" and cut_well(c) else other).append(c)
+    return inner, other
 
 
 _LOADED: dict[tuple, object] = {}

@@ -140,31 +140,34 @@ class Reader:
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, kept by chunk; chunks not met yet are encoded as one text and told apart by its offsets."""
+    """Ids of a text by the tokenizers library, kept by chunk. Chunks not met yet are encoded as lines of one text and told apart by the line end's id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.full = Tokenizer.from_file(path)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.kept = Kept(self.make)
+        self.line = self.ids("\n")
+        self.kept = Kept(self.make, bytes.__add__)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.full.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def make(self, chunks: list[str]) -> list[bytes]:
         inner, other = runs(chunks)
-        got = {c: self.whole(c) for c in other}
+        got = {c: self.ids(c).tobytes() for c in other}
         if inner:
-            starts = np.cumsum([0, *map(len, inner)])
-            found = self.full.encode("".join(inner), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            cuts = np.searchsorted(np.array(found.offsets, np.int64)[:, 0], starts)
-            got |= {c: ids[a:b].tobytes() for c, a, b in zip(inner, cuts.tolist(), cuts[1:].tolist())}
+            found = self.ids("".join([c if c[0] == "\n" else "\n" + c for c in inner]))
+            lines = np.flatnonzero(found == self.line[0])
+            if len(self.line) == 1 and len(lines) == len(inner):
+                raw, ends = found.tobytes(), [*(4 * lines[1:]).tolist(), 4 * len(found)]
+                got |= {c: raw[a if c[0] == "\n" else a + 4:b] for c, a, b in zip(inner, (4 * lines).tolist(), ends)}
+            else:
+                got |= {c: self.ids(c).tobytes() for c in inner}
         return [got[c] for c in chunks]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self.whole(text)
+            return self.ids(text).tobytes()
         return b"".join(self.kept.of(text))
 
 
