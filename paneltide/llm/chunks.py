@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from collections.abc import Callable
+from types import ModuleType
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 #: Without a match, a text may be cut before each of its spaces and line ends.
@@ -91,13 +93,14 @@ def runs(chunks: list[str]) -> tuple[list[str], list[str]]:
     return inner, other
 
 
-_LOADED: dict[tuple, object] = {}
-
-
 def loaded(key: tuple, make: Callable[[], object]) -> object:
-    """One object a worker and key; another key replaces it, so that tables of several operators do not add up."""
-    if key not in _LOADED:
-        _LOADED.clear()
+    """One object a Python worker and key; another key replaces it, so that tables of several operators do not add up.
+
+    This package travels to the executors by value, so globals are new in every task: the object hangs on a module of the worker.
+    """
+    held = sys.modules.setdefault("_paneltide_worker", ModuleType("_paneltide_worker")).__dict__.setdefault("held", {})
+    if key not in held:
+        held.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _LOADED[key] = make()
-    return _LOADED[key]
+        held[key] = make()
+    return held[key]
