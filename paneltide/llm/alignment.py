@@ -114,27 +114,29 @@ class Aligner:
         self.key = np.uint32 if self.a.size * self.b.size < 1 << 32 else np.uint64
         self.kept = Kept(self.make, self.add if self.b.marks_hold else None)
 
-    def links(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """ends of links, the tokens of A and of B that each lies in, and whether both end there."""
+    def parts(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], stops: np.ndarray) -> list[tuple[int, bytes, str]]:
+        """A text's tokens cut at `stops`, where tokens of both end: counts (n_a, n_b, n_groups in 40 bits each), link keys and groups as text, by part."""
         ends = np.union1d(a[1], b[1])
         at_a, at_b = np.searchsorted(a[1], ends), np.searchsorted(b[1], ends)
-        return ends, at_a, at_b, (a[1][at_a] == ends) & (b[1][at_b] == ends)
-
-    def value(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes, str]:
-        """Counts (n_a, n_b, n_groups in 40 bits each), link keys, groups as text."""
-        _, at_a, at_b, both = self.links(a, b)
-        keys = (a[0][at_a] * self.b.size + b[0][at_b]).astype(self.key).tobytes()
+        raw, size = (a[0][at_a] * self.b.size + b[0][at_b]).astype(self.key).tobytes(), np.dtype(self.key).itemsize
+        both = (a[1][at_a] == ends) & (b[1][at_b] == ends)
         ids_a, ids_b = list(map(str, a[0].tolist())), list(map(str, b[0].tolist()))
+        upto_a, upto_b = (at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()
         groups, i, j = [], 0, 0
-        for x, y in zip((at_a[both] + 1).tolist(), (at_b[both] + 1).tolist()):
-            groups.append(f"{','.join(ids_a[i:x])}|{','.join(ids_b[j:y])}")
+        for x, y in zip(upto_a, upto_b):
+            groups.append(f"{ids_a[i]}|{ids_b[j]}" if x - i == 1 == y - j else f"{','.join(ids_a[i:x])}|{','.join(ids_b[j:y])}")
             i, j = x, y
-        return len(ids_a) | len(ids_b) << 40 | len(groups) << 80, keys, ";".join(groups)
+        out, g, li, i, j = [], 0, 0, 0, 0
+        for h, n in zip((np.searchsorted(ends[both], stops) + 1).tolist(), (np.searchsorted(ends, stops) + 1).tolist()):
+            x, y = upto_a[h - 1], upto_b[h - 1]
+            out.append(((x - i) | (y - j) << 40 | (h - g) << 80, raw[size * li:size * n], groups[g] if h - g == 1 else ";".join(groups[g:h])))
+            g, li, i, j = h, n, x, y
+        return out
 
     def whole(self, text: str) -> tuple[int, bytes, str] | None:
         """Of space + text; None if a side does not give it back."""
         raw, a, b = b" " + text.encode(), self.a.encode(" " + text), self.b.encode(text)
-        return self.value(a, b) if gives_back(self.a, a, raw) and gives_back(self.b, b, raw) else None
+        return self.parts(a, b, a[1][-1:])[0] if gives_back(self.a, a, raw) and gives_back(self.b, b, raw) else None
 
     def make(self, chunks: list[str]) -> list:
         """Values of chunks; False where the whole text has to be looked at."""
@@ -147,10 +149,7 @@ class Aligner:
             stops = np.cumsum([len(c.encode()) for c in inner])
             at_a, at_b = np.searchsorted(a[1], stops), np.searchsorted(b[1], stops)
             if gives_back(self.a, a, raw) and gives_back(self.b, b, raw) and (a[1][at_a] == stops).all() and (b[1][at_b] == stops).all():
-                i = j = start = 0
-                for c, stop, x, y in zip(inner, stops.tolist(), (at_a + 1).tolist(), (at_b + 1).tolist()):
-                    got[c] = self.value((a[0][i:x], a[1][i:x] - start), (b[0][j:y], b[1][j:y] - start))
-                    i, j, start = x, y, stop
+                got |= zip(inner, self.parts(a, b, stops), strict=True)
             else:
                 got |= {c: self.whole(c[1:]) or False for c in inner}
         return [got.get(c, False) for c in chunks]
@@ -165,7 +164,7 @@ class Aligner:
         raw = (" a" + chunk).encode()
         if not (gives_back(self.a, a, raw) and gives_back(self.b, b, raw) and a[1][0] == b[1][0] == 2):
             return False
-        return self.value((a[0][1:], a[1][1:] - 2), (b[0][1:], b[1][1:] - 2))
+        return self.parts((a[0][1:], a[1][1:]), (b[0][1:], b[1][1:]), a[1][-1:])[0]
 
     def aligned(self, text: str | None) -> tuple[int, bytes, str]:
         if not text:
