@@ -137,16 +137,17 @@ def published_figures(t):
     return rounded_all(quality.published_mismatches(actual, expected), ["recomputed"])
 
 
-@query("rank_outside_interval", with_parts("SELECT entity, s.rank, rank_lo, rank_hi FROM (SELECT entity, rank FROM scored WHERE period=1999) s JOIN (SELECT * FROM iv WHERE edition='e1998') USING (entity) WHERE NOT s.rank BETWEEN rank_lo AND rank_hi AND entity%10<>1", "scored", extra=NOISE), stage=True)
+@query("rank_outside_interval", with_parts("SELECT s.entity, s.period, s.rank, rank_lo, rank_hi FROM scored s JOIN iv ON iv.entity=s.entity AND iv.edition='e'||(s.period-1) WHERE NOT s.rank BETWEEN rank_lo AND rank_hi AND s.entity%10<>1", "scored", extra=NOISE), stage=True)
 def rank_outside_interval(t):
-    iv = intervals(t).filter("edition = 'e1998'")
+    """Every edition's ranks against the intervals of the edition before."""
+    iv = intervals(t).withColumn("period", F.substring("edition", 2, 10).cast("int") + 1)
     allowed = t.supplier.filter("s_suppkey % 10 = 1").select(S("s_suppkey").alias("entity"))
-    return quality.rank_outside_interval(t.scored.filter("period = 1999"), iv, allowed)
+    return quality.rank_outside_interval(t.scored, iv, allowed)
 
 
 # ---- registry ----------------------------------------------------------------------------------
 
-RUNS = "runs AS (SELECT 'r'||period AS run_id, entity, period, score FROM scored WHERE period IN (1997,1998,2000))"
+RUNS = "runs AS (SELECT 'r'||period AS run_id, entity, period, score FROM scored)"
 GRADE = RUNS + """,
 wr0 AS (SELECT run_id, period, entity, score, realized FROM runs JOIN outcome USING (entity, period) WHERE horizon=3),
 wrl AS (SELECT run_id, quantile_cont(realized,0.01) AS lo, quantile_cont(realized,0.99) AS hi FROM wr0 GROUP BY run_id),
@@ -159,11 +160,12 @@ GC = ["weighted_tau", "precision_at_k", "edge_pp", "current_tau", "retention"]
 
 
 def frozen(t):
-    """Freeze three runs into a fresh registry folder, then read them back."""
+    """Freeze every edition into a fresh registry folder, and freeze it again, which changes nothing."""
     root = staging_path(t.spark, "registry")
-    scores, clear = t.scored, t.spark.createDataFrame([(True,)], "clear boolean")
-    for p in (1997, 1998, 2000):
-        registry.freeze_run(scores, t.panel, root, f"r{p}", p, MODEL.weights, clear, f"{p}-12-31")
+    clear = t.spark.createDataFrame([(True,)], "clear boolean")
+    runs = {f"r{r['period']}": (r["period"], f"{r['period']}-12-31") for r in t.panel.select("period").distinct().collect()}
+    for _ in range(2):
+        registry.freeze_runs(t.scored, t.panel, root, runs, MODEL.weights, clear)
     return root
 
 
@@ -172,13 +174,15 @@ def frozen_runs(t):
     return rounded_all(registry.read_runs(t.spark, frozen(t)).select("run_id", "entity", "period", "score"), ["score"])
 
 
-@query("operative_run", "SELECT p::INT AS score_period, CASE WHEN p IN (1997,1998,2000) THEN 'r'||p ELSE 'r2000' END AS run_id, p IN (1997,1998,2000) AS exact FROM (SELECT DISTINCT year(l_shipdate) AS p FROM lineitem)", stage=True)
+@query("operative_run", """SELECT p::INT AS score_period, CASE WHEN p<=top THEN 'r'||p ELSE 'r'||top END AS run_id, p<=top AS exact FROM (SELECT DISTINCT year(l_shipdate) AS p FROM lineitem UNION SELECT DISTINCT year(l_shipdate)+3 FROM lineitem),
+  (SELECT max(year(l_shipdate)) AS top FROM lineitem)""", stage=True)
 def operative_run(t):
-    index = t.spark.read.parquet(f"{frozen(t)}/index")
-    return registry.operative_runs(index, t.panel.select(S("period").alias("score_period")))
+    """Periods of the panel, and three periods on, of which the last have no run yet."""
+    asked = t.panel.select(S("period").alias("score_period")).union(t.panel.select(S("period") + 3)).distinct()
+    return registry.operative_runs(registry.committed_runs(t.spark, frozen(t)), asked)
 
 
-@query("grade_runs", with_parts(f"SELECT l.run_id, l.period AS score_period, l.period+3<=2001 AS closed, CASE WHEN l.period+3>2001 THEN l.period+3 END AS waits_for, m.n_entities, {r('m.weighted_tau', 'weighted_tau')}, {r('m.precision_at_k', 'precision_at_k')}, {r('m.edge_pp', 'edge_pp')}, {r('c.weighted_tau', 'current_tau')}, {r('m.weighted_tau/nullif(c.weighted_tau,0)', 'retention')}, ov.overlap FROM (SELECT DISTINCT run_id, period FROM runs) l LEFT JOIN metrics m USING (run_id) LEFT JOIN cur c USING (run_id) LEFT JOIN ov USING (run_id)", "scored", "outcome", extra=GRADE), stage=True)
+@query("grade_runs", with_parts(f"SELECT l.run_id, l.period AS score_period, l.period+3<=mp AS closed, CASE WHEN l.period+3>mp THEN l.period+3 END AS waits_for, m.n_entities, {r('m.weighted_tau', 'weighted_tau')}, {r('m.precision_at_k', 'precision_at_k')}, {r('m.edge_pp', 'edge_pp')}, {r('c.weighted_tau', 'current_tau')}, {r('m.weighted_tau/nullif(c.weighted_tau,0)', 'retention')}, ov.overlap FROM (SELECT DISTINCT run_id, period, (SELECT max(period) FROM panel WHERE rent IS NOT NULL) AS mp FROM runs) l LEFT JOIN metrics m USING (run_id) LEFT JOIN cur c USING (run_id) LEFT JOIN ov USING (run_id)", "scored", "outcome", extra=GRADE), stage=True)
 def grade_runs(t):
     runs = registry.read_runs(t.spark, frozen(t)).select("run_id", "entity", "period", "score")
     current = t.norm.select("entity", "period", S("net_migration").alias("score")).filter("score IS NOT NULL")
@@ -196,7 +200,7 @@ wr AS (SELECT run_id, read, period, entity, score, realized FROM runs JOIN occ U
 
 @query("grade_interim", with_parts(f"SELECT run_id, read, period, n_entities, {rs('weighted_tau', 'precision_at_k', 'edge_pp')} FROM metrics", "scored", "outcome", "monthly", extra=INTERIM), stage=True)
 def grade_interim(t):
-    runs = t.scored.filter("period IN (1997, 1998, 2000)").select(F.concat(F.lit("r"), "period").alias("run_id"), "entity", "period", "score")
+    runs = t.scored.select(F.concat(F.lit("r"), "period").alias("run_id"), "entity", "period", "score")
     h1 = realised(t.panel, "rent", [1]).select(F.lit("h1").alias("read"), "entity", "period", "realized")
     ytd = same_months_growth(t.monthly, "rent", 5).select(F.lit("ytd").alias("read"), "entity", (S("period") - 1).alias("period"), S("ytd_growth").alias("realized"))
     return rounded_all(registry.grade_interim(runs, [h1, ytd], bound=t.bound), ["weighted_tau", "precision_at_k", "edge_pp"])

@@ -8,14 +8,17 @@ from paneltide.catalog.base import (
 from paneltide.catalog.validate import (
     CAT_SQL, EQUAL, FULL, G, _avg_rank, category, evaluated, outcome, periods)
 from paneltide.plans import gates, rankings as rk, resample as rs_, walkforward as wf
+from paneltide.plans.model import LEADING_LOW, TIERS
 from paneltide.plans.scoring import composite, with_trailing_means
 
-B = 20  # replicates in the registered queries; a parameter of every operator
+# Draws of the uncertainty queries, and of the gates.
+B, GATE_B = 1000, 800
 BITS = "cast('0x'||substr(md5({m}),{p},8) AS BIGINT)"
+WIDE_BITS = "cast('0x'||substr(md5({m}),1,15) AS BIGINT)"
 
 
 def drawn_sql(units: str, b: int = B, unit: str = "entity", seed: str = "boot", name: str = "drawn") -> str:
-    bits = BITS.format(m=f"'{seed}:'||rep||':'||slot", p=1)
+    bits = WIDE_BITS.format(m=f"'{seed}:'||rep||':'||slot")
     return f"""{name}_u AS (SELECT {unit}, row_number() OVER (ORDER BY {unit}) AS slot, count(*) OVER () AS n FROM (SELECT DISTINCT {unit} FROM {units})),
 {name} AS (SELECT d.rep AS replicate, u.{unit}, count(*) AS copies FROM (SELECT rep, {bits}%n+1 AS slot FROM {name}_u, range({b}) g(rep)) d JOIN {name}_u u USING (slot) GROUP BY ALL)"""
 
@@ -80,7 +83,7 @@ def paired_gap(t):
     return rounded_all(rs_.paired_gaps(point, reps, "full"), GAPC)
 
 
-CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM supplier),\n" + drawn_sql("members", unit="cluster", name="cd") + ",\ndrawn AS (SELECT replicate, entity, copies FROM cd JOIN members USING (cluster))"
+CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM supplier),\n" + drawn_sql("members", GATE_B, unit="cluster", name="cd") + ",\ndrawn AS (SELECT replicate, entity, copies FROM cd JOIN members USING (cluster))"
 
 
 @query("cluster_bootstrap", with_parts(f"SELECT strategy, {r('p.tau', 'tau')}, {r('quantile_cont(reps.tau,0.025)', 'lo')}, {r('quantile_cont(reps.tau,0.975)', 'hi')} FROM point p JOIN reps USING (strategy) GROUP BY strategy, p.tau",
@@ -88,7 +91,7 @@ CLUSTER = "members AS (SELECT s_suppkey AS entity, s_nationkey AS cluster FROM s
 def cluster_bootstrap(t):
     f = frame(t, two(t))
     members = t.nation_of_supplier().withColumnRenamed("state", "cluster")
-    point, reps = rs_.bootstrap(f, B, members=members, cluster="cluster", bound=t.bound)
+    point, reps = rs_.bootstrap(f, GATE_B, members=members, cluster="cluster", bound=t.bound)
     return rounded_all(rs_.tau_intervals(point, reps), ["tau", "lo", "hi"])
 
 
@@ -123,16 +126,29 @@ def _eps(k):
     return _EPS.format(a=BITS.format(m=m, p=1), b=BITS.format(m=m, p=9))
 
 
-NOISE = f"""ed AS (SELECT *, CASE period WHEN 1998 THEN 'e1998' ELSE 'e2000' END AS edition, {comp_sql(MODEL.weights)} AS base FROM norm WHERE period IN (1998,2000)),
+def hundredths_sql(percent: int, b: int = B) -> str:
+    i, part = divmod((b - 1) * percent, 100)
+    return f"(ks[{i + 1}]*{100 - part}+ks[{min(i + 2, b)}]*{part})"
+
+
+def half_even_sql(x: str) -> str:
+    return f"(({x})//100+CASE WHEN ({x})%100>50 OR (({x})%100=50 AND ({x})//100%2=1) THEN 1 ELSE 0 END)::INT"
+
+
+TIER_SQL = "CASE " + " ".join(
+    f"ELSE '{n}'" if cut is None else f"WHEN rank_median<={cut!r}" + f" AND rank_lo<={LEADING_LOW}" * (i == 0) + f" THEN '{n}'" for i, (n, cut) in enumerate(TIERS)) + " END"
+NOISE = f"""ed AS (SELECT *, 'e'||period AS edition, {comp_sql(MODEL.weights)} AS base FROM norm),
 dr AS (SELECT edition, rep, entity, base+""" + "+".join(
     f"{MODEL.weights[k]!r}*({rho!r}*coalesce({k},0)+{(1 - rho * rho) ** 0.5!r}*{_eps(k)}-coalesce({k},0))" for k, rho in RHO.items()) + f""" AS s FROM ed, range({B}) g(rep)),
 rkk AS (SELECT edition, entity, row_number() OVER (PARTITION BY edition, rep ORDER BY s DESC, entity) AS k FROM dr),
-iv0 AS (SELECT edition, entity, round_even(quantile_cont(k,0.05),0)::INT AS rank_lo, median(k)::DOUBLE AS rank_median, round_even(quantile_cont(k,0.95),0)::INT AS rank_hi FROM rkk GROUP BY ALL),
-iv AS (SELECT *, CASE WHEN rank_lo<=10 AND rank_median<=28 THEN 'Leading cluster' WHEN rank_median<=40 THEN 'Strong' WHEN rank_median<=70 THEN 'Mid' WHEN rank_median<=95 THEN 'Weak' ELSE 'Lagging' END AS tier FROM iv0)"""
+kss AS (SELECT edition, entity, list_sort(list(k)) AS ks FROM rkk GROUP BY ALL),
+iv0 AS (SELECT edition, entity, {half_even_sql(hundredths_sql(5))} AS rank_lo, {hundredths_sql(50)}/100.0::DOUBLE AS rank_median, {half_even_sql(hundredths_sql(95))} AS rank_hi FROM kss),
+iv AS (SELECT *, {TIER_SQL} AS tier FROM iv0)"""
 
 
 def intervals(t, bound=None):
-    ed = t.norm.filter("period IN (1998, 2000)").withColumn("edition", F.when(F.col("period") == 1998, "e1998").otherwise("e2000"))
+    """Of every edition."""
+    ed = t.norm.withColumn("edition", F.concat(F.lit("e"), "period"))
     ranks = rs_.noisy_ranks(ed, composite(MODEL.weights), RHO, MODEL.weights, B, bound=t.bound if bound is None else bound)
     return rs_.rank_intervals(ranks)
 
@@ -147,7 +163,7 @@ def rank_intervals_split(t):
     return intervals(t, 1 << 40)
 
 
-@query("tier_counts", with_parts("SELECT edition, tier, count(*) AS n_entities, CASE tier WHEN 'Leading cluster' THEN 1 WHEN 'Strong' THEN 2 WHEN 'Mid' THEN 3 WHEN 'Weak' THEN 4 ELSE 5 END::INT AS tier_order FROM iv GROUP BY ALL", "norm", extra=NOISE))
+@query("tier_counts", with_parts("SELECT edition, tier, count(*) AS n_entities, CASE tier " + " ".join(f"WHEN '{n}' THEN {i + 1}" for i, (n, _) in enumerate(TIERS)) + " END::INT AS tier_order FROM iv GROUP BY ALL", "norm", extra=NOISE))
 def tier_counts(t):
     return rs_.tier_counts(intervals(t))
 
@@ -170,7 +186,7 @@ nc AS (SELECT n.*, {', '.join('c.' + n for n in CANDS)} FROM norm n LEFT JOIN cz
 alone AS (SELECT strategy AS candidate, abs(avg(weighted_tau)) AS standalone_tau, avg(weighted_tau)<0 AS flipped FROM metrics GROUP BY strategy),
 mc AS ({' UNION ALL '.join(f"SELECT '{n}' AS candidate, greatest({', '.join(f'abs(corr({n},{k}))' for k in MODEL.names)}) AS max_abs_corr FROM nc" for n in CANDS)}),
 src AS (SELECT entity, period, {comp_sql(MODEL.weights)} AS score, {', '.join(CANDS)}, {', '.join(f"(SELECT CASE WHEN flipped THEN -1.0 ELSE 1.0 END FROM alone WHERE candidate='{n}') AS turn_{n}" for n in CANDS)} FROM nc)"""
-GATE = OUT3 + ",\n" + CAND_SQL + ",\n" + frame_sql(AUG, ranked=strategies_sql(AUG, "src", "ranked2")).replace("FROM ranked JOIN", "FROM ranked2 JOIN") + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')") + """,
+GATE = OUT3 + ",\n" + CAND_SQL + ",\n" + frame_sql(AUG, ranked=strategies_sql(AUG, "src", "ranked2")).replace("FROM ranked JOIN", "FROM ranked2 JOIN") + ",\n" + drawn_sql("frame", GATE_B) + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')") + """,
 gate AS (SELECT a.candidate, split_part(g.strategy,'@',2)::DOUBLE AS weight, -gap AS delta_tau, -gap_hi AS delta_lo, -gap_lo AS delta_hi, standalone_tau, flipped, max_abs_corr,
   standalone_tau>0.10 AND max_abs_corr<0.70 AND -gap_hi>0 AS adopt FROM gaps g JOIN alone a ON a.candidate=split_part(g.strategy,'@',1) JOIN mc ON mc.candidate=a.candidate WHERE g.strategy<>'full')"""
 GATEC = ["delta_tau", "delta_lo", "delta_hi", "standalone_tau", "max_abs_corr"]
@@ -178,7 +194,7 @@ GATEC = ["delta_tau", "delta_lo", "delta_hi", "standalone_tau", "max_abs_corr"]
 
 def gate(t):
     cand = gates.candidate_scores(t.panel, CANDS, t.bound)
-    return gates.candidate_gate(t.norm, cand, list(CANDS), MODEL, outcome(t, [3]), periods(t), (0.05, 0.1), B, t.bound)
+    return gates.candidate_gate(t.norm, cand, list(CANDS), MODEL, outcome(t, [3]), periods(t), (0.05, 0.1), GATE_B, t.bound)
 
 
 @query("candidate_gate", with_parts(f"SELECT candidate, weight, flipped, adopt, {rs(*GATEC)} FROM gate", "usable", extra=GATE), stage=True)
@@ -222,11 +238,11 @@ def both_norms(t):
 
 
 @query("variant_prong_a", with_parts(f"SELECT strategy, {r('tau', 'tau_variant')}, {r('tau+gap', 'tau_current')}, {r('-gap', 'gap')}, {r('-gap_hi', 'gap_lo')}, {r('-gap_lo', 'gap_hi')}, gap_lo<=0 AS pass FROM gaps WHERE strategy='variant'", "usable",
-       extra=OUT3 + ",\n" + VAR_SQL + ",\n" + frame_sql(VARIANT, "both2") + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='current')")), stage=True)
+       extra=OUT3 + ",\n" + VAR_SQL + ",\n" + frame_sql(VARIANT, "both2") + ",\n" + drawn_sql("frame", GATE_B) + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='current')")), stage=True)
 def variant_prong_a(t):
     weights = {f"v_{k}": w for k, w in MODEL.weights.items()}
     f = frame(t, {"current": composite(MODEL.weights), "variant": composite(weights)}, both_norms(t))
-    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    point, reps = rs_.bootstrap(f, GATE_B, bound=t.bound)
     v = gates.variant_verdict(rs_.paired_gaps(point, reps, "current"), "variant")
     return rounded_all(v, ["tau_variant", "tau_current", "gap", "gap_lo", "gap_hi"])
 
@@ -291,9 +307,9 @@ def composite_subsets(t):
 
 @query("category_index_gap", with_parts(f"SELECT strategy, reference, {rs(*GAPC)}, gap_lo>0 OR gap_hi<0 AS excludes_zero, gap_lo>0 AS reliably_worse FROM gaps", "usable",
        extra=OUT3 + ",\n" + CAT_SQL + ",\n" + frame_sql({"full": "", "category_index": ""}, ranked=strategies_sql(FULL, name="r0") + ",\nranked AS (SELECT * FROM r0 UNION ALL SELECT 'category_index', entity, period, score FROM cat)")
-       + ",\n" + drawn_sql("frame") + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")), stage=True)
+       + ",\n" + drawn_sql("frame", GATE_B) + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='full')")), stage=True)
 def category_index_gap(t):
     ranking = rk.strategies(t.norm, rk.full_model(MODEL)).unionByName(category(t))
     f = wf.outcome_frame(ranking, outcome(t, [3]), 2, periods(t), t.bound)
-    point, reps = rs_.bootstrap(f, B, bound=t.bound)
+    point, reps = rs_.bootstrap(f, GATE_B, bound=t.bound)
     return rounded_all(rs_.paired_gaps(point, reps, "full"), GAPC)

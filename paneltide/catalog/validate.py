@@ -123,7 +123,7 @@ def best_single_indicator(t):
     return rounded_all(arg_max(mean, ["horizon"], "strategy", "tau"), ["tau"])
 
 
-SEEDS = 10
+SEEDS = 50  # fixed value
 RAND = f"""ranked AS (SELECT 'random' AS strategy, seed, entity, period, (cast('0x'||substr(md5('rank:'||seed||':'||entity||':'||period),1,8) AS BIGINT)+0.5)/4294967296.0::DOUBLE AS score
   FROM panel, range({SEEDS}) s(seed)),
 wf AS (SELECT seed, horizon, period, entity, score, realized FROM ranked JOIN outcome USING (entity, period) WHERE period IN (SELECT period FROM usable)),

@@ -66,6 +66,12 @@ def draw_bits(*parts: str | Column, slot: int = 0) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * slot, 8), 16, 10).cast("bigint")
 
 
+def wide_draw_bits(*parts: str | Column) -> Column:
+    """60 reproducible random bits (bigint): taken modulo a count of units, no unit is favoured or out of reach."""
+    digest = F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts]))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+
+
 def uniform(*parts: str | Column, slot: int = 0) -> Column:
     """Open-interval uniform in (0, 1)."""
     return (draw_bits(*parts, slot=slot) + F.lit(0.5)) / F.lit(4294967296.0)

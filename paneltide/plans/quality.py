@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import col, ratio, stable_id
@@ -12,7 +12,7 @@ from paneltide.operators.match import membership_changes
 from paneltide.operators.order import quantiles
 from paneltide.plans.model import (
     CROSS_SOURCE_GAP, CROSS_SOURCE_SIGMA, GOLDEN_ATOL, GOLDEN_RTOL, OUTLIER_SIGMA, TOP_MOVER_RANKS)
-from paneltide.scale import is_wide, join_groups, small_side
+from paneltide.scale import is_wide, join_groups, small_side, staged
 
 KEYS = ("entity", "period")
 
@@ -27,11 +27,14 @@ def flags(df: DataFrame, check: Column, severity: Column, measure: Column, detai
 
 
 def with_center_and_spread(df: DataFrame, group: Sequence[str], value: str, bound: int | None = None) -> DataFrame:
-    """Attach the group median and the population standard deviation of a column."""
+    """Attach the group median and the population standard deviation of a column: one aggregation, read once, unless a group is split."""
+    if not is_wide(df, group, bound):
+        whole = Window.partitionBy(*group)
+        return df.withColumns({"_mid": F.percentile(value, F.lit(0.5)).over(whole), "_std": F.stddev_pop(value).over(whole)})
+    df = staged(df, "spread")
     mid = quantiles(df, group, value, {"_mid": 0.5}, bound)
     spread = df.groupBy(*group).agg(F.stddev_pop(value).alias("_std"))
-    table = join_groups(mid, spread, list(group))
-    return join_groups(df, small_side(table) if is_wide(df, group, bound) else table, list(group))
+    return join_groups(df, small_side(join_groups(mid, spread, list(group))), list(group))
 
 
 def divergence(pairs: DataFrame, bound: int | None = None) -> DataFrame:
@@ -149,9 +152,9 @@ def published_mismatches(actual: DataFrame, expected: DataFrame, name: str = "fi
                        F.coalesce(F.abs(shown - F.col("value")) <= tolerance, F.lit(False)).alias("ok"))
 
 
-def rank_outside_interval(ranked: DataFrame, intervals: DataFrame, allowed: DataFrame) -> DataFrame:
+def rank_outside_interval(ranked: DataFrame, intervals: DataFrame, allowed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Entities whose published rank lies outside their own interval and that are not on the allow list."""
-    both = ranked.select("entity", "rank").join(intervals.select("entity", "rank_lo", "rank_hi"), "entity")
+    both = ranked.select(*keys, "rank").join(intervals.select(*keys, "rank_lo", "rank_hi"), list(keys))
     return both.filter(~F.col("rank").between(F.col("rank_lo"), F.col("rank_hi"))).join(
         allowed.select("entity"), "entity", "left_anti")
 

@@ -1,6 +1,8 @@
 """Frozen runs: write once, look up, grade when the outcome period has closed.
 
-A run is a partition folder ``run_id=<id>`` of the scores table; the index is an append-only table.
+The scores of all runs frozen together, and the panel they came from, are written under one attempt id; a manifest a run commits it
+(`sources.commits`). Readers see committed runs only. A run that is frozen again from the same content is left as it is; from other
+content it is refused.
 """
 from __future__ import annotations
 
@@ -13,41 +15,96 @@ from paneltide.functions.scalar import ratio
 from paneltide.operators.order import top_k_overlap, winsorise
 from paneltide.plans.walkforward import enough_rows, realised, window_metrics
 from paneltide.scale import staged
-from paneltide.sources.sinks import append_rows, write_once
+from paneltide.sources import commits
 
 
 class PublicationBlocked(RuntimeError):
     """A run may not be frozen while a blocking flag is open."""
 
 
-def digest(df: DataFrame) -> DataFrame:
+class RunExists(RuntimeError):
+    """A run of that name was frozen from other content."""
+
+
+MANIFEST = ("run_id string, stamp string, score_period int, attempt string, digest string, n_rows long, edition_digest string, edition_rows long, "
+            "weights map<string,double>")
+
+
+def _row_part(df: DataFrame, names: Sequence[str]):
+    cells = [F.concat(F.lit(f"{c}"), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")), F.lit(";")) for c in sorted(names)]
+    return F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
+def digest(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Order-insensitive content digest: exact sum of 60-bit MD5 parts of the rows, and the row count.
 
     A row's text names every column and marks NULL apart from any value, so a value that moves to another
     column, or vanishes, changes the digest. Other engines can recompute it.
     """
-    cells = [F.concat(F.lit(f"{c}"), F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")), F.lit(";"))
-             for c in sorted(df.columns)]
-    part = F.conv(F.substring(F.md5(F.concat(*cells)), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.select(part.alias("h")).agg(F.sum("h").cast("string").alias("digest"), F.count(F.lit(1)).alias("n_rows"))
+    return df.select(*by, _row_part(df, df.columns).alias("h")).groupBy(*by).agg(
+        F.sum("h").cast("string").alias("digest"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def freeze_run(scores: DataFrame, panel: DataFrame, root: str, run_id: str, score_period: int,
-               weights: Mapping[str, float], gate: DataFrame, stamp: str) -> None:
-    """Scores, panel snapshot and manifest of one run; refused when the gate is closed or the run exists."""
+def freeze_runs(scores: DataFrame, panel: DataFrame, root: str, runs: Mapping[str, tuple[int, str]], weights: Mapping[str, float],
+                gate: DataFrame) -> list[str]:
+    """Freeze several editions at once: run_id -> (score period, stamp). Returns the runs that this call committed.
+
+    Scores (one write for all runs) and the panel are written first, then a manifest a run. Fails without trace when the gate is closed,
+    a run exists with other content, or a write fails; a retry after a failure, or after success, is safe.
+    """
     if not gate.first()["clear"]:  # one row by construction
-        raise PublicationBlocked(run_id)
-    edition = scores.filter(F.col("period") == score_period)
-    write_once(edition, f"{root}/scores/run_id={run_id}")
-    write_once(panel, f"{root}/panel/run_id={run_id}")
-    manifest = digest(panel).select(
-        F.lit(run_id).alias("run_id"), F.lit(stamp).alias("stamp"), F.lit(score_period).alias("score_period"),
-        F.create_map(*[F.lit(x) for p in weights.items() for x in p]).alias("weights"), "digest", "n_rows")
-    append_rows(manifest, f"{root}/index")
+        raise PublicationBlocked(", ".join(runs))
+    spark = scores.sparkSession
+    known = spark.createDataFrame([(r, p) for r, (p, _) in runs.items()], "run_id string, period int")
+    editions = scores.join(F.broadcast(known), "period")  # one row a run
+    own = {r["run_id"]: r for r in digest(editions, ["run_id"]).collect()}
+    whole = digest(panel).first()
+    before = {r["run_id"]: r for r in committed_runs(spark, root).filter(F.col("run_id").isin(list(runs))).collect()}
+
+    def same(run: str) -> bool:
+        held, now = before[run], own.get(run)
+        return (held["digest"], held["n_rows"], held["edition_digest"], held["edition_rows"]) == (
+            whole["digest"], whole["n_rows"], now and now["digest"], now["n_rows"] if now else 0)
+
+    if changed := [r for r in before if not same(r)]:
+        raise RunExists(", ".join(sorted(changed)))
+    if not (new := [r for r in runs if r not in before]):
+        return []
+    attempt = commits.new_attempt()
+    commits.write_part(editions.filter(F.col("run_id").isin(new)), root, "scores", attempt)
+    commits.write_part(panel, root, "panel", attempt)
+    done = []
+    for run in new:  # a small file each
+        period, stamp = runs[run]
+        try:
+            commits.publish(spark, root, run, {
+                "run_id": run, "stamp": stamp, "score_period": period, "attempt": attempt, "digest": whole["digest"], "n_rows": whole["n_rows"],
+                "edition_digest": own[run]["digest"] if run in own else None, "edition_rows": own[run]["n_rows"] if run in own else 0, "weights": dict(weights)})
+        except commits.AlreadyCommitted:
+            raise RunExists(run) from None
+        done.append(run)
+    return done
+
+
+def freeze_run(scores: DataFrame, panel: DataFrame, root: str, run_id: str, score_period: int,
+               weights: Mapping[str, float], gate: DataFrame, stamp: str) -> list[str]:
+    """One run: scores, panel snapshot and manifest."""
+    return freeze_runs(scores, panel, root, {run_id: (score_period, stamp)}, weights, gate)
+
+
+def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """The index: one row a committed run."""
+    return commits.manifests(spark, root, MANIFEST)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/scores")
+    """Scores of committed runs."""
+    return commits.read_part(spark, root, "scores", committed_runs(spark, root), ["run_id"])
+
+
+def read_panels(spark: SparkSession, root: str) -> DataFrame:
+    """Panel snapshots by attempt."""
+    return commits.read_part(spark, root, "panel", committed_runs(spark, root), [])
 
 
 def operative_runs(index: DataFrame, periods: DataFrame) -> DataFrame:

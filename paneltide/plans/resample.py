@@ -9,12 +9,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.functions.scalar import draw_bits, standard_normal
+from paneltide.functions.scalar import draw_bits, standard_normal, wide_draw_bits
+from paneltide.operators import replicates as blocks
 from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.order import add_positions, quantiles, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
-from paneltide.scale import staged
+from paneltide.scale import largest_group, staged
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", bound: int | None = None) -> DataFrame:
@@ -27,7 +28,7 @@ def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", boun
     indexed = add_positions(known, ["_all"], [F.col(unit)], "_at", bound).drop("_all")
     total = known.agg(F.count(F.lit(1))).scalar()
     pulls = (indexed.select("_at", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-             .select("replicate", (draw_bits(F.lit(seed), "replicate", "_at") % total + 1).alias("_at")))
+             .select("replicate", (wide_draw_bits(F.lit(seed), "replicate", "_at") % total + 1).alias("_at")))
     counted = pulls.groupBy("replicate", "_at").agg(F.count(F.lit(1)).alias("copies"))
     return counted.join(indexed, "_at").select("replicate", unit, "copies")
 
@@ -41,10 +42,17 @@ def cluster_draws(members: DataFrame, cluster: str, replicates: int, seed: str =
 
 def replicate_taus(frame: DataFrame, drawn: DataFrame, bound: int | None = None,
                    windows: Sequence[str] = ("horizon", "period")) -> DataFrame:
-    """Pooled tau per (replicate, strategy): mean over the windows with enough drawn rows."""
-    rows = frame.join(drawn, "entity")
-    per = weighted_tau(rows, ["replicate", "strategy", *windows], "score", "realized", "entity", copies="copies",
-                       bound=bound, also={"_n": (F.sum, F.col("copies"))})
+    """Pooled tau per (replicate, strategy): mean over the windows with enough drawn rows.
+
+    Blocks of replicates where the units of a window are one task's matrix, else a row a replicate in the split plan.
+    """
+    group = ["strategy", *windows]
+    size = largest_group(frame, group) if bound is None else bound
+    if blocks.fits(size):
+        per = blocks.taus(frame, blocks.folded(drawn), group, "score", "realized").withColumnRenamed("n", "_n")
+    else:
+        per = weighted_tau(frame.join(drawn, "entity"), ["replicate", *group], "score", "realized", "entity", copies="copies",
+                           bound=bound, also={"_n": (F.sum, F.col("copies"))})
     return per.filter(F.col("_n") >= MIN_WINDOW_ROWS).groupBy("replicate", "strategy").agg(F.avg("tau").alias("tau"))
 
 
@@ -111,16 +119,28 @@ def noisy_ranks(norm: DataFrame, base: Column, reliability: Mapping[str, float],
     return add_positions(drawn, [group, "replicate"], [F.col("_score").desc(), F.col("entity")], "rank", bound)
 
 
+def hundredths(ordered: str, percent: int) -> Column:
+    """A percentile of an ordered array of whole numbers, in hundredths: interpolated, but a whole number, so halves are halves everywhere."""
+    at = (F.size(ordered) - 1) * percent
+    i, part = F.floor(at / 100).cast("int"), at % 100
+    low, high = F.element_at(ordered, i + 1), F.element_at(ordered, F.least(i + 2, F.size(ordered)))
+    return low.cast("bigint") * (100 - part) + high.cast("bigint") * part
+
+
+def half_even(x: Column) -> Column:
+    """Hundredths to whole numbers, halves to the even one."""
+    whole, rest = F.floor(x / 100), x % 100
+    return (whole + F.when((rest > 50) | ((rest == 50) & (whole % 2 == 1)), 1).otherwise(0)).cast("int")
+
+
 def rank_intervals(ranks: DataFrame, group: str = "edition") -> DataFrame:
     """5th, 50th and 95th percentile of the drawn ranks with the tier they imply.
 
     Ends round half to even. One group is the draws of one entity, so its size is the draw count.
     """
-    q = ranks.groupBy(group, "entity").agg(
-        F.percentile("rank", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
-    lo, med, hi = F.bround(F.col("q")[0]).cast("int"), F.col("q")[1], F.bround(F.col("q")[2]).cast("int")
-    return q.select(group, "entity", lo.alias("rank_lo"), med.alias("rank_median"), hi.alias("rank_hi")).withColumn(
-        "tier", tier("rank_lo", "rank_median"))
+    q = ranks.groupBy(group, "entity").agg(F.sort_array(F.collect_list("rank")).alias("_q"))
+    return q.select(group, "entity", half_even(hundredths("_q", 5)).alias("rank_lo"), (hundredths("_q", 50) / F.lit(100.0)).alias("rank_median"),
+                    half_even(hundredths("_q", 95)).alias("rank_hi")).withColumn("tier", tier("rank_lo", "rank_median"))
 
 
 def tier(low: str, median: str, tiers: Sequence[tuple[str, float | None]] = TIERS, leading: int = LEADING_LOW) -> Column:
