@@ -138,7 +138,8 @@ def mix(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2),
 
 
 def mixed(docs: DataFrame, share: float = 1.5, weights: Sequence[int] = (3, 1, 2), cap: float = 2.0) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken."""
+    """The mix itself: the rows of docs, each as often as it is taken. Their columns travel in one struct, so no name clashes."""
     names = docs.columns
-    out = decided(docs, plan(docs.select("doc_id", "text", "source"), share, weights, cap)).where("_times > 0")
-    return out.withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    held = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    out = decided(held, plan(docs.select("doc_id", "text", "source"), share, weights, cap)).where("_times > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col("_row").getField(c).alias(c) for c in names])

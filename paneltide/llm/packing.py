@@ -37,7 +37,9 @@ CAPACITY, END_ID = 2048, 0
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 EPSILON, STEP, COVER = 0.02, 0.25, 6.0
 MAX_STEPS = 150
-CHUNKS_KEPT = 350_000
+CHUNKS_KEPT = 120_000
+#: Documents whose pieces leave a task in one frame.
+ROWS_AT_ONCE = 500
 MARKS = ".,;:!?%&*$#|"
 
 
@@ -102,7 +104,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(path, ranks)
-        for part in parts:
+        for part in (p.iloc[a:a + ROWS_AT_ONCE] for p in parts for a in range(0, len(p), ROWS_AT_ONCE)):
             out: dict[str, list] = {c: [] for c in schema.names}
             for doc_id, text in zip(part["doc_id"].array, part["text"]):
                 ids = (encoder.encode(text) if text else b"") + end

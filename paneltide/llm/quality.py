@@ -159,7 +159,9 @@ def cleaned(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"kept": [r[2] for r in rows], "text": [r[3] for r in rows]})
 
     judged = judged.asNondeterministic()  # else the filter and the new text would each run it
-    out = docs.withColumn("_clean", judged("text")).where("_clean.kept").withColumn("text", F.col("_clean.text")).drop("_clean")
+    names = docs.columns  # they travel in one struct, so no name clashes
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), judged("text").alias("_clean")).where("_clean.kept")
+    out = held.select(*[F.col("_clean.text").alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out

@@ -253,3 +253,15 @@ def test_trie_query_agrees_with_its_sql(spark):
     names = [d[0] for d in rel.description]
     want = sorted(map(tuple, rel.fetchall()), key=str)
     assert sorted(map(tuple, queries.QUERIES["op12_prefix_trie"](spark, folder).select(*names).collect()), key=str) == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    from paneltide.llm import mixing, quality
+    text = " ".join(f"This is sentence number {i} of a clean text about words." for i in range(12))
+    more = ["_hash", "_clean", "_source", "_full", "_passes", "_target", "_source_size", "_size", "_times", "_row"]
+    rows = [(i, f"{text} It has the mark {i}.", f"s{i % 2}", *[f"{c}{i}" for c in more]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *more])
+    for out in (quality.cleaned(docs), mixing.mixed(docs)):
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert got and all(r[c] == f"{c}{r['doc_id']}" for r in got for c in more)
