@@ -146,12 +146,44 @@ mid AS (SELECT s.entity, s.period, coalesce(nw.flow, f.flow)/nullif(pop,0) AS ne
 
 @query("mid_period_rows", with_parts(f"SELECT entity, period, {rs(*NAMES)} FROM mid", "ind", "monthly", extra=PROXIES + ",\n" + MID), stage=True)
 def mid_period_rows(t):
+    return rounded_all(mid(t), NAMES)
+
+
+def mid(t):
     placed, flows, _, sg = inputs(t)
     rates = t.lineitem.filter(F.month("l_shipdate") <= 5).groupBy(F.year("l_shipdate").alias("period")).agg(F.avg(S("l_tax") * 100).alias("rate"))
     both = sg.select("state", "period", S("g").alias("g_now")).join(
         sg.select("state", (S("period") + 1).alias("period"), S("g").alias("g_prior")), ["state", "period"], "full")
     newer = t.panel.filter("period = 2000 AND entity % 3 = 0").select("entity", "period", (S("net_migration") * 0.8).alias("flow"))
-    return rounded_all(asof.mid_period_rows(placed, t.ind, t.monthly, rates, flows, both, 5, newer), NAMES)
+    return asof.mid_period_rows(placed, t.ind, t.monthly, rates, flows, both, 5, newer)
+
+
+@query("mid_period_history", with_parts(metrics_select(), "usable", "outcome", "monthly", extra=PROXIES + ",\n" + MID + ",\n" + norm_sql("mid", "mnorm") + ",\n"
+                                        + strategies_sql({"mid": comp_sql(MODEL.weights)}, "mnorm") + ",\n" + WF + ",\n" + metrics_sql("wf", G)), stage=True)
+def mid_period_history(t):
+    """Every period's mid-period rows ranked and tested against what followed."""
+    mnorm = staged(normalised(mid(t), MODEL, t.bound), "mid")
+    return rounded_all(evaluated(t, rk.strategies(mnorm, {"mid": composite(MODEL.weights)})).drop("regime"), M3)
+
+
+MID_GATE = (PROXIES + ",\n" + MID + ",\n" + norm_sql("mid", "mnorm") + ",\nranked AS (" + " UNION ALL ".join(
+    f"SELECT '{n}' AS strategy, entity, period, ({comp_sql(MODEL.weights)})::DOUBLE AS score FROM {src}" for n, src in (("final", "norm"), ("mid", "mnorm"))) + "),\n" + WF + ",\n" + metrics_sql("wf", G)
+    + ",\n" + summary_sql() + """,
+sc AS (SELECT a.entity, a.period, a.score AS a, b.score AS b FROM ranked a JOIN ranked b ON a.entity=b.entity AND a.period=b.period AND a.strategy='final' AND b.strategy='mid'),
+ag AS (SELECT period, count(*) AS n, count(*) FILTER (ka<=10 AND kb<=10)::INT AS overlap FROM (SELECT period, row_number() OVER (PARTITION BY period ORDER BY a DESC, entity) AS ka,
+  row_number() OVER (PARTITION BY period ORDER BY b DESC, entity) AS kb FROM sc) GROUP BY period HAVING count(*)>=10)""")
+
+
+@query("mid_period_gate", with_parts(f"SELECT {r('f', 'tau_final')}, {r('p', 'tau_proxy')}, {r('mo', 'mean_overlap')}, {r('p/nullif(f,0)', 'retention')}, p/nullif(f,0)>=0.85 AND mo>=7 AS pass FROM (SELECT max(CASE WHEN strategy='final' THEN mean_tau END) AS f, max(CASE WHEN strategy='mid' THEN mean_tau END) AS p FROM summ WHERE horizon=3 AND regime='POOLED'), (SELECT avg(overlap) AS mo FROM ag WHERE period IN (SELECT period FROM usable))",
+                                     "usable", "outcome", "monthly", extra=MID_GATE), stage=True)
+def mid_period_gate(t):
+    """Retention and overlap of the mid-period history against the final one."""
+    mnorm = normalised(mid(t), MODEL, t.bound)
+    ranking = staged(rk.strategies(t.norm, {"final": composite(MODEL.weights)}).unionByName(rk.strategies(mnorm, {"mid": composite(MODEL.weights)})), "mid")
+    final, early_ = (ranking.filter(S("strategy") == n).select("entity", "period", "score") for n in ("final", "mid"))
+    agreed = gates.agreement(final, early_, bound=t.bound).join(periods(t), "period", "left_semi")
+    g = gates.retention_gate(wf.summarise(evaluated(t, ranking)), agreed, "final", "mid", 3)
+    return rounded_all(g, ["tau_final", "tau_proxy", "mean_overlap", "retention"])
 
 
 @query("proxy_substitution", with_parts(f"SELECT i.entity, i.period, {r('CASE WHEN i.period IN (1999,2000) THEN coalesce(f.flow/nullif(p.population,0), i.net_migration) ELSE i.net_migration END', 'net_migration')} FROM ind i JOIN panel p USING (entity, period) LEFT JOIN flows f USING (entity, period)",

@@ -202,6 +202,15 @@ def candidate_gate(t):
     return rounded_all(gate(t), GATEC)
 
 
+@query("candidate_correlations", with_parts(f"SELECT candidate, place, indicator, {r('corr')} FROM (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY abs(corr) DESC, indicator)::INT AS place FROM pc WHERE corr IS NOT NULL) WHERE place<=3",
+                                           "norm", extra=f"""cz AS (SELECT entity, period, {', '.join(z_sql(c, s, 'period', True) + ' AS ' + n for n, (c, s) in CANDS.items())} FROM panel),
+nc AS (SELECT n.*, {', '.join('c.' + n for n in CANDS)} FROM norm n LEFT JOIN cz c USING (entity, period)),
+pc AS ({' UNION ALL '.join(f"SELECT '{n}' AS candidate, '{k}' AS indicator, corr({n},{k}) AS corr FROM nc" for n in CANDS for k in MODEL.names)})"""), stage=True)
+def candidate_correlations(t):
+    cand = gates.candidate_scores(t.panel, CANDS, t.bound)
+    return rounded_all(gates.candidate_correlations(t.norm, cand, list(CANDS), MODEL), ["corr"])
+
+
 @query("conjunctive_verdict", with_parts("SELECT coalesce((SELECT 'add:'||min(candidate) FROM (SELECT candidate FROM gate GROUP BY candidate HAVING bool_and(adopt))), 'reject all') AS verdict", "usable", extra=GATE), stage=True)
 def conjunctive_verdict(t):
     replacement = t.spark.createDataFrame([("variant", False)], "name string, pass boolean")

@@ -78,6 +78,17 @@ def candidate_gate(norm: DataFrame, cand: DataFrame, names: Sequence[str], model
                           & (F.col("max_abs_corr") < MAX_CORRELATION) & (F.col("delta_lo") > 0))
 
 
+def candidate_correlations(norm: DataFrame, cand: DataFrame, names: Sequence[str], model: Model, k: int = 3) -> DataFrame:
+    """Per candidate the k current indicators that it goes with most closely: candidate, place, indicator, corr. One aggregation for all pairs."""
+    wide = norm.join(cand, list(KEYS), "left")
+    one = wide.agg(*[F.array(*[F.struct(correlation(n, i).alias("corr"), F.lit(i).alias("indicator")) for i in model.names]).alias(n) for n in names])
+    each = one.unpivot([], list(names), "candidate", "pairs").select("candidate", F.array_sort(
+        F.filter("pairs", lambda p: p["corr"].isNotNull()),
+        lambda a, b: F.when(F.abs(a["corr"]) > F.abs(b["corr"]), -1).when(F.abs(a["corr"]) < F.abs(b["corr"]), 1).when(a["indicator"] < b["indicator"], -1).otherwise(1)).alias("pairs"))
+    return each.select("candidate", F.posexplode(F.slice("pairs", 1, k)).alias("at", "pair")).select(
+        "candidate", (F.col("at") + 1).alias("place"), "pair.indicator", "pair.corr")
+
+
 def conjunctive_verdict(gates: DataFrame, order: Sequence[str], replacement: DataFrame) -> DataFrame:
     """A candidate passes only if it passes at every weight; a passing replacement takes precedence,
     then the first passing candidate in declared order. ``replacement`` has one row: name, pass."""
