@@ -1,10 +1,14 @@
 """Helpers shared by the corpus operators."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,6 +56,14 @@ def hash_sample(df: DataFrame, column: str, size: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.col(column), F.lit("sample")), F.lit(1 << 40)) < F.lit(int((1 << 40) * size / rows)))
 
 
+def trimmed() -> None:
+    """Give what a task has freed back to the system: its worker stays, and other operators' tasks come to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHash(dict):
     """Word to 64-bit hash, kept for the words met most recently; memory is bounded by LIMIT entries."""
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.llm.common import numbered
+from paneltide.llm.common import numbered, trimmed
 from paneltide.scale import staged
 
 CAPACITY, END_ID = 2048, 0
@@ -116,6 +116,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
             frame = pd.DataFrame(out)
             frame["doc_id"] = pd.array(out["doc_id"], dtype=part["doc_id"].dtype)
             yield frame
+        encoder = None
+        trimmed()
 
     return narrow.mapInPandas(run, schema)
 
@@ -241,7 +243,13 @@ def places(solution: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]
 
 def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ranks: str | None = None) -> DataFrame:
     """Pieces with ids, ids_crc32, sequence_id and offset. Callers that drop ids do not move them."""
-    cut = staged(pieces(docs, capacity, path, ranks), "pieces")
+    spark, rows_a_batch = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_a_batch)
+    spark.conf.set(rows_a_batch, str(min(int(before), 2 * ROWS_AT_ONCE) if int(before) > 0 else 2 * ROWS_AT_ONCE))  # rows are whole texts
+    try:
+        cut = staged(pieces(docs, capacity, path, ranks), "pieces")
+    finally:
+        spark.conf.set(rows_a_batch, before)
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(solve(histogram, capacity))
     rows = sum(histogram.values())

@@ -257,7 +257,8 @@ def test_trie_query_agrees_with_its_sql(spark):
 
 def test_stages_keep_columns_of_any_name(spark):
     from paneltide.llm import mixing, quality
-    text = " ".join(f"This is sentence number {i} of a clean text about words." for i in range(12))
+    rng = random.Random(1)
+    text = " ".join(" ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(9)) + "." for _ in range(12))
     more = ["_hash", "_clean", "_source", "_full", "_passes", "_target", "_source_size", "_size", "_times", "_row"]
     rows = [(i, f"{text} It has the mark {i}.", f"s{i % 2}", *[f"{c}{i}" for c in more]) for i in range(6)]
     docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *more])
