@@ -1,8 +1,8 @@
 """Frozen runs: write once, look up, grade when the outcome period has closed.
 
 The scores of all runs frozen together, and the panel they came from, are written under one attempt id; a manifest a run commits it
-(`sources.commits`). Readers see committed runs only. A run that is frozen again from the same content is left as it is; from other
-content it is refused.
+(`sources.commits`). Readers see committed runs only. A run that is frozen again with the same stamp from the same content (a retry)
+is left as it is; any other second freeze is refused.
 """
 from __future__ import annotations
 
@@ -63,11 +63,11 @@ def freeze_runs(scores: DataFrame, panel: DataFrame, root: str, runs: Mapping[st
 
     def same(run: str) -> bool:
         held, now = before[run], own.get(run)
-        return (held["digest"], held["n_rows"], held["edition_digest"], held["edition_rows"]) == (
-            whole["digest"], whole["n_rows"], now and now["digest"], now["n_rows"] if now else 0)
+        return (held["score_period"], held["stamp"], held["digest"], held["n_rows"], held["edition_digest"], held["edition_rows"]) == (
+            *runs[run], whole["digest"], whole["n_rows"], now and now["digest"], now["n_rows"] if now else 0)
 
     if changed := [r for r in before if not same(r)]:
-        raise RunExists(", ".join(sorted(changed)))
+        raise RunExists(f"already exists: {', '.join(sorted(changed))}")
     if not (new := [r for r in runs if r not in before]):
         return []
     attempt = commits.new_attempt()
@@ -81,7 +81,7 @@ def freeze_runs(scores: DataFrame, panel: DataFrame, root: str, runs: Mapping[st
                 "run_id": run, "stamp": stamp, "score_period": period, "attempt": attempt, "digest": whole["digest"], "n_rows": whole["n_rows"],
                 "edition_digest": own[run]["digest"] if run in own else None, "edition_rows": own[run]["n_rows"] if run in own else 0, "weights": dict(weights)})
         except commits.AlreadyCommitted:
-            raise RunExists(run) from None
+            raise RunExists(f"already exists: {run}") from None
         done.append(run)
     return done
 
