@@ -5,29 +5,33 @@ recurrent units read every run in both directions, and a softmax over their stat
 document's probabilities are the normalised geometric mean over all its bytes. As a run's labels do
 not depend on the rest of the text, they are kept for the next occurrence, so the cost follows the distinct runs.
 
-Training, by backpropagation through time on the driver: about DOCS_PER_LANGUAGE documents a language chosen by the hash
-of their id, of the languages given to most training rows (LANGUAGES at most); the executors count their runs, and the
-RUNS_PER_LANGUAGE most frequent ones with their counts are the training set. All limits hold at every size.
+Training, by backpropagation through time on the driver, learns every language of the training rows. Its labelled sample is bounded:
+about DOCS_PER_LANGUAGE documents a language, chosen by the hash of their id, or fewer (at least LEAST_DOCS) where more than LANGUAGES
+languages share LANGUAGES * DOCS_PER_LANGUAGE documents; the executors count their runs, and the RUNS_PER_LANGUAGE most frequent ones
+(or fewer, likewise) with their counts are the training set. All limits hold at every size. A letter is what Unicode calls one
+(categories L*): digits, superscripts, fractions and number letters are none.
 
 Defined cases: null text and texts without a letter are `und` with score 0, and so is everything if there
 is no training row; repeated rows are predicted alike; an empty table gives an empty result.
 """
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LANGUAGES, DOCS_PER_LANGUAGE, RUNS_PER_LANGUAGE = 64, 600, 8_000
+from paneltide.scale import small_side
+
+LANGUAGES, DOCS_PER_LANGUAGE, RUNS_PER_LANGUAGE, LEAST_DOCS, LEAST_RUNS = 64, 600, 8_000, 40, 200
 SEGMENT, HIDDEN, STEPS, BATCH, RATE = 32, 16, 900, 256, 0.01
 RUNS_KEPT = 300_000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 _TO = bytearray(range(256))
 for _b in range(128):
     _TO[_b] = _b if 97 <= _b <= 122 else _b + 32 if 65 <= _b <= 90 else 32
@@ -126,14 +130,22 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
+def shares(languages: int) -> tuple[int, int]:
+    """Documents and runs that each of so many languages may give to the training sample."""
+    part = min(1.0, LANGUAGES / languages)
+    return max(LEAST_DOCS, int(DOCS_PER_LANGUAGE * part)), max(LEAST_RUNS, int(RUNS_PER_LANGUAGE * part))
+
+
 def train(docs: DataFrame, held_out: int = 2, steps: int = STEPS) -> Network | None:
     """Fit on labelled rows outside the held-out fold; None if there are none."""
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != held_out))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = rows.groupBy("lang").agg(F.count("*").alias("_n"))
+    found = counts.count()
+    if not found:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS_PER_LANGUAGE / n))])
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    docs_each, runs_each = shares(found)
+    chance = F.least(F.lit(1.0), F.lit(float(docs_each)) / F.col("_n"))
+    some = rows.join(small_side(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < chance * (1 << 30))
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -142,7 +154,7 @@ def train(docs: DataFrame, held_out: int = 2, steps: int = STEPS) -> Network | N
 
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "run")
     kept = some.select("lang", "text").mapInPandas(count, "lang string, run binary, n long").groupBy("lang", "run").agg(
-        F.sum("n").alias("n")).withColumn("at", F.row_number().over(best)).where(F.col("at") <= RUNS_PER_LANGUAGE).collect()
+        F.sum("n").alias("n")).withColumn("at", F.row_number().over(best)).where(F.col("at") <= runs_each).collect()
     languages = sorted({r["lang"] for r in kept})
     if not languages:
         return None
@@ -163,12 +175,14 @@ class Labeller:
 
     def __init__(self, network: Network):
         self.network, self.rows = network, {}
-        self.sums = np.zeros((RUNS_KEPT, len(network.languages)), np.float32)
+        part = min(1.0, LANGUAGES / len(network.languages))  # tables are as large with many languages as with LANGUAGES
+        self.kept, self.at_once = int(RUNS_KEPT * part), max(1, int(4096 * part))
+        self.sums = np.zeros((self.kept, len(network.languages)), np.float32)
 
     def label(self, texts: list[list[bytes]]) -> None:
         """Make sure that the runs of the texts are kept."""
         new = sorted({r for t in texts for r in t} - self.rows.keys(), key=lambda r: (len(r), r))
-        if len(self.rows) + len(new) > RUNS_KEPT:
+        if len(self.rows) + len(new) > len(self.sums):
             self.rows.clear()
             new = sorted({r for t in texts for r in t}, key=lambda r: (len(r), r))
         if len(new) > len(self.sums):
@@ -176,7 +190,7 @@ class Labeller:
         at = 0
         while at < len(new):
             end = at + 1
-            while end < len(new) and end - at < 4096 and len(new[end]) == len(new[at]):
+            while end < len(new) and end - at < self.at_once and len(new[end]) == len(new[at]):
                 end += 1
             x = np.frombuffer(b"".join(new[at:end]), np.uint8).reshape(end - at, len(new[at]))
             first = len(self.rows)
