@@ -21,12 +21,13 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import base64
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,11 +96,23 @@ class Encoder:
         return ids
 
 
+def narrowed(ids: bytes) -> bytes:
+    """16-bit ids if all fit: half the bytes to write and to exchange."""
+    values = np.frombuffer(ids, "<u4")
+    return values.astype("<u2").tobytes() if values.max(initial=0) < 1 << 16 else ids
+
+
+def widened(ids: Column, length: Column) -> Column:
+    """Ids as `pieces` gives them, back as 32-bit integers; hexadecimal digits, so that ids stay out of Python."""
+    return F.when(F.octet_length(ids) == 2 * length, F.unhex(F.regexp_replace(F.hex(ids), "(....)", "$10000"))).otherwise(ids)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, ranks: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit)."""
+    """doc_id, piece, start, length, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), ids (binary, little-endian
+    unsigned: 16-bit if all ids of the piece fit, else 32-bit; the number of bytes tells)."""
     narrow = docs.select("doc_id", "text")
     schema = T.StructType([narrow.schema["doc_id"], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
-                           T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+                           T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("ids", T.BinaryType())])
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +124,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
                 n = len(ids) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    for c, value in zip(schema.names, (doc_id, i, a, b - a, ids[4 * a:4 * b])):
+                    piece = ids[4 * a:4 * b]
+                    for c, value in zip(schema.names, (doc_id, i, a, b - a, zlib.crc32(piece), narrowed(piece))):
                         out[c].append(value)
             frame = pd.DataFrame(out)
             frame["doc_id"] = pd.array(out["doc_id"], dtype=part["doc_id"].dtype)
@@ -253,7 +267,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
     histogram = {int(r["length"]): int(r["n"]) for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(solve(histogram, capacity))
     rows = sum(histogram.values())
-    ranked = numbered(cut.withColumns({"_ids": F.xxhash64("ids"), "ids_crc32": F.crc32("ids")}), ["length"], ["doc_id", "piece", "_ids"], "_nth", rows).drop("_ids")
+    ranked = numbered(cut.withColumn("_ids", F.xxhash64("ids")), ["length"], ["doc_id", "piece", "_ids"], "_nth", rows).drop("_ids")
 
     @F.pandas_udf("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pd.Series, nth: pd.Series) -> pd.DataFrame:
@@ -269,4 +283,4 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, r
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 
     out = ranked.withColumn("_at", place("length", "_nth"))
-    return out.select("doc_id", "piece", "start", "length", "ids", "ids_crc32", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return out.select("doc_id", "piece", "start", "length", widened(F.col("ids"), F.col("length")).alias("ids"), "ids_crc32", F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paneltide.llm import (
@@ -197,6 +198,15 @@ def test_packing(docs, texts, odd, none):
     assert packing.packed(odd).count() == 6 and packing.packed(none).count() == 0
 
 
+def test_packed_ids_of_both_widths(spark):
+    for ids in ([0, 1, 65535, 257], [0, 65536, 7], []):
+        plain = np.array(ids, "<u4").tobytes()
+        kept = packing.narrowed(plain)
+        assert len(kept) == (4 if max(ids, default=0) > 65535 else 2) * len(ids)
+        row = spark.createDataFrame([(bytearray(kept), len(ids))], "ids binary, n long").select(packing.widened(F.col("ids"), F.col("n")).alias("ids")).first()
+        assert bytes(row["ids"]) == plain
+
+
 def test_packing_solver_is_near_the_bound():
     rng = np.random.default_rng(0)
     histogram = collections.Counter(np.minimum(2048, rng.lognormal(6, 1, 20000).astype(int) + 1).tolist())
@@ -360,16 +370,27 @@ def test_language(spark, odd, none):
     rng = random.Random(3)
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["str", "ung", "ein"], "cc": ["é", "eau", "oi"]}
     rows = [(i, " ".join("".join(rng.choice(syllables[k]) for _ in range(3)) for _ in range(40)), k) for i in range(240) for k in [rng.choice(list(syllables))]]
-    rows = [(i, t, k if i % 9 else None) for i, t, k in rows] + [(500, None, "aa"), (501, "12 34 !", "bb"), (502, "", None)]
+    rows = [(i, t, k if i % 9 else None) for i, t, k in rows] + [(500, None, "aa"), (501, "12 34 !", "bb"), (502, "", None), (503, "x² ½ Ⅳ ٣"[1:], "aa")]
     got = {r["doc_id"]: r for r in language_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     held = [i for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sorted(i for i in got if got[i]["held_out"]) == sorted(held)
     scored = [(got[i]["lang_pred"], k) for i, t, k in rows[:240] if k and i in held]
     assert sum(a == b for a, b in scored) >= 0.95 * len(scored) and all(0 <= r["score"] <= 1 for r in got.values())
-    assert all(got[i]["lang_pred"] == "und" for i in (500, 501, 502))
+    assert all(got[i]["lang_pred"] == "und" for i in (500, 501, 502, 503))
     assert language_id.predicted(odd).count() == 6 and language_id.predicted(none).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than the sample has full shares for: each gives less, none is dropped."""
+    assert language_id.shares(10) == (600, 8000) and language_id.shares(640) == (60, 800) and language_id.shares(10 ** 6) == (40, 200)
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("kmns") + "aeiou"[i % 5] for _ in range(30)), f"l{i % 5}") for i in range(300)]
+    got = language_id.predicted(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in got} == {f"l{k}" for k in range(5)}
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 5}" for r in got) >= 290
+
+
 def test_gradients_agree_with_differences():
     network = language_id.Network(["a", "b", "c"])
     network.p = {k: v.astype(np.float64) for k, v in network.p.items()}
