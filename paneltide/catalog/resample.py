@@ -256,6 +256,26 @@ def variant_prong_a(t):
     return rounded_all(v, ["tau_variant", "tau_current", "gap", "gap_lo", "gap_hi"])
 
 
+PAIR_SQL = f"""(SELECT corr(a,b)>=0.80 FROM (SELECT {_avg_rank('x.score', '1')} AS a, {_avg_rank('y.score', '1')} AS b FROM (SELECT entity, period, {VARIANT['variant']} AS score FROM both2) x
+  JOIN (SELECT entity, period, {VARIANT['variant']} AS score FROM both2) y ON y.entity=x.entity AND y.period=x.period+1 WHERE y.period=(SELECT max(period) FROM both2)))"""
+REPLACES = "(WITH " + VAR_SQL + ",\n" + frame_sql(VARIANT, "both2") + ",\n" + drawn_sql("frame", GATE_B) + ",\n" + boot_sql() + ",\n" + gaps_sql("(SELECT * FROM point WHERE strategy='current')") \
+    + f"\nSELECT gap_hi<0 AND {PAIR_SQL} FROM gaps WHERE strategy='variant')"
+
+
+@query("replacement_verdict", with_parts(f"SELECT CASE WHEN {REPLACES} THEN 'replace:variant' ELSE coalesce((SELECT 'add:'||min(candidate) FROM (SELECT candidate FROM gate GROUP BY candidate HAVING bool_and(adopt))), 'reject all') END AS verdict",
+                                         "usable", extra=GATE), stage=True)
+def replacement_verdict(t):
+    """The replacement comes from its own two gates: reliably better windows, and its last two editions agree."""
+    weights = {f"v_{k}": w for k, w in MODEL.weights.items()}
+    norms = both_norms(t)
+    point, reps = rs_.bootstrap(frame(t, {"current": composite(MODEL.weights), "variant": composite(weights)}, norms), GATE_B, bound=t.bound)
+    better = gates.variant_verdict(rs_.paired_gaps(point, reps, "current"), "variant", "better")
+    scores = norms.select("entity", "period", composite(weights).alias("score"))
+    last = scores.agg(F.max("period")).scalar()
+    stable = gates.edition_stability(scores.filter(F.col("period") == last - 1), scores.filter(F.col("period") == last), bound=t.bound)
+    return gates.conjunctive_verdict(gate(t), sorted(CANDS), gates.replacement(better, stable, "variant"))
+
+
 @query("edition_stability", with_parts(f"SELECT count(*) AS n, {r('corr(a,b)', 'rho')}, corr(a,b)>=0.80 AS pass FROM (SELECT {_avg_rank('x.score', '1')} AS a, {_avg_rank('y.score', '1')} AS b FROM (SELECT * FROM scored WHERE period=1999) x JOIN (SELECT * FROM scored WHERE period=2000) y USING (entity))", "scored"), stage=True)
 def edition_stability(t):
     return rounded_all(gates.edition_stability(t.scored.filter("period = 1999"), t.scored.filter("period = 2000"), bound=t.bound), ["rho"])

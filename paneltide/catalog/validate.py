@@ -200,6 +200,26 @@ def valuation_rankings(t):
     return shown(evaluated(t, ranking))
 
 
+APPRECIATION = {"low_valuation": ("price_to_rent", -1), "high_yield": ("gross_yield", 1), "price_momentum": ("appreciation", 1)}
+APPR_SQL = f"""outcome AS (SELECT h.horizon, a.entity, a.period, b.home_value/a.home_value-1 AS realized FROM panel a
+  CROSS JOIN (VALUES (1),(2),(3)) h(horizon) JOIN panel b ON b.entity=a.entity AND b.period=a.period+h.horizon WHERE a.home_value>0),
+vm AS (SELECT p.entity, p.period, p.home_value/nullif(p.rent*12,0) AS price_to_rent, p.rent*12/nullif(p.home_value,0) AS gross_yield, p.home_value/nullif(q.home_value,0)-1 AS appreciation
+  FROM panel p LEFT JOIN panel q ON q.entity=p.entity AND q.period=p.period-1),
+val AS (SELECT entity, period, {', '.join(f"{z_sql(c, s, 'period', True)} AS {n}" for n, (c, s) in APPRECIATION.items())} FROM vm),
+{strategies_sql({n: n for n in APPRECIATION}, 'val', 'r0')},
+{strategies_sql(FULL, name='r1')},
+ranked AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1),
+{WF}, {metrics_sql('wf', G)}"""
+
+
+@query("appreciation_rankings", with_parts(metrics_select(), "usable", "panel", extra=APPR_SQL), stage=True)
+def appreciation_rankings(t):
+    """Valuation, yield, price momentum and the model as predictors of what prices do next."""
+    v = t.panel.select("entity", "period", *[c.alias(n) for n, c in valuation_measures().items()])
+    ranking = rk.standardised(v, APPRECIATION, t.bound).unionByName(rk.strategies(t.norm, rk.full_model(MODEL)))
+    return shown(evaluated(t, ranking, value="home_value"))
+
+
 @query("precision_several_k", with_parts(f"SELECT strategy, horizon, k, coalesce(period,'POOLED') AS period, {r('avg(precision)', 'precision')} FROM per GROUP BY GROUPING SETS ((strategy,horizon,k,period),(strategy,horizon,k))", "usable", "outcome", extra=strategies_sql(FULL) + ",\n" + WF + """,
 lim AS (SELECT strategy, horizon, period, quantile_cont(realized,0.01) AS lo, quantile_cont(realized,0.99) AS hi FROM wf GROUP BY ALL HAVING count(*)>=10),
 c AS (SELECT w.* EXCLUDE (realized), least(greatest(realized,lo),hi) AS realized FROM wf w JOIN lim USING (strategy, horizon, period)),

@@ -102,6 +102,12 @@ def conjunctive_verdict(gates: DataFrame, order: Sequence[str], replacement: Dat
         .otherwise(F.lit("reject all")).alias("verdict"))
 
 
+def replacement(better: DataFrame, stable: DataFrame, name: str) -> DataFrame:
+    """One row (name, pass): a replacement must pass both of its gates; a gate without a row or a verdict fails."""
+    both = better.agg(F.bool_and("pass").alias("_a")).withColumn("_b", stable.agg(F.bool_and("pass")).scalar())
+    return both.select(F.lit(name).alias("name"), F.coalesce(F.col("_a") & F.col("_b"), F.lit(False)).alias("pass"))
+
+
 def coverage_kill(df: DataFrame, measures: Sequence[str], floor: int, periods: DataFrame | None = None) -> DataFrame:
     """A measure fails when any period that has data covers fewer than ``floor`` entities."""
     held = df if periods is None else df.join(periods, "period", "left_semi")

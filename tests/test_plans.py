@@ -164,6 +164,14 @@ def test_verdict_precedence(spark):
     assert gates.conjunctive_verdict(g.filter("candidate = 'a'"), ["a"], rep(False)).first().verdict == "reject all"
 
 
+def test_a_replacement_must_pass_both_gates(spark):
+    def one(*passes):
+        return spark.createDataFrame([(p,) for p in passes], "pass boolean")
+    cases = [(one(True), one(True), True), (one(True), one(False), False), (one(False), one(True), False), (one(), one(True), False), (one(None), one(True), False), (one(True), one(), False)]
+    for better, stable, wanted in cases:
+        assert gates.replacement(better, stable, "v").collect() == [("v", wanted)]
+
+
 def test_interim_outcomes_are_clipped_before_the_join(spark):
     values = [float(e) for e in range(39)] + [1e6]
     outcome = spark.createDataFrame([("h1", e, 2000, v) for e, v in enumerate(values)], "read string, entity int, period int, realized double")
