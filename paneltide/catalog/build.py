@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneltide.catalog.base import MEASURES, query, r, rounded, rounded_all, rs, with_parts
+from paneltide.catalog.base import MEASURES, WIDE, query, r, rounded, rounded_all, rs, with_parts
 from paneltide.functions.scalar import annuity_payment, interval_name, present_count, present_mean, primary_state, ratio
 from paneltide.operators import clean, growth, match, reshape, rollup
 from paneltide.operators.order import latest_per_group
@@ -391,6 +391,11 @@ def as_of_up_to_cut(t):
     return rounded_all(match.as_of(_cuts(t), t.customer_panel, "rent", inclusive=True), ["rent"])
 
 
+@query("as_of_split", with_parts(f"SELECT entity, cut, {r('x', 'rent')} FROM ({AS_OF.format(op='')})", "customer_panel"))
+def as_of_split(t):
+    return rounded_all(match.as_of(_cuts(t), t.customer_panel, "rent", bound=WIDE), ["rent"])
+
+
 @query("latest_before_one_cut", with_parts(f"SELECT entity, {r('arg_max(rent, period)', 'rent')} FROM customer_panel WHERE period<1998 GROUP BY entity", "customer_panel"))
 def latest_before_one_cut(t):
     return rounded_all(match.latest_before(t.customer_panel, 1998, "rent"), ["rent"])
@@ -662,6 +667,11 @@ def filled_from_neighbours(t):
     return _sparse(t).select("entity", "period", rounded(growth.filled_from_neighbours("x")).alias("x"))
 
 
+@query("filled_split", with_parts(f"""SELECT entity, period, {r('coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(x IGNORE NULLS) OVER (PARTITION BY entity ORDER BY period ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'x')} FROM sp""", "customer_panel", extra=SPARSE))
+def filled_split(t):
+    return growth.filled(_sparse(t), "x", "y", bound=WIDE).select("entity", "period", rounded("y").alias("x"))
+
+
 @query("growth_backcast", with_parts(f"""SELECT o.entity, o.period, {r('CASE WHEN c=1998-o.period+1 THEN a.rent*o.home_value/nullif(b.home_value,0) END', 'rent')} FROM (SELECT *, count(*) FILTER (home_value<>0) OVER (PARTITION BY entity ORDER BY period DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM customer_panel WHERE period<=1998) o
   JOIN (SELECT * FROM customer_panel WHERE period=1998) a USING (entity) JOIN (SELECT * FROM customer_panel WHERE period=1998) b USING (entity) WHERE o.period<1998""", "customer_panel"))
 def growth_backcast(t):

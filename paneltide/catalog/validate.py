@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paneltide.catalog.base import (
-    HORIZONS, MODEL, REGIMES, WF, comp_sql, metrics_select, metrics_sql, query, r, regime_sql, rounded, rounded_all, rs,
+    HORIZONS, MODEL, REGIMES, WF, WIDE, comp_sql, metrics_select, metrics_sql, query, r, regime_sql, rounded, rounded_all, rs,
     strategies_sql, summary_sql, tau_sql, with_parts, z_sql)
 from paneltide.functions.scalar import interval_name
 from paneltide.operators import order, stats
@@ -15,7 +15,6 @@ from paneltide.plans import walkforward as wf
 from paneltide.plans.scoring import valuation_measures
 
 M3 = ["weighted_tau", "precision_at_k", "edge_pp"]
-WIDE = 1 << 40  # a declared bound that makes an operator take its split plan
 
 
 def periods(t):

@@ -139,18 +139,27 @@ def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     return counted.select(*[c for c in counted.columns if c not in helpers])
 
 
-def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The same terms with each block cut into stretches of y.
+def _stretches(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Cells (block, stretch, y, digit) with their sums; no stretch has more cells than a task may hold.
+
+    Summing to cells first keeps tied outcomes from piling up. Which blocks are cut is told by their
+    measured rows: a long tie run of the score fills a block of any width.
+    """
+    step = max(1, task_row_limit(rows.sparkSession) // RADIX)  # a stretch has one cell at most for each y and digit
+    block = [*group, "_level", "_block"]
+    long = small_side(rows.groupBy(*block).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > step))
+    return (join_groups(rows, long, block, "left")
+            .withColumn("_stretch", F.when(F.col("_size") > step, F.floor(F.col("_dy") / step)).otherwise(0).cast("int"))
+            .groupBy(*block, "_stretch", "_dy", "_digit").agg(F.sum("_m").alias("_m"), F.sum("_wt").alias("_wt")))
+
 
-    Rows are first summed to (block, y, digit), so tied outcomes cannot pile up, then summed per
-    stretch; running sums inside a stretch start from those of the earlier stretches.
+def _balance_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The same terms with each long block cut into stretches of y; running sums inside a stretch start from
+    those of the earlier stretches.
     """
-    step = max(1, task_row_limit(rows.sparkSession))
     block = [*group, "_level", "_block"]
     key = [*block, "_stretch"]
-    size = F.pow(F.lit(float(RADIX)), F.col("_level") + 1)
-    cells = (rows.withColumn("_stretch", F.when(size > step, F.floor(F.col("_dy") / step)).otherwise(0).cast("int"))
-             .groupBy(*key, "_dy", "_digit").agg(F.sum("_m").alias("_m"), F.sum("_wt").alias("_wt")))
+    cells = _stretches(rows, group)
     names = [f"_{out}{d}" for out in "cv" for d in DIGITS]
     per_stretch = cells.groupBy(*key).agg(*[F.expr(
         f"coalesce(sum(CASE WHEN _digit = {n[2:]} THEN {'_m' if n[1] == 'c' else '_wt'} END), 0) AS {n}") for n in names])

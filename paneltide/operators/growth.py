@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import col, ratio
+from paneltide.operators.order import carry_last
 
 
 def history(entity: str = "entity", period: str = "period"):
@@ -64,6 +65,16 @@ def carried(value: str, upto: int = -1, entity: str = "entity", period: str = "p
     return F.last(value, ignorenulls=True).over(frame)
 
 
+def filled(df: DataFrame, value: str, out: str, entity: str = "entity", period: str = "period",
+           bound: int | None = None) -> DataFrame:
+    """Forward fill, then backward fill, of lines of any length (numeric periods)."""
+    turned = "_back"
+    ahead = carry_last(df, [entity], [period, value], value, out, bound)
+    line = ahead.withColumn(turned, -F.col(period))
+    return carry_last(line, [entity], [turned, value], value, "_later", bound).withColumn(
+        out, F.coalesce(out, "_later")).drop(turned, "_later")
+
+
 def filled_from_neighbours(value: str, entity: str = "entity", period: str = "period") -> Column:
     """Forward fill, then backward fill, per entity."""
     rows = history(entity, period)

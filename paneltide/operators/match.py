@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import title_places
-from paneltide.operators.order import top_k
+from paneltide.operators.order import carry_last, top_k
 from paneltide.scale import small_side
 
 
@@ -34,11 +34,12 @@ def latest_before(facts: DataFrame, cut: int, value: str, entity: str = "entity"
 
 
 def as_of(cuts: DataFrame, facts: DataFrame, value: str, entity: str = "entity", cut: str = "cut",
-          period: str = "period", inclusive: bool = False) -> DataFrame:
+          period: str = "period", inclusive: bool = False, bound: int | None = None) -> DataFrame:
     """Latest non-NULL value for every (entity, cut): facts and cuts interleaved on one time line.
 
     No range join: both sides are stacked, ordered by time within the entity, and the last fact is
-    carried onto each cut. A cut sorts before equal-time facts unless ``inclusive``.
+    carried onto each cut; a long line is carried slice by slice. A cut sorts before equal-time facts
+    unless ``inclusive``; of several facts of one time the largest value counts. ``bound``: rows a line holds at most.
     """
     side = F.lit(1 if inclusive else 0)
     asks = cuts.select(entity, F.col(cut).alias("_t"), (side * 2).alias("_side"), F.lit(None).cast(facts.schema[value].dataType).alias("_v"),
@@ -46,9 +47,8 @@ def as_of(cuts: DataFrame, facts: DataFrame, value: str, entity: str = "entity",
     have = facts.filter(F.col(value).isNotNull()).select(
         entity, F.col(period).alias("_t"), F.lit(1).alias("_side"), F.col(value).alias("_v"),
         F.lit(False).alias("_ask"))
-    line = Window.partitionBy(entity).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return (asks.unionByName(have).withColumn(value, F.last("_v", ignorenulls=True).over(line))
-            .filter("_ask").select(entity, F.col("_t").alias(cut), value))
+    line = carry_last(asks.unionByName(have), [entity], ["_t", "_side", "_v"], "_v", value, bound)
+    return line.filter("_ask").select(entity, F.col("_t").alias(cut), value)
 
 
 def match_any_place(titles: DataFrame, places: DataFrame, entity: str, title: str, place: str, city: str,

@@ -4,16 +4,19 @@ Every operator has two plans with equal results (see ``scale``). The split plan
 the rows on (group, order, row hash), fixes that placement in a written table, ranks
 inside each (partition, group) slice and adds the rows of the earlier slices of the same group.
 Ties that straddle slices are repaired from the first and last tie run of each slice, at most two
-runs per slice, so no task ever holds a whole group.
+runs per slice, so no task ever holds a whole group. Carries take the last value of the earlier
+slices in the same way. Quantiles of large groups are selected between brackets instead, without
+placing or sorting the rows.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paneltide.scale import is_wide, join_groups, small_side, staged
+from paneltide.scale import is_wide, join_groups, small_side, staged, task_row_limit
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
@@ -23,15 +26,24 @@ def _sort_key(value: str, descending: bool) -> Column:
     return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
 
+#: Quantile brackets: half width and error of the sketch, as shares of the rows of a group.
+BRACKET, SKETCH_ERROR = 0.001, 0.0001
+
+
+def _placed(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows in written slices of (group, order, row hash), none longer than a task may hold: adds ``_part`` and ``_salt``."""
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / task_row_limit(spark)))
+    salted = df.withColumn("_salt", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    return staged(
+        salted.repartitionByRange(parts, *[F.col(g) for g in group], *order, F.col("_salt"))
+        .withColumn("_part", F.spark_partition_id()))
+
+
 def _split_scan(df: DataFrame, group: Sequence[str], order: Sequence[Column],
                 weight: Column | None = None) -> DataFrame:
     """Adds ``_part`` plus 1-based ``_pos`` and ``_before`` (weight of all earlier rows)."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted = df.withColumn("_salt", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])).withColumn(
-        "_w", F.lit(1.0) if weight is None else weight.cast("double"))
-    placed = staged(
-        salted.repartitionByRange(parts, *[F.col(g) for g in group], *order, F.col("_salt"))
-        .withColumn("_part", F.spark_partition_id()))
+    placed = _placed(df.withColumn("_w", F.lit(1.0) if weight is None else weight.cast("double")), group, order)
     slices = placed.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_w").alias("_sum"))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(*ALL_BEFORE)
     offsets = small_side(slices.select(
@@ -119,24 +131,74 @@ def add_ranks(df: DataFrame, group: Sequence[str], value: str, *, low: str | Non
     return ranked.withColumns(out).drop("_first", "_ties", "_n")
 
 
-def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float],
-              bound: int | None = None) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row per group, one column per name."""
+def carry_last(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str,
+               bound: int | None = None) -> DataFrame:
+    """Last non-NULL ``value`` of the group up to and including each row, in ascending order of the named columns.
+
+    The split plan carries inside slices and starts every slice from the last value of the earlier ones.
+    Rows equal in the order must be equal in ``value`` too, or their order is open.
+    """
+    steps = [F.col(c) for c in order]
     if not is_wide(df, group, bound):
-        return df.groupBy(*group).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+        line = Window.partitionBy(*group).orderBy(*steps).rowsBetween(*UP_TO_HERE)
+        return df.withColumn(out, F.last(value, ignorenulls=True).over(line))
+    placed = _placed(df, group, steps)
+    ends = placed.groupBy("_part", *group).agg(F.max(F.when(F.col(value).isNotNull(), F.struct(*steps, F.col(value).alias("_kept")))).alias("_end"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(*ALL_BEFORE)
+    carried = small_side(ends.select("_part", *group, F.last("_end._kept", ignorenulls=True).over(earlier).alias("_carried")))
+    line = Window.partitionBy("_part", *group).orderBy(*steps, "_salt").rowsBetween(*UP_TO_HERE)
+    local = placed.withColumn(out, F.last(value, ignorenulls=True).over(line))
+    return (join_groups(local, carried, ["_part", *group]).withColumn(out, F.coalesce(out, "_carried"))
+            .drop("_part", "_salt", "_carried"))
+
+
+def _selected(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of large groups in two reads and no sort of the rows.
+
+    A mergeable sketch brackets each wanted rank between two values of the group. The second read counts: inside a
+    bracket per distinct value, outside per gap between brackets. Running sums over those cells find the ranks. A bracket
+    holds about 2 * BRACKET of a group, and its error is a tenth of that; groups too small for brackets are counted value by value.
+    """
     present = df.select(*group, value).filter(F.col(value).isNotNull())
-    sizes = small_side(present.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")))
-    scan = join_groups(_split_scan(present, group, [F.col(value).asc()]), sizes, list(group))
-    picks, cols = F.lit(False), []
+    levels = sorted(set(probs.values()))
+    ends = [(max(p - BRACKET, 0.0), min(p + BRACKET, 1.0)) for p in levels]
+    sketch = lambda at: F.percentile_approx(value, F.array(*[F.lit(e) for e in at]), round(1 / SKETCH_ERROR))
+    # one sketch for all ends: lows first, then highs; an end at 0 or 1 is open, ranks beyond it do not exist
+    found = df.groupBy(*group).agg(F.count(value).alias("_n"), sketch([*(e[0] for e in ends), *(e[1] for e in ends)]).alias("_at"))
+    brackets = small_side(found)
+    k = len(levels)
+    small = F.col("_n") * F.lit(BRACKET) <= 4
+    ahead = [~small & (F.col(value) < F.col("_at")[i]) if ends[i][0] > 0 else F.lit(False) for i in range(k)]
+    inside = small
+    for i in range(k):
+        past = F.col(value) > F.col("_at")[k + i] if ends[i][1] < 1 else F.lit(False)
+        inside = inside | ~(ahead[i] | past)
+    gap = sum((F.when(a, 0).otherwise(1) for a in ahead), F.lit(0))
+    cells = staged(join_groups(present, brackets, list(group)).groupBy(*group, gap.alias("_gap"), F.when(inside, F.col(value)).alias("_held"))
+                   .agg(F.count(F.lit(1)).alias("_rows")), "cells")
+    placed = add_prefix_sum(cells, group, [F.col("_gap"), F.col("_held").asc_nulls_last()], F.col("_rows"), "_before")
+    sizes = small_side(cells.groupBy(*group).agg(F.sum("_rows").alias("_n")))
+    placed = join_groups(placed, sizes, list(group))
+    cols = []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * F.lit(float(p))
-        below, above = F.floor(at) + 1, F.ceil(at) + 1
-        picks = picks | (F.col("_pos") == below) | (F.col("_pos") == above)
-        low = F.max(F.when(F.col("_pos") == below, F.col(value)))
-        high = F.max(F.when(F.col("_pos") == above, F.col(value)))
+        holds = lambda rank: (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_rows"))
+        held = F.coalesce("_held", F.raise_error(F.lit("a rank fell outside its bracket")).cast("double"))
+        low, high = (F.max(F.when(holds(rank + 1), held)) for rank in (F.floor(at), F.ceil(at)))
         share = F.max(at - F.floor(at))
         cols.append(F.when(share == 0, low).otherwise((F.lit(1.0) - share) * low + share * high).alias(name))
-    return scan.filter(picks).groupBy(*group).agg(*cols)
+    return join_groups(brackets.select(*group), placed.groupBy(*group).agg(*cols), list(group), "left")
+
+
+def quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float],
+              bound: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles: one row per group, one column per name.
+
+    Groups of more rows than a task may hold are selected between brackets. A group without values gives NULL in both plans.
+    """
+    if not is_wide(df, group, bound):
+        return df.groupBy(*group).agg(*[F.percentile(value, F.lit(p)).alias(n) for n, p in probs.items()])
+    return _selected(df, group, value, probs)
 
 
 def with_quantiles(df: DataFrame, group: Sequence[str], value: str, probs: Mapping[str, float],

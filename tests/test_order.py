@@ -7,8 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from paneltide.operators import order
+from paneltide.operators import concordance, growth, match, order
 from paneltide.operators.concordance import weighted_tau
+from paneltide.scale import largest_group
 
 
 def _frame(spark, n=60, groups=3, seed=5, hot=0.4):
@@ -111,3 +112,52 @@ def test_constant_side_is_null_in_both_plans(spark, n):
     for bound in (1, 10 ** 9):
         got = weighted_tau(rows, ["g"], "score", "outcome", "id", bound=bound).collect()
         assert len(got) == 1 and got[0][-1] is None
+
+
+def test_quantiles_between_brackets_equal_brute_force(spark):
+    """Groups beyond the size of the brackets: ties, a geometric spread, few rows, no values at all, a NULL key."""
+    rng = np.random.default_rng(3)
+    frames = {1: rng.normal(size=30_000), 2: np.round(rng.normal(size=20_000), 1), 3: 10.0 ** rng.integers(-200, 200, 9_000),
+              4: np.full(6_000, 2.5), 5: np.array([3.0, 1.0])}
+    pdf = pd.concat([pd.DataFrame({"g": g, "v": v}) for g, v in frames.items()])
+    df = spark.createDataFrame(pdf, "g int, v double").unionByName(spark.sql("SELECT 6 AS g, cast(null AS double) AS v")).withColumn(
+        "g", F.when(F.col("g") != 2, F.col("g")))
+    probs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.5004, "e": 0.999, "f": 1.0}
+    got = {r.g: r for r in order.quantiles(df, ["g"], "v", probs, bound=1 << 40).collect()}
+    assert set(got) == {1, None, 3, 4, 5, 6} and all(got[6][n] is None for n in probs)
+    for g, v in frames.items():
+        for name, p in probs.items():
+            assert got[None if g == 2 else g][name] == pytest.approx(float(np.quantile(v, p)), rel=1e-12), (g, name)
+    plan = order._selected(df, ["g"], "v", probs)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
+def test_lines_are_carried_across_slices(spark, split_plans):
+    """One entity with most of the facts; NULL values, a NULL key, ties of cut and fact, cuts before the first fact."""
+    rng = random.Random(8)
+    facts = [(None if e == 2 else e, t, None if rng.random() < 0.4 else float(rng.randrange(1000))) for e, n in ((1, 300), (2, 40), (3, 3)) for t in range(5, 5 + n)]
+    cuts = sorted({(e, rng.randrange(0, 310)) for e in (1, 3, 4) for _ in range(60)})
+    df = spark.createDataFrame(facts, "entity int, period int, x double")
+    asks = spark.createDataFrame(cuts, "entity int, cut int")
+    for inclusive in (False, True):
+        got = {(r.entity, r.cut): r.x for r in match.as_of(asks, df, "x", inclusive=inclusive).collect()}
+        assert len(got) == len(cuts)
+        for e, c in cuts:
+            known = [(t, x) for k, t, x in facts if k == e and x is not None and (t <= c if inclusive else t < c)]
+            assert got[(e, c)] == (max(known)[1] if known else None)
+    wide = sorted(map(str, growth.filled(df, "x", "y").select("entity", "period", "y").collect()))
+    assert wide == sorted(map(str, df.select("entity", "period", growth.filled_from_neighbours("x").alias("y")).collect()))
+
+
+def test_a_tied_score_does_not_fill_one_window(spark):
+    """Half of the rows share one score: blocks are cut by their rows, so no stretch holds more than a task may."""
+    rows = spark.range(3000).selectExpr("1 as g", "cast(if(id % 2 = 0, 7, id) as double) as x", "cast((id * 7919) % 3001 as double) as y", "id as e")
+    spark.conf.set("spark.paneltide.maxTaskRows", "100")
+    try:
+        got = weighted_tau(rows, ["g"], "x", "y", "e").first().tau
+        named = rows.selectExpr("g", "x as _x", "y as _y", "e as _tie", "1L as _m")
+        cells = concordance._stretches(concordance._digits(concordance._codes_wide(named, ["g"]), ["g"]), ["g"])
+        assert largest_group(cells, ["g", "_level", "_block", "_stretch"]) <= 100
+    finally:
+        spark.conf.unset("spark.paneltide.maxTaskRows")
+    assert got == pytest.approx(weighted_tau(rows, ["g"], "x", "y", "e", bound=3000).first().tau, abs=1e-12)
