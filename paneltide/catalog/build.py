@@ -83,24 +83,49 @@ def _nation_year(t):
         F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 0).alias("q"))
 
 
-@query("scan_json_matrix", "WITH " + NATION_YEAR + " SELECT 'Nation '||nation AS area_name, nation::VARCHAR AS code, CASE WHEN nation%6<>0 THEN n::DOUBLE END AS n FROM ny")
-def scan_json_matrix(t):
+MATRIX = "WITH " + NATION_YEAR + " SELECT 'Nation '||nation AS area_name, nation::VARCHAR AS code, CASE WHEN nation%6<>0 THEN n::DOUBLE END AS n FROM ny"
+RECORDS = "WITH " + NATION_YEAR + " SELECT lpad((nation%5)::VARCHAR,2,'0')||lpad((nation%4)::VARCHAR,3,'0') AS area, 'Nation '||nation AS area_name, period::VARCHAR AS period, CASE WHEN nation%6<>0 THEN q END AS value FROM ny WHERE nation%4<>0"
+
+
+def _matrix(t, lines):
     # One document per year; its rows are nations, a dimension of fixed size.
     cells = F.array(F.concat(F.lit("Nation "), "nation"), F.when(S("nation") % 6 != 0, S("n").cast("string")).otherwise("N/A"), S("nation").cast("string"))
     docs = _nation_year(t).groupBy("period").agg(F.collect_list(cells).alias("rows"))
     doc = docs.select("period", F.to_json(F.concat(F.array(F.array(F.lit("NAME"), F.lit("B01"), F.lit("geo"))), "rows")).alias("value"))
-    path = land_text(t, doc, "matrix", "period")
-    got = readers.read_json_matrix(t.spark, path, ["NAME", "geo", "B01"], ["B01"])
+    if lines:
+        doc = doc.withColumn("value", F.replace("value", F.lit("],["), F.lit("],\n[")))
+    got = readers.read_json_matrix(t.spark, land_text(t, doc, "matrix", "period"), ["NAME", "geo", "B01"], ["B01"], lines)
     return got.select(S("NAME").alias("area_name"), S("geo").alias("code"), S("B01").alias("n"))
 
 
-@query("scan_json_records", "WITH " + NATION_YEAR + " SELECT lpad((nation%5)::VARCHAR,2,'0')||lpad((nation%4)::VARCHAR,3,'0') AS area, 'Nation '||nation AS area_name, period::VARCHAR AS period, CASE WHEN nation%6<>0 THEN q END AS value FROM ny WHERE nation%4<>0")
-def scan_json_records(t):
+@query("scan_json_matrix", MATRIX)
+def scan_json_matrix(t):
+    return _matrix(t, False)
+
+
+@query("scan_json_matrix_lines", MATRIX)
+def scan_json_matrix_lines(t):
+    return _matrix(t, True)
+
+
+def _records(t, lines):
     rec = F.struct(F.concat(F.lpad((S("nation") % 5).cast("string"), 2, "0"), F.lpad((S("nation") % 4).cast("string"), 3, "0")).alias("GeoFips"),
                    F.concat(F.lit("Nation "), "nation").alias("GeoName"), S("period").cast("string").alias("TimePeriod"),
                    F.when(S("nation") % 6 != 0, F.format_number("q", 0)).otherwise("(NA)").alias("DataValue"))
     docs = _nation_year(t).groupBy("period").agg(F.collect_list(rec).alias("rows")).select("period", F.to_json("rows").alias("value"))
-    return readers.read_json_records(t.spark, land_text(t, docs, "records", "period"))
+    if lines:
+        docs = docs.withColumn("value", F.replace("value", F.lit("},{"), F.lit("},\n{")))
+    return readers.read_json_records(t.spark, land_text(t, docs, "records", "period"), lines=lines)
+
+
+@query("scan_json_records", RECORDS)
+def scan_json_records(t):
+    return _records(t, False)
+
+
+@query("scan_json_records_lines", RECORDS)
+def scan_json_records_lines(t):
+    return _records(t, True)
 
 
 @query("scan_padded_tsv", "SELECT s_suppkey::VARCHAR AS \"GEOID\", s_acctbal AS \"LAT\", s_nationkey::DOUBLE AS \"LONG\" FROM supplier")
@@ -221,13 +246,10 @@ def pivot_mean(t):
     return rounded_all(reshape.pivot_mean(t.events, ["user_id"], "event_type", "value", KINDS), KINDS)
 
 
-YEARS = list(range(1995, 2002))  # the columns of the wide result
-
-
-@query("pivot_periods", with_parts("SELECT entity, " + ", ".join(r(f"max(CASE WHEN period={y} THEN rent END)", f"y{y}") for y in YEARS) + " FROM customer_panel GROUP BY entity", "customer_panel"))
+@query("pivot_periods", with_parts(f"SELECT * FROM (PIVOT (SELECT entity, 'y'||period AS p, {r('rent', 'rent')} FROM customer_panel) ON p USING max(rent) GROUP BY entity)", "customer_panel"))
 def pivot_periods(t):
-    p = reshape.pivot_first(t.customer_panel, ["entity"], "period", "rent", YEARS)
-    return p.select("entity", *[rounded(str(y)).alias(f"y{y}") for y in YEARS])
+    p = reshape.pivot_first(t.customer_panel, ["entity"], "period", "rent")
+    return p.select("entity", *[rounded(c).alias(f"y{c}") for c in p.columns[1:]])
 
 
 @query("golden_long", with_parts(" UNION ALL ".join(f"SELECT entity, period, '{c}' AS \"column\", {r(c, 'value', 3)} FROM panel" for c in MEASURES), "panel"))

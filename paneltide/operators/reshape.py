@@ -30,9 +30,14 @@ def pivot_mean(df: DataFrame, keys: Sequence[str], name: str, value: str, names:
     return df.groupBy(*keys).pivot(name, list(names)).agg(F.avg(value))
 
 
-def pivot_first(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence) -> DataFrame:
-    """Pivot of a table that is unique on (keys, name)."""
-    return df.groupBy(*keys).pivot(name, list(names)).agg(F.max(value))
+def pivot_first(df: DataFrame, keys: Sequence[str], name: str, value: str, names: Sequence | None = None) -> DataFrame:
+    """Pivot of a table that is unique on (keys, name).
+
+    Without ``names`` every name of the data is a column, in order: one more aggregation, and Spark's own limit
+    (``spark.sql.pivotMaxValues``) refuses a column that is no short list instead of dropping rows.
+    """
+    grouped = df.groupBy(*keys)
+    return (grouped.pivot(name) if names is None else grouped.pivot(name, list(names))).agg(F.max(value))
 
 
 def golden_long(panel: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

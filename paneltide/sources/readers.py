@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.scalar import area_code, text_to_double
+from paneltide.scale import small_side
 
 FILE = "_metadata.file_path"
 
@@ -50,29 +51,57 @@ def read_positional(spark: SparkSession, path: str, width: int, keys: Mapping[st
     return held.select(*[F.trim(F.col(f"_p{p}")).alias(k) for k, p in keys.items()], *total.values())
 
 
-def read_json_matrix(spark: SparkSession, path: str, columns: Sequence[str], numbers: Sequence[str]) -> DataFrame:
-    """One JSON array of arrays per file whose first row is the header.
+def _array_items(spark: SparkSession, path: str, item: str, lines: bool) -> DataFrame:
+    """file_name, start (where the scan's split begins), id, pos (rising together within a split) and ``r`` for each item of one JSON array per file.
 
-    Columns are found by header name, in any order. A response document is small by nature (one
-    table of one period); many documents are many rows of the scan.
+    ``lines``: the scan splits a file at line ends, which no JSON string can hold, so a large array is read by many
+    tasks a line at a time. A line holds one or more whole items; the brackets of the array itself and the commas between lines
+    are taken off. A line of anything else is an error. Otherwise a document is one value, whatever its layout, for responses that are small by nature.
     """
-    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.from_json("value", "array<array<string>>").alias("m"), F.col(FILE).alias("file_name"))
-    body = docs.select("file_name", F.element_at("m", 1).alias("head"),
-                       F.explode(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(1)))).alias("r")).filter(
-        F.col("r").isNotNull())
+    text = spark.read.text(path, wholetext=not lines, recursiveFileLookup=True).select(
+        F.trim("value").alias("v"), F.col(FILE).alias("file_name"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("id"))
+    if lines:
+        # an item is an object or an array of scalars: two brackets in a row are an item's and the array's own
+        opened, closed = (r"^\[\s*(?=\[)", r"(?<=\])\s*\]$") if item.startswith("array") else (r"^\[", r"\]$")
+        bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("v", r"^,\s*|\s*,$", ""), opened, ""), closed, "")
+        bare = F.when(F.col("v").rlike(r"^[\[\],\s]*$"), "").otherwise(F.trim(bare))
+        text = text.withColumn("v", bare).filter("v <> ''").withColumn("v", F.concat(F.lit("["), "v", F.lit("]")))
+    items = F.from_json("v", f"array<{item}>")
+    if lines:
+        items = F.coalesce(items, F.raise_error(F.concat(F.lit("no whole JSON items in a line of "), "file_name")).cast(f"array<{item}>"))
+    return text.select("file_name", "start", "id", F.posexplode(items).alias("pos", "r")).filter(F.col("r").isNotNull())
+
+
+def read_json_matrix(spark: SparkSession, path: str, columns: Sequence[str], numbers: Sequence[str], lines: bool = False) -> DataFrame:
+    """One JSON array of arrays per file whose first row is the header; columns are found by header name, in any order.
+
+    ``lines``: whole rows on every line (see ``_array_items``). Each file's header is then found in the split that
+    begins the file; a later row equal to the header is no data either.
+    """
+    if lines:
+        rows = _array_items(spark, path, "array<string>", True)
+        first = rows.filter("start = 0").groupBy("file_name").agg(F.min_by("r", F.struct("id", "pos")).alias("head"))
+        body = rows.select("file_name", "r").join(small_side(first), "file_name").filter("r <> head")
+    else:
+        docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+            F.from_json("value", "array<array<string>>").alias("m"), F.col(FILE).alias("file_name"))
+        body = docs.select("file_name", F.element_at("m", 1).alias("head"),
+                           F.explode(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(1)))).alias("r")).filter(
+            F.col("r").isNotNull())
     at = lambda c: F.try_element_at("r", F.array_position("head", c).cast("int"))
     picked = body.select("file_name", *[at(c).alias(c) for c in columns])
     return picked.withColumns({c: text_to_double(c) for c in numbers})
 
 
 def read_json_records(spark: SparkSession, path: str, area: str = "GeoFips", name: str = "GeoName",
-                      period: str = "TimePeriod", value: str = "DataValue") -> DataFrame:
-    """JSON records with thousands separators; whole-state rows (area code ending 000) are dropped."""
+                      period: str = "TimePeriod", value: str = "DataValue", lines: bool = False) -> DataFrame:
+    """JSON records with thousands separators; whole-state rows (area code ending 000) are dropped.
+
+    ``lines``: whole records on every line (see ``_array_items``).
+    """
     fields = ", ".join(f"`{c}`: string" for c in (area, name, period, value))
-    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.from_json("value", f"array<struct<{fields}>>").alias("m"))
-    return (docs.select(F.inline("m")).filter(F.substring(area, 3, 3) != "000")
+    return (_array_items(spark, path, f"struct<{fields}>", lines).select("r.*").filter(F.substring(area, 3, 3) != "000")
             .select(F.col(area).alias("area"), F.col(name).alias("area_name"), F.col(period).alias("period"),
                     text_to_double(value).alias("value")))
 

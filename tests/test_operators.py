@@ -1,9 +1,12 @@
 """Null, tie and gap rules of the panel operators on hand-written tables."""
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from paneltide.functions import scalar
 from paneltide.operators import clean, growth, match, reshape, rollup, stats
+from paneltide.sources import readers
 
 
 def rows(df, *keys):
@@ -159,3 +162,33 @@ def test_scalars(spark):
     import hashlib
     assert got.n == 1234.0 and got.p == pytest.approx(599.55, abs=0.01) and got.p0 == pytest.approx(100000 / 360)
     assert got.i == hashlib.sha1(b"c|e|2020|m").hexdigest()[:10] and got.bad is None and got.code == "01007"
+
+
+def test_json_arrays_are_split_at_line_ends(spark, tmp_path):
+    """One large file is read by several tasks; any number of items a line, brackets on lines of their own, escapes, other column order."""
+    n = 4000
+    rows = [[f"Place [{i}], \"x\"\n", str(i), f"{i:,}"] for i in range(n)]
+    (tmp_path / "m").mkdir()
+    big = ",\n".join(json.dumps(r) for r in [["NAME", "geo", "B01"], *rows])
+    (tmp_path / "m" / "big.json").write_text(f"[{big}]\n")
+    (tmp_path / "m" / "two.json").write_text('[\n["B01", "NAME", "geo"],\n["7", "a", "z"], ["8", "b]]", "y"]\n]\n')
+    (tmp_path / "m" / "one.json").write_text('[["geo","NAME","B01"],["q","c","N/A"]]')
+    (tmp_path / "r").mkdir()
+    fields = lambda i: {"GeoFips": "00000" if i == 3 else f"{i:05d}"[:2] + "001", "GeoName": f"[n{i}]", "TimePeriod": "2001", "DataValue": f"{i:,}"}
+    (tmp_path / "r" / "a.json").write_text("[" + ",\n".join(json.dumps(fields(i)) for i in range(n)) + "]")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = readers.read_json_matrix(spark, str(tmp_path / "m"), ["NAME", "geo", "B01"], ["B01"], lines=True)
+        assert got.rdd.getNumPartitions() > 5
+        have = sorted((r.geo, r.NAME, r.B01) for r in got.collect())
+        records = readers.read_json_records(spark, str(tmp_path / "r"), lines=True)
+        assert records.rdd.getNumPartitions() > 5
+        assert sorted(r.value for r in records.collect()) == [float(i) for i in range(n) if i != 3]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(r[1], r[0], float(r[2].replace(",", ""))) for r in rows] + [("z", "a", 7.0), ("y", "b]]", 8.0), ("q", "c", None)]
+    assert have == sorted(want, key=lambda w: (w[0], w[1]))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "b.json").write_text('[["NAME",\n"geo"],["a","b"]]')
+    with pytest.raises(Exception, match="no whole JSON items"):
+        readers.read_json_matrix(spark, str(tmp_path / "bad"), ["NAME"], [], lines=True).collect()
