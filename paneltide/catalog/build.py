@@ -12,7 +12,7 @@ from paneltide.catalog.base import MEASURES, WIDE, query, r, rounded, rounded_al
 from paneltide.functions.scalar import annuity_payment, interval_name, present_count, present_mean, primary_state, ratio
 from paneltide.operators import clean, growth, match, reshape, rollup
 from paneltide.operators.order import latest_per_group
-from paneltide.scale import staging_path
+from paneltide.scale import staged, staging_path
 from paneltide.sources import readers, sinks
 
 S = F.col
@@ -307,7 +307,7 @@ def row_means(t):
 @query("gap_free_entities", with_parts("SELECT entity, min(period) AS first_period, max(period) AS last_period, count(DISTINCT period) AS n_periods FROM customer_panel GROUP BY entity "
                                        "HAVING count(DISTINCT period)=max(period)-min(period)+1 AND max(period)=(SELECT max(period) FROM customer_panel) AND min(period)<=1997", "customer_panel"))
 def gap_free_entities(t):
-    return clean.gap_free(t.customer_panel, latest_start=1997)
+    return clean.gap_free(staged(t.customer_panel.select("entity", "period"), "panel"), latest_start=1997)
 
 
 UNIVERSE = """cov AS (SELECT entity, 'R'||entity AS region, count(*)=7 AS full_coverage FROM customer_panel WHERE entity%4<>0 GROUP BY entity),
@@ -697,7 +697,7 @@ def filled_split(t):
 @query("growth_backcast", with_parts(f"""SELECT o.entity, o.period, {r('CASE WHEN c=1998-o.period+1 THEN a.rent*o.home_value/nullif(b.home_value,0) END', 'rent')} FROM (SELECT *, count(*) FILTER (home_value<>0) OVER (PARTITION BY entity ORDER BY period DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM customer_panel WHERE period<=1998) o
   JOIN (SELECT * FROM customer_panel WHERE period=1998) a USING (entity) JOIN (SELECT * FROM customer_panel WHERE period=1998) b USING (entity) WHERE o.period<1998""", "customer_panel"))
 def growth_backcast(t):
-    p = t.customer_panel
+    p = staged(t.customer_panel.select("entity", "period", "rent", "home_value"), "panel")
     return rounded_all(growth.backcast(p.select("entity", "period", "rent"), p.select("entity", "period", "home_value"), 1998, "rent", "home_value"), ["rent"])
 
 

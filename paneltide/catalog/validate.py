@@ -13,6 +13,7 @@ from paneltide.operators.rollup import arg_max
 from paneltide.plans import rankings as rk
 from paneltide.plans import walkforward as wf
 from paneltide.plans.scoring import valuation_measures
+from paneltide.scale import staged
 
 M3 = ["weighted_tau", "precision_at_k", "edge_pp"]
 
@@ -430,5 +431,5 @@ def top_k_per_period(t):
 @query("top_k_overlap", with_parts("""SELECT period, count(*) FILTER (a AND b)::INT AS overlap FROM (SELECT period, row_number() OVER (PARTITION BY period ORDER BY population DESC, entity)<=50 AS a,
   row_number() OVER (PARTITION BY period ORDER BY income_pc DESC, entity)<=50 AS b FROM customer_panel) GROUP BY period""", "customer_panel"))
 def top_k_overlap(t):
-    p = t.customer_panel
+    p = staged(t.customer_panel.select("entity", "period", "population", "income_pc"), "panel")
     return order.top_k_overlap(p.select("entity", "period", F.col("population").alias("score")), p.select("entity", "period", F.col("income_pc").alias("score")), ["period"], "entity", "score", 50)
