@@ -15,19 +15,19 @@ from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.order import add_positions, quantiles, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
-from paneltide.scale import largest_group, staged
+from paneltide.scale import largest_group, spread, staged, task_row_limit
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", bound: int | None = None) -> DataFrame:
     """(replicate, unit, copies): n units drawn n times with replacement, as multiplicities.
 
     Every unit emits one draw per replicate, so nothing is crossed; equal draws are summed before
-    they meet the data.
+    they meet the data. Units come numbered out of one task, so they are dealt over all partitions before they draw.
     """
     known = units.select(unit).distinct().withColumn("_all", F.lit(0))
     indexed = add_positions(known, ["_all"], [F.col(unit)], "_at", bound).drop("_all")
     total = known.agg(F.count(F.lit(1))).scalar()
-    pulls = (indexed.select("_at", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    pulls = (spread(indexed.select("_at"), "_at").select("_at", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
              .select("replicate", (wide_draw_bits(F.lit(seed), "replicate", "_at") % total + 1).alias("_at")))
     counted = pulls.groupBy("replicate", "_at").agg(F.count(F.lit(1)).alias("copies"))
     return counted.join(indexed, "_at").select("replicate", unit, "copies")
@@ -48,8 +48,9 @@ def replicate_taus(frame: DataFrame, drawn: DataFrame, bound: int | None = None,
     """
     group = ["strategy", *windows]
     size = largest_group(frame, group) if bound is None else bound
-    if blocks.fits(size):
-        per = blocks.taus(frame, blocks.folded(drawn), group, "score", "realized").withColumnRenamed("n", "_n")
+    if blocks.fits(size, task_row_limit(frame.sparkSession)):
+        block = blocks.block_size(size)
+        per = blocks.taus(frame, blocks.folded(drawn, block=block), group, "score", "realized", block=block).withColumnRenamed("n", "_n")
     else:
         per = weighted_tau(frame.join(drawn, "entity"), ["replicate", *group], "score", "realized", "entity", copies="copies",
                            bound=bound, also={"_n": (F.sum, F.col("copies"))})
