@@ -10,21 +10,24 @@ T is the weight of all pairs and T_x, T_y that of pairs tied in x or y. The nume
 radix walk over the rank code of x: two codes that differ do so first at exactly one digit level,
 so each row is emitted once per level and meets, inside the block that shares the higher digits,
 the rows of another digit. Taking every pair at its member that comes later along y, it only needs
-the running count and running weight of each digit. That is rows * log(rows) work with one window
-frame per level.
+the running count and running weight of each digit. That is rows * log(rows) work. A group that a task may hold
+goes there as it is, and the walk runs over arrays (`operators.replicates`); a larger one is emitted by level and cut.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paneltide.operators.order import ALL_BEFORE, split_ranks
+from paneltide.operators.replicates import block_sums, group_taus
 from paneltide.scale import join_groups, largest_group, small_side, staged, task_row_limit
 
 DIGIT_BITS = 3
 RADIX = 1 << DIGIT_BITS
+MAX_BLOCK = 1 << 18  # ranks of a large group that one task walks whole
 
 
 def _copies_weight(start: str, copies: str):
@@ -35,20 +38,8 @@ def _copies_weight(start: str, copies: str):
     return F.when(F.col(copies) == 1, single).otherwise(many)
 
 
-def _codes_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Rank codes; the outcome code runs downwards so that it shares the sort of the start rank."""
-    whole = Window.partitionBy(*group)
-    best_first = whole.orderBy(F.col("_y").desc(), F.col("_tie"))
-    by_y, by_x = whole.orderBy(F.col("_y").desc()), whole.orderBy("_x")
-    placed = rows.withColumn("_start", F.coalesce(F.sum("_m").over(best_first.rowsBetween(*ALL_BEFORE)), F.lit(0)))
-    placed = placed.withColumns({"_dy": F.rank().over(by_y) - 1, "_my": F.sum("_m").over(by_y.rangeBetween(0, 0))})
-    placed = placed.withColumns({"_dx": F.rank().over(by_x) - 1, "_mx": F.sum("_m").over(by_x.rangeBetween(0, 0)),
-                                 "_rows": F.count(F.lit(1)).over(whole)})
-    return placed.withColumn("_wt", _copies_weight("_start", "_m"))
-
-
 def _codes_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    """The same codes by the split plan: one ordering pass for the outcome, one for the score."""
+    """Rank codes by the split plan: one ordering pass for the outcome, one for the score. The outcome code runs downwards."""
     ranks = {"_first": F.col("_first").cast("int") - 1}
     held = split_ranks(rows, group, "_y", True, [F.col("_tie")], F.col("_m"))
     held = held.withColumns({"_dy": ranks["_first"], "_wt": _copies_weight("_before", "_m")})
@@ -59,6 +50,10 @@ def _codes_wide(rows: DataFrame, group: Sequence[str]) -> DataFrame:
 DIGITS = range(RADIX)
 
 
+def _numbers(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("_x", "_y")})
+
+
 def _running(over: str) -> dict[str, Column]:
     """Count and weight of every digit over a window given as SQL text."""
     return {f"_{out}{d}": F.expr(f"coalesce(sum(CASE WHEN _digit = {d} THEN {src} END) OVER ({over}), 0)")
@@ -90,16 +85,11 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
     size = largest_group(rows, group) if bound is None else bound
     if size > task_row_limit(df.sparkSession):
         got = _aggregate_wide(_codes_wide(rows, group), group, also)
+    elif not also:
+        return group_taus(_numbers(rows), group).withColumnRenamed("_tau", name)
     else:
-        # Every row has a digit level 0, which therefore stands for the row itself in the
-        # denominator and in the extra aggregates: one exchange per step, no join.
-        levels = _balance_narrow(_digits(_codes_narrow(rows, group), [*group, *extra, "_mx", "_my"]), group)
-        own = "CASE WHEN _level = 0 THEN {} END".format
-        got = levels.groupBy(*group).agg(
-            F.sum("_term").alias("_num"), *[F.expr(f"sum({own(e)}) AS {n}") for n, e in (
-                ("_mm", "_m"), ("_ww", "_wt"), ("_tx", "(_mx - 1) * _wt"), ("_ty", "(_my - 1) * _wt"))],
-            *[F.max(F.expr(own(c))).alias(n) for n, c in (("_lx", "_mx"), ("_ly", "_my"))],
-            *[f(F.expr(own(f"_also_{n}"))).alias(n) for n, (f, _) in also.items()])
+        return group_taus(_numbers(rows), group, extra).groupBy(*group).agg(
+            *[f(F.col(f"_also_{n}")).alias(n) for n, (f, _) in also.items()], F.max("_tau").alias(name))
     total = (F.col("_mm") - 1) * F.col("_ww")
     spread = F.greatest(total - F.col("_tx"), F.lit(0.0)) * F.greatest(total - F.col("_ty"), F.lit(0.0))
     # a side whose longest tie run is the whole group is constant: no pair is ordered
@@ -108,10 +98,12 @@ def weighted_tau(df: DataFrame, group: Sequence[str], score: str, outcome: str,
         varies, F.try_divide(F.coalesce(F.col("_num"), F.lit(0.0)), F.sqrt(spread))).alias(name))
 
 
-def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:
+def _digits(coded: DataFrame, keep: Sequence[str], lowest: int | Column = 0) -> DataFrame:
     bits = F.length(F.bin(F.greatest(F.col("_rows") - 1, F.lit(1)).cast("bigint")))
     levels = F.ceil(bits / F.lit(float(DIGIT_BITS))).cast("int")
-    return (coded.select(*keep, "_dx", "_dy", "_m", "_wt", F.explode(F.sequence(F.lit(0), levels - 1)).alias("_level"))
+    low = F.lit(lowest) if isinstance(lowest, int) else lowest
+    steps = F.when(low < levels, F.sequence(low, F.greatest(levels - 1, low)))
+    return (coded.select(*keep, "_dx", "_dy", "_m", "_wt", F.explode(steps).alias("_level"))
             .withColumns({
                 "_block": F.expr(f"shiftright(_dx, {DIGIT_BITS} * (_level + 1))"),
                 "_digit": F.expr(f"shiftright(_dx, {DIGIT_BITS} * _level) & {RADIX - 1}")}))
@@ -120,7 +112,8 @@ def _digits(coded: DataFrame, keep: Sequence[str]) -> DataFrame:
 def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
     """Split form: the numerator and each tie sum are their own aggregations, joined per group."""
     coded = staged(coded)
-    numerator = _balance_wide(_digits(coded, list(group)), group).groupBy(*group).agg(F.sum("_term").alias("_num"))
+    terms = _whole_blocks(coded, group)
+    numerator = terms.groupBy(*group).agg(F.sum("_term").alias("_num"))
     base = coded.groupBy(*group).agg(
         F.sum("_m").alias("_mm"), F.sum("_wt").alias("_ww"),
         *[f(F.col(f"_also_{n}")).alias(n) for n, (f, _) in also.items()])
@@ -131,12 +124,20 @@ def _aggregate_wide(coded: DataFrame, group: Sequence[str], also) -> DataFrame:
     return join_groups(base, numerator, list(group), "left")
 
 
-def _balance_narrow(rows: DataFrame, group: Sequence[str]) -> DataFrame:
-    block = ", ".join(f"`{g}`" for g in (*group, "_level", "_block"))
-    cols = _running(f"PARTITION BY {block} ORDER BY _dy RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
-    helpers = {*cols, "_dx", "_dy", "_block", "_digit"}
-    counted = rows.withColumns(cols).withColumn("_term", _pair_term())
-    return counted.select(*[c for c in counted.columns if c not in helpers])
+def _whole_blocks(coded: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Pair terms: blocks of ranks that a task may hold go there whole, once; only the levels above them are emitted a row a level.
+
+    A long tie run of the score can make such a block larger: its rows are emitted at every level.
+    """
+    limit = min(task_row_limit(coded.sparkSession), MAX_BLOCK)
+    low = int(math.log(limit, RADIX) + 1e-9)
+    cut = coded.withColumn("_low", F.expr(f"shiftright(_dx, {DIGIT_BITS * low})"))
+    key = [*group, "_low"]
+    long = small_side(cut.groupBy(*key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit))
+    marked = join_groups(cut, long, key, "left")
+    inside = block_sums(marked.where(F.col("_size").isNull()).select(*key, "_dx", "_dy", "_m", "_wt"), key).select(*group, "_term")
+    above = _digits(marked, list(group), F.when(F.col("_size").isNull(), F.lit(low)).otherwise(0))
+    return _balance_wide(above, group).unionByName(inside)
 
 
 def _stretches(rows: DataFrame, group: Sequence[str]) -> DataFrame:
