@@ -39,12 +39,15 @@ def realised(target: DataFrame, value: str, horizons: Sequence[int], kind: str =
 
 
 def window_rows(rankings: DataFrame, outcome: DataFrame, periods: DataFrame | None = None) -> DataFrame:
-    """Ranking rows with their realised outcome; a ranking with a ``horizon`` column meets only its own."""
+    """Ranking rows with their realised outcome; a ranking with a ``horizon`` column meets only its own.
+
+    Both sides grow with the entities: they meet sorted, since a compressed panel looks small enough to pass through the driver.
+    """
     held = rankings.filter(F.col("score").isNotNull())
     if periods is not None:
         held = held.join(periods, "period", "left_semi")
     on = ["entity", "period"] + (["horizon"] if "horizon" in held.columns else [])
-    return held.join(outcome, on)
+    return held.join(outcome.hint("merge"), on)
 
 
 def enough_rows(frame: DataFrame, group: Sequence[str], at_least: int = MIN_WINDOW_ROWS,
