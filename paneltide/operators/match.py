@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import title_places
 from paneltide.operators.order import carry_last, top_k
-from paneltide.scale import small_side
+from paneltide.scale import small_side, spread
 
 
 def star_join(spine: DataFrame, tables: Sequence[DataFrame], keys: Sequence[str] = ("entity", "period")) -> DataFrame:
@@ -56,9 +56,10 @@ def match_any_place(titles: DataFrame, places: DataFrame, entity: str, title: st
     """Match multi-city, multi-state titles to places on any (city, state) pair.
 
     Of several hits the first city in title order wins (then the first state, then the smallest
-    place key). Entities without a hit keep a NULL place.
+    place key). Entities without a hit keep a NULL place. Titles are dealt over all partitions by entity before
+    they are taken apart, so that no task sorts the pairs of one input file.
     """
-    keyed = titles.select(entity, F.posexplode(title_places(title)).alias("_at", "_key"))
+    keyed = spread(titles.select(entity, F.col(title).alias("_title")), entity).select(entity, F.posexplode(title_places("_title")).alias("_at", "_key"))
     near = places.select(F.col(place), F.struct(F.lower(F.trim(F.col(city))).alias("city"),
                                                 F.upper(F.trim(F.col(state))).alias("state")).alias("_key")).groupBy("_key").agg(F.min(place).alias(place))
     hits = keyed.join(near, "_key").groupBy(entity).agg(
