@@ -468,6 +468,39 @@ def test_passages_of_looping_texts():
     assert substring_dedup.passages(x, lone, 46, 0.8) == [] == substring_dedup.passages(lone, x, 46, 0.8)
 
 
+def test_windows_are_exchanged_once_and_texts_are_not(spark):
+    docs = spark.createDataFrame([(i, "x") for i in range(3000)], "doc_id long, text string")
+    plan = substring_dedup.candidates(substring_dedup.windows(docs, 50), 50)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(key") == 1 and "Join" not in plan and "struct" not in plan[plan.index("hashpartitioning(key"):].lower()
+    wanted = docs.where("doc_id % 10 = 3").select("doc_id")
+    some = substring_dedup.likely(docs, wanted)
+    assert "Exchange" not in some._jdf.queryExecution().executedPlan().toString()
+    got = [r["doc_id"] for r in some.select("doc_id").collect()]
+    assert set(range(3, 3000, 10)) <= set(got) and len(got) == len(set(got)) < 600
+    assert substring_dedup.likely(docs, wanted.limit(0)).count() == 0
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k << 2 | f, rng.randrange(12), *sorted(rng.randrange(200) for _ in range(3))) for k in range(120) for f in range(4) for _ in range(rng.randrange(1, 5))]
+    by_key, met = {}, {}
+    for key, doc_id, a, c, b in rows:
+        by_key.setdefault(key, set()).add((doc_id, c, a, b))
+    for key, found in by_key.items():
+        for x in found:
+            for y in (min(found), max(found)):
+                if x[0] != y[0] and min(found)[0] < max(found)[0]:
+                    (u, c, a, b), (p, pc, pa_, pb) = max(x, y), min(x, y)
+                    met.setdefault((u, p), set()).add((key & 3, a, c, b, pa_, pc, pb))
+
+    def agree(v, w):
+        overlaps = all(min(v[i + 2], w[i + 2]) - max(v[i], w[i]) + 1 >= 6 * 0.8 for i in (1, 4))
+        return abs((v[2] - v[5]) - (w[2] - w[5])) <= 10 and max(v[1], w[1]) <= min(v[2], w[2]) and max(v[2], w[2]) <= min(v[3], w[3]) and overlaps
+    want = {pair for pair, ws in met.items() if any(len({w[0] for w in ws if agree(v, w)}) >= 2 for v in ws)}
+    got = substring_dedup.candidates(spark.createDataFrame(rows, "key long, doc_id long, a int, c int, b int"), 10).collect()
+    assert 0 < len(want) < len(met) and len(got) == len(want) and {(r["u"], r["p"]) for r in got} == want
+
+
 def test_compact_windows_cover_every_subsequence_once():
     values = np.random.default_rng(2).permutation(40).astype(np.uint64)
     nodes = substring_dedup.compact_windows(values, 6)
