@@ -13,8 +13,6 @@ from collections.abc import Callable
 from types import ModuleType
 
 CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-#: Without a match, a text may be cut before each of its spaces and line ends.
-UNEVEN = re.compile(r"[ \n]\s|[^\S \n][ \n]|\s\Z")
 #: Marks that may be cut from a Latin letter before them.
 MARKS = ".,;:!?%&*$#|"
 #: Chunks kept in one table; there are two, and the one not used lately goes.
@@ -43,25 +41,25 @@ class Kept:
         if not parts[0]:
             del parts[0]
         found = list(map(self.new.get, parts))
-        if None in found:
-            even = not UNEVEN.search(text)
+        missing = {p for p, v in zip(parts, found) if v is None}
+        if missing:
+            even = all(map(cut_even, missing))  # so are the parts that are kept: the text may be cut before each of its spaces and line ends
             if not even:
                 parts = CUT.split(text)
                 found = list(map(self.new.get, parts))
-            got = self.made({p for p, v in zip(parts, found) if v is None})
+                missing = {p for p, v in zip(parts, found) if v is None}
+            got = self.made(missing)
             self.new.update(got if even and len(max(got, key=len, default="")) <= LONGEST else {p: v for p, v in got.items() if len(p) <= LONGEST and cut_well(p)})
-            found = list(map(self.new.get, parts))
-            if None in found:
-                found = [got[p] if v is None else v for p, v in zip(parts, found)]
+            found = [got[p] if v is None else v for p, v in zip(parts, found)]
         return found
 
     def made(self, missing: set[str]) -> dict:
-        got, new, split = {}, [], []
+        got, new, split, old = {}, [], [], self.old.get
         for p in missing:
-            v = self.old.get(p)
+            v = old(p)
             if v is not None:
                 got[p] = v
-            elif self.add and (head := p.rstrip(MARKS)) != p and "A" <= head[-1:] <= "\u024f" and head[-1].isalpha():
+            elif p[-1] in MARKS and self.add and (head := p.rstrip(MARKS)) != p and "A" <= head[-1:] <= "\u024f" and head[-1].isalpha():
                 split.append((p, head, p[len(head):]))
             else:
                 new.append(p)
@@ -80,6 +78,11 @@ class Kept:
         return got
 
 
+def cut_even(part: str) -> bool:
+    """A part of a text cut before each space and line end: no other white space stands beside the cuts."""
+    return not part[-1].isspace() and not (part[0] in " \n" and part[1:2].isspace())
+
+
 def cut_well(part: str) -> bool:
     """A chunk of which any text may be made: only its first character is white space, if any is at either end."""
     return not part[-1].isspace() and not part[1:2].isspace()

@@ -18,9 +18,10 @@ one run of ids in one task's memory; other columns are not read, whatever their
 """
 from __future__ import annotations
 
+import json
 import uuid
-import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +44,15 @@ TASK_IDS = 8_000_000
 
 def bits(values: np.ndarray) -> np.ndarray:
     """Bits that each value needs."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1]
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
     """Values of `width` bits at most, one behind the other."""
     if not width:
         return b""
-    split = np.unpackbits(values.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
+    size = 2 if width <= 16 else 4
+    split = np.unpackbits(values.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
     return np.packbits(split, bitorder="little").tobytes()
 
 
@@ -68,7 +70,7 @@ def block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = ids - np.uint32(low)
     need = bits(rest)
-    width = int(np.percentile(need, PERCENTILE, method="inverted_cdf"))
+    width = int(np.searchsorted(np.cumsum(np.bincount(need)) * 100, PERCENTILE * len(ids)))
     out = np.flatnonzero(need > width)
     high = rest[out] >> np.uint32(width) if len(out) else rest[:0]
     wide = int(need.max()) - width if len(out) else 0
@@ -140,21 +142,38 @@ class Reader:
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, kept by chunk. Chunks not met yet are encoded as lines of one text and told apart by the line end's id."""
+    """Ids of a text by the tokenizers library, kept by chunk. A chunk not met yet that is one pre-token (ASCII letters behind a space or a line end)
+    goes to the library's model at once; others are encoded as lines of one text and told apart by the line end's id."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.full = Tokenizer.from_file(path)
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         self.line = self.ids("\n")
+        form = json.loads(self.full.to_str())
+        by_bytes = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        #: Nothing but the byte-level pre-tokenizer stands before the model.
+        self.plain = not form["normalizer"] and by_bytes.items() <= (form["pre_tokenizer"] or {}).items() and form["model"]["type"] == "BPE"
+        self.tokenize = self.full.model.tokenize
         self.kept = Kept(self.make, bytes.__add__)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.full.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def pre_token(self, text: str) -> bytes:
+        found = [t.id for t in self.tokenize(text)]
+        return pack_ids(f"<{len(found)}I", *found)
+
     def make(self, chunks: list[str]) -> list[bytes]:
-        inner, other = runs(chunks)
-        got = {c: self.ids(c).tobytes() for c in other}
+        got, rest = {}, []
+        for c in chunks:
+            word = c[1:]
+            if self.plain and c[0] in " \n" and word.isalpha() and word.isascii():
+                got[c] = self.pre_token("Ġ" + word) if c[0] == " " else self.line.tobytes() + self.pre_token(word)
+            else:
+                rest.append(c)
+        inner, other = runs(rest)
+        got |= {c: self.ids(c).tobytes() for c in other}
         if inner:
             found = self.ids("".join([c if c[0] == "\n" else "\n" + c for c in inner]))
             lines = np.flatnonzero(found == self.line[0])

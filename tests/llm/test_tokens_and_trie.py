@@ -2,6 +2,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -100,6 +101,39 @@ def test_tables_of_chunks_stay_bounded(texts):
     assert made
 
 
+def test_words_go_to_the_model_at_once(texts, tokenizers):
+    encoder, through = token_files.Encoder(P.path("byte_bpe_50k.json")), []
+    ids = encoder.ids
+    encoder.ids = lambda text: through.append(text) or ids(text)
+    text = "Words of\nplain letters" + "".join(f" {a}{b}word" for a in "abcdefgh" for b in "Tnorst")
+    assert encoder.plain and encoder.encode(text) == np.array(tokenizers[1].encode(text).ids, "<u4").tobytes()
+    assert "".join(through) == "Words"  # what no cut stands before
+    for one in [t for t in texts if t] + ["a's b'll 's", "\n's it", "x\nABC d1 e.f", "\n\nab"]:
+        assert encoder.encode(one) == np.array(tokenizers[1].encode(one, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_cuts_are_judged_by_their_parts():
+    rng, uneven, seen = random.Random(4), re.compile(r"[ \n]\s|[^\S \n][ \n]|\s\Z"), set()
+    for _ in range(5000):
+        text = "".join(rng.choice(["a", "b", " ", "\n", "\t", "\u3000", "."] if rng.random() < 0.3 else ["a", "bc"]) for _ in range(1 + rng.randrange(9)))
+        parts = [p for p in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if p]
+        assert all(map(chunks.cut_even, parts)) == (not uneven.search(text)), text
+        seen.add(bool(uneven.search(text)))
+    assert len(seen) == 2
+
+
+def test_known_chunks_are_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+    kept = chunks.Kept(lambda new: [c.upper() for c in new])
+    kept.new = Counted()
+    assert "".join(kept.of("one two one two three")) == "ONE TWO ONE TWO THREE" and Counted.asked == 5
+
+
 def decoded(tokenizers):
     plain, _, pieces = tokenizers
     alphabet, names = alignment.byte_alphabet(), {i: t for t, i in plain.get_vocab().items()}
