@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneltide.llm.alignment import byte_alphabet
 from paneltide.llm.chunks import Kept, loaded, runs
 from paneltide.llm.warc import filesystem
 from paneltide.scale import staged, staging_path
@@ -142,7 +143,7 @@ class Reader:
 
 
 class Encoder:
-    """Ids of a text by the tokenizers library, kept by chunk. A chunk not met yet that is one pre-token (ASCII letters behind a space or a line end)
+    """Ids of a text by the tokenizers library, kept by chunk. A chunk not met yet that is one pre-token (Latin letters behind a space or a line end)
     goes to the library's model at once; others are encoded as lines of one text and told apart by the line end's id."""
 
     def __init__(self, path: str):
@@ -155,21 +156,23 @@ class Encoder:
         #: Nothing but the byte-level pre-tokenizer stands before the model.
         self.plain = not form["normalizer"] and by_bytes.items() <= (form["pre_tokenizer"] or {}).items() and form["model"]["type"] == "BPE"
         self.tokenize = self.full.model.tokenize
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
         self.kept = Kept(self.make, bytes.__add__)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.full.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def pre_token(self, text: str) -> bytes:
-        found = [t.id for t in self.tokenize(text)]
+        spelt = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        found = [t.id for t in self.tokenize(spelt)]
         return pack_ids(f"<{len(found)}I", *found)
 
     def make(self, chunks: list[str]) -> list[bytes]:
         got, rest = {}, []
         for c in chunks:
             word = c[1:]
-            if self.plain and c[0] in " \n" and word.isalpha() and word.isascii():
-                got[c] = self.pre_token("Ġ" + word) if c[0] == " " else self.line.tobytes() + self.pre_token(word)
+            if self.plain and c[0] in " \n" and word.isalpha() and (c.isascii() or max(word) < "\u0250"):
+                got[c] = self.pre_token(c) if c[0] == " " else self.line.tobytes() + self.pre_token(word)
             else:
                 rest.append(c)
         inner, other = runs(rest)
