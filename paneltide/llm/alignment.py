@@ -141,8 +141,11 @@ class Aligner:
     def make(self, chunks: list[str]) -> list:
         """Values of chunks; False where the whole text has to be looked at."""
         inner, _ = runs(chunks)
-        inner = [c for c in inner if c[0] == " "]  # what else begins a chunk would need another space before it
-        got = {c: self.line(c) for c in chunks if c[0] == "\n" or not c.strip(MARKS)}
+        inner.sort(key=lambda c: c[0] != " ")  # a line end stands behind another chunk; what else begins a chunk would need another space before it
+        if inner and inner[0][0] != " ":
+            inner = []
+        together = set(inner)
+        got = {c: self.line(c) for c in chunks if c[0] == "\n" and c not in together or not c.strip(MARKS)}
         if inner:
             text = "".join(inner)
             raw, a, b = text.encode(), self.a.encode(text), self.b.encode(text[1:])
@@ -151,7 +154,7 @@ class Aligner:
             if gives_back(self.a, a, raw) and gives_back(self.b, b, raw) and (a[1][at_a] == stops).all() and (b[1][at_b] == stops).all():
                 got |= zip(inner, self.parts(a, b, stops), strict=True)
             else:
-                got |= {c: self.whole(c[1:]) or False for c in inner}
+                got |= {c: self.line(c) if c[0] == "\n" else self.whole(c[1:]) or False for c in inner}
         return [got.get(c, False) for c in chunks]
 
     @staticmethod

@@ -173,6 +173,15 @@ def brute_alignment(rows, tokenizers):
     return sorted((d, a, b, g, len(li), sum(counts[p] == top[p[1]] for p in li), sum(counts[p] for p in li), h) for d, a, b, g, li, h in found)
 
 
+def test_line_ends_are_aligned_with_the_other_chunks():
+    own, alone = alignment.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")), []
+    line = own.line
+    own.line = lambda chunk: alone.append(chunk) or line(chunk)
+    new = [" one", "\nTwo", " three", "\nfo\u00fcr", "\n\u6f22x"]
+    assert own.make(new) == [own.whole("one"), *(line(c) if c[0] == "\n" else own.whole(c[1:]) for c in new[1:])] and not alone
+    assert own.make(["\nTwo"]) == [line("\nTwo")] and alone == ["\nTwo"]  # no chunk to stand behind
+
+
 def test_alignment_both_ways(docs, tokenizers):
     want = brute_alignment([(r["doc_id"], r["text"]) for r in docs.collect()], tokenizers)
     assert any(w[1] == 0 for w in want) and any(w[1] > 1000 for w in want)
