@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneltide.functions.scalar import draw_bits, standard_normal, wide_draw_bits
+from paneltide.operators import noise
 from paneltide.operators import replicates as blocks
 from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.order import add_positions, quantiles, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
-from paneltide.scale import largest_group, spread, staged, task_row_limit
+from paneltide.scale import is_wide, largest_group, spread, staged, task_row_limit
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", bound: int | None = None) -> DataFrame:
@@ -107,15 +108,19 @@ def simplest_acceptable(gaps: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
 
 def noisy_ranks(norm: DataFrame, base: Column, reliability: Mapping[str, float], weights: Mapping[str, float],
                 replicates: int, seed: str = "noise", group: str = "edition", bound: int | None = None) -> DataFrame:
-    """Rank of every entity in every draw: chosen inputs become rho * z + sqrt(1 - rho^2) * noise."""
-    z = {k: F.coalesce(F.col(k), F.lit(0.0)) for k in reliability}
-    rows = norm.select(group, "entity", base.alias("_base"), *[c.alias(f"_z_{k}") for k, c in z.items()],
-                       F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
+    """Rank of every entity in every draw: chosen inputs become rho * z + sqrt(1 - rho^2) * noise.
+
+    In groups of more rows than a task may hold ranks come in blocks (`operators.noise`); `rank_intervals` takes both.
+    """
+    rows = norm.select(group, "entity", base.cast("double").alias("_base"), *[
+        F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(f"_z{i}") for i, k in enumerate(reliability)])
+    if is_wide(rows, [group], bound):
+        return noise.noisy_ranks(rows, [(f"{seed}-{k}", rho, weights[k]) for k, rho in reliability.items()], replicates, group)
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     score = F.col("_base")
-    for k, rho in reliability.items():
-        eps = standard_normal(F.lit(f"{seed}-{k}"), group, "replicate", "entity")
-        moved = F.lit(rho) * F.col(f"_z_{k}") + F.lit((1.0 - rho * rho) ** 0.5) * eps
-        score = score + F.lit(weights[k]) * (moved - F.col(f"_z_{k}"))
+    for i, (k, rho) in enumerate(reliability.items()):
+        moved = F.lit(rho) * F.col(f"_z{i}") + F.lit((1.0 - rho * rho) ** 0.5) * standard_normal(F.lit(f"{seed}-{k}"), group, "replicate", "entity")
+        score = score + F.lit(weights[k]) * (moved - F.col(f"_z{i}"))
     drawn = rows.select(group, "replicate", "entity", score.alias("_score"))
     return add_positions(drawn, [group, "replicate"], [F.col("_score").desc(), F.col("entity")], "rank", bound)
 
@@ -137,11 +142,15 @@ def half_even(x: Column) -> Column:
 def rank_intervals(ranks: DataFrame, group: str = "edition") -> DataFrame:
     """5th, 50th and 95th percentile of the drawn ranks with the tier they imply.
 
-    Ends round half to even. One group is the draws of one entity, so its size is the draw count.
+    Ends round half to even. Ranks are blocks of draws, or rows with a rank each. One group is the draws of one entity, so its size is the draw count.
     """
-    q = ranks.groupBy(group, "entity").agg(F.sort_array(F.collect_list("rank")).alias("_q"))
-    return q.select(group, "entity", half_even(hundredths("_q", 5)).alias("rank_lo"), (hundredths("_q", 50) / F.lit(100.0)).alias("rank_median"),
-                    half_even(hundredths("_q", 95)).alias("rank_hi")).withColumn("tier", tier("rank_lo", "rank_median"))
+    if noise.is_blocks(ranks):
+        q = noise.percentiles(ranks, group, {"_q5": 5, "_q50": 50, "_q95": 95})
+    else:
+        rows = ranks.groupBy(group, "entity").agg(F.sort_array(F.collect_list("rank")).alias("_q"))
+        q = rows.select(group, "entity", *[hundredths("_q", p).alias(f"_q{p}") for p in (5, 50, 95)])
+    return q.select(group, "entity", half_even(F.col("_q5")).alias("rank_lo"), (F.col("_q50") / F.lit(100.0)).alias("rank_median"),
+                    half_even(F.col("_q95")).alias("rank_hi")).withColumn("tier", tier("rank_lo", "rank_median"))
 
 
 def tier(low: str, median: str, tiers: Sequence[tuple[str, float | None]] = TIERS, leading: int = LEADING_LOW) -> Column:
