@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneltide.functions.scalar import standard_normal
-from paneltide.scale import join_groups, small_side, staged, task_row_limit
+from paneltide.scale import is_wide, join_groups, small_side, staged, task_row_limit
 
 BLOCK = 50  # replicates in one block at most
 MAX_CELLS = 1 << 24  # draws in one block
@@ -253,7 +253,7 @@ def sliced(rows: DataFrame, group: str, columns: Sequence[str], parts: int, most
     return held.select(group, "_of", "_slice", F.col("_rows.entity").alias("_entities"), *[F.col(f"_rows.{c}").alias(c) for c in ("_text", *columns)])
 
 
-def noisy_ranks(rows: DataFrame, noise: Sequence[tuple[str, float, float]], replicates: int, group: str) -> DataFrame:
+def noisy_ranks(rows: DataFrame, noise: Sequence[tuple[str, float, float]], replicates: int, group: str, bound: int | None = None) -> DataFrame:
     """Ranks of all draws of (group, entity, _base, _z0, ...) rows: a row a slice, block and bucket.
 
     ``noise`` names the label, reliability and weight of each input. Columns: entities of the slice in order (once a slice), first replicate,
@@ -267,7 +267,35 @@ def noisy_ranks(rows: DataFrame, noise: Sequence[tuple[str, float, float]], repl
     largest, total, groups = size["n"] or 0, size["rows"] or 0, size["groups"]
     limit, least = task_row_limit(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = sliced(rows, group, [SCORES, *inputs], max(least, math.ceil(total / limit)), min(SLICE_ROWS, limit))
-    return bucket_ranks(staged(slices, "slices"), rows, noise, replicates, group, largest, total)
+    if is_wide(rows, [group], max(bound or 0, largest)):
+        return bucket_ranks(staged(slices, "slices"), rows, noise, replicates, group, largest, total)
+    block = max(1, min(BLOCK, MAX_CELLS // max(largest, 1)))
+    tasks = min(2 * groups * math.ceil(replicates / block), math.ceil(total * replicates / TASK_DRAWS))
+    dealt = in_blocks(slices, block, replicates).repartition(max(least, tasks), group, "_block")
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_slice")
+        sizes = np.diff(table.column("_text").combine_chunks().offsets.to_numpy())
+        ends, n, lo = np.cumsum(sizes), int(sizes.sum()), table.column("_block")[0].as_py()
+        hi = min(lo + block, replicates)
+        kind, cells = high_type(n), sizes * (hi - lo)
+        low, high = np.empty(n * (hi - lo), np.uint16), np.empty(n * (hi - lo) if kind else 0, kind or np.uint8)
+        numbers_, absent, texts = columns_of(table, noise)
+        starts, ranks, steps = np.cumsum(cells) - cells, np.empty(n, np.uint32), np.arange(1, n + 1, dtype=np.uint32)
+        for some, keys in drawn_keys(numbers_, absent, texts, table.column("_of")[0].as_py(), noise, lo, hi):
+            for i, mine in zip(some, keys):
+                ranks[order_of(mine)] = steps
+                for start, m, end in zip(starts, sizes, ends):
+                    to = slice(start + (i - lo) * m, start + (i - lo + 1) * m)
+                    low[to] = ranks[end - m:end]  # the lower bits
+                    if kind:
+                        high[to] = ranks[end - m:end] >> 16
+        nothing = pa.nulls(len(sizes), pa.binary())
+        return pa.table([table.column(group), table.column("_slice"), table.column("_block"), table.column("_entities"),
+                         nothing, nothing, binaries(low, cells), binaries(high, cells) if kind else nothing], names=schema.names)
+
+    schema = ranks_schema(slices, group)
+    return dealt.groupBy(group, "_block").applyInArrow(run, schema)
 
 
 def in_blocks(slices: DataFrame, block: int, replicates: int) -> DataFrame:

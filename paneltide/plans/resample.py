@@ -9,14 +9,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paneltide.functions.scalar import draw_bits, standard_normal, wide_draw_bits
+from paneltide.functions.scalar import draw_bits, wide_draw_bits
 from paneltide.operators import noise
 from paneltide.operators import replicates as blocks
 from paneltide.operators.concordance import weighted_tau
 from paneltide.operators.order import add_positions, quantiles, top_k
 from paneltide.operators.stats import percentile_interval
 from paneltide.plans.model import LEADING_LOW, MIN_WINDOW_ROWS, TIERS
-from paneltide.scale import is_wide, largest_group, spread, staged, task_row_limit
+from paneltide.scale import largest_group, spread, staged, task_row_limit
 
 
 def draws(units: DataFrame, unit: str, replicates: int, seed: str = "boot", bound: int | None = None) -> DataFrame:
@@ -110,19 +110,11 @@ def noisy_ranks(norm: DataFrame, base: Column, reliability: Mapping[str, float],
                 replicates: int, seed: str = "noise", group: str = "edition", bound: int | None = None) -> DataFrame:
     """Rank of every entity in every draw: chosen inputs become rho * z + sqrt(1 - rho^2) * noise.
 
-    In groups of more rows than a task may hold ranks come in blocks (`operators.noise`); `rank_intervals` takes both.
+    Ranks come in blocks (`operators.noise`), which `rank_intervals` takes.
     """
     rows = norm.select(group, "entity", base.cast("double").alias("_base"), *[
         F.coalesce(F.col(k).cast("double"), F.lit(0.0)).alias(f"_z{i}") for i, k in enumerate(reliability)])
-    if is_wide(rows, [group], bound):
-        return noise.noisy_ranks(rows, [(f"{seed}-{k}", rho, weights[k]) for k, rho in reliability.items()], replicates, group)
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    score = F.col("_base")
-    for i, (k, rho) in enumerate(reliability.items()):
-        moved = F.lit(rho) * F.col(f"_z{i}") + F.lit((1.0 - rho * rho) ** 0.5) * standard_normal(F.lit(f"{seed}-{k}"), group, "replicate", "entity")
-        score = score + F.lit(weights[k]) * (moved - F.col(f"_z{i}"))
-    drawn = rows.select(group, "replicate", "entity", score.alias("_score"))
-    return add_positions(drawn, [group, "replicate"], [F.col("_score").desc(), F.col("entity")], "rank", bound)
+    return noise.noisy_ranks(rows, [(f"{seed}-{k}", rho, weights[k]) for k, rho in reliability.items()], replicates, group, bound)
 
 
 def hundredths(ordered: str, percent: int) -> Column:

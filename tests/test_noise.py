@@ -147,3 +147,24 @@ def agrees(spark, folder, name):
 
 def test_rank_intervals_split(spark, folder):
     agrees(spark, folder, "rank_intervals_split")
+
+
+@pytest.mark.parametrize("entity", ["bigint", "string"])
+def test_block_plan_agrees_with_a_row_a_draw(spark, entity):
+    norm = norms(spark, entity)
+    ranks = in_blocks(norm, None)
+    assert ranks.filter("_at IS NULL").count() == ranks.count()
+    assert listed(resample.rank_intervals(ranks)) == listed(by_rows(norm))
+
+
+@pytest.mark.parametrize("cells, high", [(60, None), (1 << 24, np.uint8), (1 << 24, np.uint16)])
+def test_blocks_of_any_size_and_wide_ranks(spark, monkeypatch, cells, high):
+    norm = norms(spark, "bigint")
+    monkeypatch.setattr(noise, "MAX_CELLS", cells)  # 60: a replicate a block
+    if high:
+        monkeypatch.setattr(noise, "high_type", lambda largest: high)
+    assert listed(resample.rank_intervals(in_blocks(norm, None))) == listed(resample.rank_intervals(in_blocks(norm, 1 << 40))) == listed(by_rows(norm))
+
+
+def test_rank_intervals(spark, folder):
+    agrees(spark, folder, "rank_intervals")
