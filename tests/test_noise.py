@@ -168,3 +168,9 @@ def test_blocks_of_any_size_and_wide_ranks(spark, monkeypatch, cells, high):
 
 def test_rank_intervals(spark, folder):
     agrees(spark, folder, "rank_intervals")
+
+
+def test_tier_counts(spark, folder):
+    agrees(spark, folder, "tier_counts")
+    rows = queries()["tier_counts"](spark, folder).collect()
+    assert sum(r["n_entities"] for r in rows) == 44 * 3 + 45
