@@ -174,3 +174,7 @@ def test_tier_counts(spark, folder):
     agrees(spark, folder, "tier_counts")
     rows = queries()["tier_counts"](spark, folder).collect()
     assert sum(r["n_entities"] for r in rows) == 44 * 3 + 45
+
+
+def test_rank_outside_interval(spark, folder):
+    agrees(spark, folder, "rank_outside_interval")
