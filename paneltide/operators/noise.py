@@ -27,6 +27,7 @@ from paneltide.functions.scalar import standard_normal
 from paneltide.scale import is_wide, join_groups, small_side, staged, task_row_limit
 
 BLOCK = 50  # replicates in one block at most
+SPLIT_BLOCK = 25  # in the plan for large groups, which moves scores
 MAX_CELLS = 1 << 24  # draws in one block
 SLICE_ROWS = 4096
 SLICES = 16  # that draw together in the plan for large groups
@@ -327,7 +328,7 @@ def bucket_ranks(slices: DataFrame, rows: DataFrame, noise: Sequence[tuple[str,
     spark = rows.sparkSession
     limit, least = task_row_limit(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(2, math.ceil(largest / min(BUCKET_ROWS, limit)))
-    block = min(BLOCK, replicates)
+    block = min(SPLIT_BLOCK, replicates)
     line = Window.partitionBy(group)
     place = F.row_number().over(line.orderBy("_slice")) - 1
     places = slices.select(group, "_slice", (place / F.count(F.lit(1)).over(line)).alias("_share"), F.floor(place / SLICES).alias("_several"))

@@ -102,7 +102,7 @@ def test_split_plan_moves_blocks_not_draws(spark):
     norm = norms(spark, "bigint")
     assert noise.is_blocks(ranks := in_blocks(norm, 1 << 40))
     held = ranks.collect()
-    assert len(held) <= 4 * 2 * math.ceil(DRAWS / noise.BLOCK) * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(held) <= 4 * 2 * math.ceil(DRAWS / noise.SPLIT_BLOCK) * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(len(r["_low"]) for r in held) == 2 * DRAWS * norm.count()
     assert listed(resample.rank_intervals(ranks)) == listed(by_rows(norm))
 
